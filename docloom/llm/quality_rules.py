@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from . import kernel
-from .shared import with_text_columns
+from .shared import map_batches, with_text_columns
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -273,7 +273,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUM
                 blobs += [lines.active[a:b].astype(np.int16).tobytes() for a, b in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([ids, quality, pa.array(blobs, pa.binary())], names=made.fieldNames())
 
-    rows = found.select("doc_id", "quality", "text").mapInArrow(run, made).orderBy("doc_id").collect()
+    rows = found.select("doc_id", "quality", "text").transform(map_batches, run, made).orderBy("doc_id").collect()
     width = len(_CUTS) + len(_FLAGS)
     parts = [np.frombuffer(r["features"], np.int16).reshape(-1, width) for r in rows]
     if not sum(map(len, parts)):

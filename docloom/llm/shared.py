@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
+import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,26 +15,58 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that the cluster names.
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; where it names none (tests on one machine), a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+    return context.getCheckpointDir()
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary
-    folder is set; on a cluster the setting must name a shared folder.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint; for small rows."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a Parquet table beside the checkpoints; compressed, so for large rows."""
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose frames are gone; results are not touched.
 
     Spark deletes them when the driver's JVM happens to collect its garbage,
-    which a driver with little to do may not do for long.
+    which a driver with little to do may not do for long.  The first round
+    frees the frames, the second what they held.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package's modules to the executors, once for each context, so that they need no installation."""
+    context = spark.sparkContext
+    if getattr(context, "_docloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="docloom-")) / "docloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._docloom_shipped = True
+
+
+def map_batches(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with the modules that ``run`` needs."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,4 +91,4 @@ def with_text_columns(df: DataFrame, text_col: str, made: StructType, fn, keep:
             columns = fn(batch.column(len(carried)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *columns], names=out.fieldNames())
 
-    return source.mapInArrow(run, out)
+    return map_batches(source, run, out)

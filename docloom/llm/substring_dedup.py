@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import kernel
-from .shared import cut, release, with_text_columns
+from .shared import cut, map_batches, release, stored, with_text_columns
 
 K = 13
 SEED = 5
@@ -124,8 +124,8 @@ def _candidates(docs: DataFrame, k: int, seed: int) -> DataFrame:
                 if len(seeds):
                     yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(seeds)), pa.array(ids[a + row]), pa.array((first << 32) | size)], names=placed.fieldNames())
 
-    shared = source.mapInArrow(texts_of_seeds, seen).groupBy("seed").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("seed")
-    places = source.mapInArrow(places_of_seeds, placed)
+    shared = source.transform(map_batches, texts_of_seeds, seen).groupBy("seed").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("seed")
+    places = source.transform(map_batches, places_of_seeds, placed)
     return places.join(shared, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
@@ -175,7 +175,7 @@ def _occurrences(searched: DataFrame, k: int, combine: bool) -> DataFrame:
                     columns = [head[begin], tail[begin], doc[begin], at[begin], doc[end]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=out.fieldNames())
 
-    return searched.select("doc_id", "text", "runs").mapInArrow(run, out)
+    return searched.select("doc_id", "text", "runs").transform(map_batches, run, out)
 
 
 def _edges(searched: DataFrame, k: int) -> DataFrame:
@@ -186,7 +186,8 @@ def _edges(searched: DataFrame, k: int) -> DataFrame:
         .agg(F.min("source").alias("source"), F.min_by("source_at", "source").alias("source_at"), F.max("last").alias("last"))
         .where("source < last").drop("last")
     )
-    edges = cut(edges)
+    edges = stored(edges)
+    release(searched.sparkSession)
     entering = edges.groupBy(F.col("tail").alias("head")).agg(F.count("*").alias("entering"))
     leaving = edges.groupBy("head").agg(F.count("*").alias("leaving"))
     plain = entering.join(leaving, "head").where("entering = 1 and leaving = 1").select("head", F.lit(True).alias("plain"))
@@ -217,7 +218,7 @@ def _spans(searched: DataFrame, k: int) -> DataFrame:
     places = _occurrences(searched, k, combine=False)
     found = places.join(_edges(searched, k), ["head", "tail"]).where("source < doc_id")
     steps = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "source", "source_at", "plain")).alias("steps"))
-    return steps.select("doc_id", *[F.col(f"steps.{c}").alias(c) for c in ("at", "source", "source_at", "plain")]).mapInArrow(run, out)
+    return steps.select("doc_id", *[F.col(f"steps.{c}").alias(c) for c in ("at", "source", "source_at", "plain")]).transform(map_batches, run, out)
 
 
 def _list_offsets(column: pa.Array) -> np.ndarray:
@@ -236,7 +237,7 @@ def repeated_spans(docs: DataFrame, k: int = K, seed: int = SEED) -> tuple[DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = _texts(docs)
-    runs = cut(_candidates(docs, k, seed))
+    runs = stored(_candidates(docs, k, seed))
     release(docs.sparkSession)
     chosen = texts.where("doc_id is not null and compared and source = doc_id").select("doc_id", "text_hash")
     searched = _keyed(docs).join(runs.join(chosen, "doc_id"), ["doc_id", "text_hash"])
@@ -273,7 +274,7 @@ def removal_digests(docs: DataFrame, k: int = K, seed: int = SEED) -> DataFrame:
                     shas.append(hashlib.sha256(_joined(words, i, ~gone)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_cut, pa.int64()), pa.array(shas, pa.string())], names=made.fieldNames())
 
-    changed = _keyed(docs).join(spans, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at", "n").mapInArrow(run, made).distinct()
+    changed = _keyed(docs).join(spans, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at", "n").transform(map_batches, run, made).distinct()
     copies = F.expr(f"source < doc_id and n_words >= {k}")
     nothing = hashlib.sha256(b"").hexdigest()
     return texts.join(changed, ["doc_id", "text_hash"], "left").select(
@@ -316,7 +317,7 @@ def remove_repeats(docs: DataFrame, k: int = K, seed: int = SEED) -> DataFrame:
                         texts_out[a + i] = _without(words, i, gone).decode()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts_out, pa.string()), pa.array(n_cut, pa.int64())], names=out.fieldNames())
 
-    return source.mapInArrow(run, out)
+    return source.transform(map_batches, run, out)
 
 
 def _without(words: kernel.Words, i: int, gone: np.ndarray) -> bytes:
