@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality_rules, sharding, simhash_dedup, substring_dedup
+from . import byte_bpe, chat_format, decontaminate, quality_rules, sharding, simhash_dedup, substring_dedup
 from .shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +30,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
+    turns = chat_format.assemble(rows.unionByName(extra), RANKS, public_tokenizers.PATTERN)
+    return chat_format.read_back(turns, RANKS, public_tokenizers.PATTERN)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_chat_format": op7_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_decontaminate": op10_decontaminate,
