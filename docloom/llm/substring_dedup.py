@@ -241,7 +241,9 @@ def repeated_spans(docs: DataFrame, k: int = K, seed: int = SEED) -> tuple[DataF
     release(docs.sparkSession)
     chosen = texts.where("doc_id is not null and compared and source = doc_id").select("doc_id", "text_hash")
     searched = _keyed(docs).join(runs.join(chosen, "doc_id"), ["doc_id", "text_hash"])
-    return texts, _spans(searched, k).join(chosen, "doc_id")
+    spans = stored(_spans(searched, k).join(chosen, "doc_id"))
+    release(docs.sparkSession)
+    return texts, spans
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
