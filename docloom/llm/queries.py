@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, license_scan, quality_rules, sharding, simhash_dedup, substring_dedup
+from . import byte_bpe, chat_format, decontaminate, importance_sample, license_scan, quality_rules, sharding, simhash_dedup, substring_dedup
 from .shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,11 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_sample.resample(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.apply_rules(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_importance_sample": op4_importance_sample,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
