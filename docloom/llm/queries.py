@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, importance_sample, license_scan, quality_rules, sharding, simhash_dedup, substring_dedup
+from . import attention_lm, byte_bpe, chat_format, decontaminate, importance_sample, license_scan, quality_rules, sharding, simhash_dedup, substring_dedup
 from .shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +34,10 @@ def op4_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample.resample(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.apply_rules(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_importance_sample": op4_importance_sample,
+    "op5_attention_lm": op5_attention_lm,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
