@@ -29,8 +29,10 @@ raise KeyError; undecodable bytes become U+FFFD in text, and stay in the bytes.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -41,8 +43,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from .shared import with_text_columns
 
-MAX_STATES = 200_000
-MAX_PIECES = 200_000
+#: Bounds of what a Python worker remembers: some 250 MB of pieces, 150 MB of states.
+MAX_STATES = 150_000
+MAX_PIECES = 1_000_000
 _NEVER = 1 << 62
 
 
@@ -134,32 +137,37 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
         emitted, items = self._states[state]
+        child, tokens, pairs = self.child, self.token, self._pairs
         grown, whole = [], None
         for node, chain in items:
-            to = self.child[node].get(byte)
+            to = child[node].get(byte)
             if to is None:
                 continue
-            token = self.token[to]
-            if token >= 0 and whole is None:
+            if whole is None and (token := tokens[to]) >= 0:
                 last = chain[-1] if chain else emitted
-                if last < 0 or self.may_follow(last, token):
+                if last < 0 or (pairs[last, token] if (last, token) in pairs else self.may_follow(last, token)):
                     whole = (*chain, token)
-            if self.child[to]:
+            if child[to]:
                 grown.append((to, chain))
-        grown.append((0, whole))
-        shared = min(len(c) for _, c in grown)
-        k = 0
-        while k < shared and all(c[k] == whole[k] for _, c in grown):
-            k += 1
-        out = whole[:k]
-        new = (out[-1] if k else emitted, tuple((n, c[k:]) for n, c in grown))
+        out = whole
+        for _, chain in grown:  # what all of them begin with
+            if not chain:
+                out = ()
+                break
+            while chain[: len(out)] != out:
+                out = out[:-1]
+        if out:
+            k = len(out)
+            new = (out[-1], (*[(n, c[k:]) for n, c in grown], (0, whole[k:])))
+        else:  # the last emitted token matters only to a token that starts right behind it
+            new = (emitted if any([not c for _, c in grown]) else 0, (*grown, (0, whole)))
         to = self._ids.get(new)
         if to is None:
             to = self._ids[new] = len(self._states)
             self._states.append(new)
             self._moves.append({})
-        self._moves[state][byte] = (out, to)
-        return out, to
+        move = self._moves[state][byte] = (out, to)
+        return move
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -252,6 +260,17 @@ def chunks(ids: np.ndarray, size: int = 8192) -> Iterator[np.ndarray]:
         yield ids[a : a + size]
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Keeps the garbage collector from walking through the tables again and again; they hold no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        gc.enable()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """One for each Python worker: built once, used for all its tasks."""
@@ -264,7 +283,8 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
 
     def fn(texts: pa.Array) -> list[pa.Array]:
         own = encoder(path, pattern)
-        packed = [own.packed(t or "") for t in texts.to_pylist()]
+        with _no_cycles():
+            packed = [own.packed(t or "") for t in texts.to_pylist()]
         ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
         ids = np.frombuffer(b"".join(packed), "<i4")
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(np.diff(ends), pa.int64())]
@@ -279,14 +299,15 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, keep: list[str]
     def fn(texts: pa.Array) -> list[pa.Array]:
         own = encoder(path, pattern)
         sizes, of_ids, of_text = [], [], []
-        for value in texts:
-            packed = own.packed(value.as_py() or "")
-            back = hashlib.sha256()
-            for part in decode_stream(chunks(np.frombuffer(packed, "<u4")), own.table):
-                back.update(part.encode())
-            sizes.append(len(packed) // 4)
-            of_ids.append(hashlib.sha256(packed).hexdigest())
-            of_text.append(back.hexdigest())
+        with _no_cycles():
+            for value in texts:
+                packed = own.packed(value.as_py() or "")
+                back = hashlib.sha256()
+                for part in decode_stream(chunks(np.frombuffer(packed, "<u4")), own.table):
+                    back.update(part.encode())
+                sizes.append(len(packed) // 4)
+                of_ids.append(hashlib.sha256(packed).hexdigest())
+                of_text.append(back.hexdigest())
         return [pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
 
     return with_text_columns(docs, "text", made, fn, keep)
