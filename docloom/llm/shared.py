@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names; where it names none (tests on one machine), a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -25,13 +25,13 @@ def _folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint; for small rows."""
-    _folder(df.sparkSession)
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a Parquet table beside the checkpoints; compressed, so for large rows."""
-    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

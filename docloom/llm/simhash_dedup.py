@@ -39,10 +39,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from . import kernel
-from .shared import cut, map_batches, release, with_text_columns
+from .shared import cut, map_batches, release, stored, with_text_columns
 
 SEED = 42
 SHINGLE = 3
@@ -274,7 +274,208 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     return rows.join(labels, "print").select("doc_id", "print", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id (of rows with one id, all)."""
-    kept = groups(docs.select("doc_id", "text"), shingle, distance).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+# --- texts of some similarity ------------------------------------------------
+
+#: SimHash tables over the distinct words of a text, and the distance at which a table's anchors are visited.
+TABLES, REACH = 16, 1
+SIMILAR = 0.8
+SIMILAR_SHINGLE = 5
+MINIMA = 256
+#: Members of an anchor that one task compares; more are compared block by block.
+BLOCK = 4096
+_PARTS = ("golay", "golay")
+
+
+def _segments(row: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, row) of stretches of equal rows, none longer than ``most``."""
+    place = np.arange(len(row))
+    fresh = np.r_[True, row[1:] != row[:-1]][: len(row)]
+    start = np.maximum.accumulate(np.where(fresh, place, 0))
+    begin = np.flatnonzero((place - start) % most == 0)
+    return begin, row[begin]
+
+
+def word_prints(words: kernel.Words, tables: int = TABLES) -> np.ndarray:
+    """prints[row, table] over the distinct words of each row."""
+    key = np.stack([words.row_of_word().astype(np.uint64), words.hashes()])
+    order = np.lexsort((key[1], key[0]))
+    row, h = key[0][order].astype(np.int64), key[1][order]
+    once = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])][: len(h)]
+    row, h = row[once], h[once]
+    out = np.zeros((words.rows, tables), np.uint64)
+    if not len(h):
+        return out
+    begin, of = _segments(row, 255)
+    rows, first = np.unique(of, return_index=True)
+    n = np.bincount(row, minlength=words.rows)[rows]
+    for t in range(tables):
+        bits = np.unpackbits(kernel.mix(h + np.uint64((t + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        part = np.add.reduceat(bits.view(np.uint64), begin, axis=0).view(np.uint8).astype(np.int64)  # 255 at most in each byte
+        over = 2 * np.add.reduceat(part, first, axis=0) > n[:, None]
+        out[rows, t] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def minima(words: kernel.Words, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """sketch[row, bin]: a byte of the least shingle hash of each of MINIMA bins, 0 for none (one-permutation hashing)."""
+    hashes, counts = words.hashes(), words.counts()
+    first, h = words.windows(hashes, shingle)
+    row = words.row_of_word()[first]
+    short = np.flatnonzero((counts > 0) & (counts < shingle))  # one shingle: all words
+    if len(short):
+        whole = [int(kernel.window_hashes(hashes[words.word_off[i] : words.word_off[i + 1]], np.zeros(1, np.int64), int(counts[i]))[0]) for i in short]
+        row, h = np.concatenate([row, short]), np.concatenate([h, np.array(whole, np.uint64)])
+    bins = row.astype(np.uint64) * np.uint64(MINIMA) + (h & np.uint64(MINIMA - 1))
+    key = np.sort((bins << np.uint64(32)) | (h >> np.uint64(32)))  # rows of a slice are far fewer than 2**24
+    bins = (key >> np.uint64(32)).astype(np.int64)
+    least = np.r_[True, bins[1:] != bins[:-1]][: len(bins)]
+    out = np.zeros(words.rows * MINIMA, np.uint8)
+    out[bins[least]] = (key[least] & np.uint64(0xFFFFFFFF)) % np.uint64(255) + np.uint64(1)
+    return out.reshape(-1, MINIMA)
+
+
+def _sketched(docs: DataFrame) -> DataFrame:
+    """One row for each different word sequence (A-Z lower-cased): doc_id (smallest), copy (its digest), prints, sketch."""
+    made = StructType([StructField("copy", LongType()), StructField("prints", ArrayType(LongType())), StructField("sketch", BinaryType())])
+
+    def fn(texts: pa.Array) -> list[pa.Array]:
+        copies, prints, sketches = [], [np.zeros(0, np.uint64)], []
+        for _, _, words in kernel.word_slices(texts, lower=True):
+            prints.append(word_prints(words).ravel())
+            sketches += [x.tobytes() for x in minima(words)]
+            copies += [xxhash.xxh64_intdigest(b" ".join(words.text(i).split()), SEED) for i in range(words.rows)]
+        offsets = pa.array(np.arange(len(copies) + 1, dtype=np.int32) * TABLES)
+        return [pa.array(np.array(copies, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prints).view(np.int64))), pa.array(sketches, pa.binary())]
+
+    return with_text_columns(docs.where("doc_id is not null"), "text", made, fn, ["doc_id"])
+
+
+def _meetings(texts: DataFrame) -> DataFrame:
+    """anchor, doc_id, home: every text at its home in each table and at the anchors that it visits."""
+    out = StructType([StructField("anchor", LongType()), StructField("doc_id", LongType()), StructField("home", BooleanType())])
+    bits = sum(_decoder(kind)[0] for kind in _PARTS)
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            every = b.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, TABLES)
+            for a in range(0, len(ids), 1024):
+                for t in range(TABLES):
+                    p = np.ascontiguousarray(every[a : a + 1024, t])
+                    who, anchor = visits(p, _PARTS, REACH)
+                    home = anchor == homes(p, _PARTS)[who]
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << bits)).view(np.int64)), pa.array(ids[a + who]), pa.array(home)], names=out.fieldNames())
+
+    return texts.select("doc_id", "prints").transform(map_batches, run, out)
+
+
+class _Forest:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _links_of(key: np.ndarray, ids: np.ndarray, home: np.ndarray, sketch: np.ndarray, similar: float, chunk: int = 1 << 16) -> tuple[list[int], list[int]]:
+    """Links between homes and visitors of one anchor (equal keys, sorted): a forest of each anchor's."""
+    begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+    group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(key)]))
+    end = np.r_[begin[1:], len(key)]
+    hosts = np.flatnonzero(home)
+    size = (end - begin)[group[hosts]]
+    u, v, forest, at = [], [], _Forest(), 0
+    total = np.cumsum(size)
+    while at < len(hosts):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk)))
+        n = size[at:to]
+        left = np.repeat(hosts[at:to], n)
+        right = np.repeat(begin[group[hosts[at:to]]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        other = (left != right) & ~(home[right] & (right < left))
+        left, right = left[other], right[other]
+        for a in range(0, len(left), chunk):
+            x, y = sketch[left[a : a + chunk]], sketch[right[a : a + chunk]]
+            same = ((x == y) & (x != 0)).sum(axis=1)
+            either = ((x != 0) | (y != 0)).sum(axis=1)
+            near = np.flatnonzero(same >= similar * np.maximum(either, 1))
+            for i, j in zip(ids[left[a + near]].tolist(), ids[right[a + near]].tolist()):
+                if forest.join(i, j):
+                    u.append(i)
+                    v.append(j)
+        at = to
+    return u, v
+
+
+def _similar_links(texts: DataFrame, similar: float) -> DataFrame:
+    """u, v: links of texts whose sketches agree in ``similar`` or more, enough of them to connect every anchor's groups."""
+    meetings = _meetings(texts)
+    crowds = meetings.groupBy("anchor").agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("homes")).where("n > 1 and homes > 0")
+    crowds = crowds.select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = meetings.join(crowds, "anchor")
+    # an anchor with more members than a block: hosts of block i meet visitors of block j in a task of their own
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    turns = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    as_visitor = met.select("anchor", "doc_id", F.lit(False).alias("host"), F.explode(turns).alias("i"), own.alias("j"))
+    as_host = met.where("home").select("anchor", "doc_id", F.lit(True).alias("host"), own.alias("i"), F.explode(turns).alias("j"))
+    sides = as_visitor.unionByName(as_host).groupBy("anchor", "i", "j", "doc_id").agg(F.max("host").alias("host"))
+    placed = sides.join(texts.select("doc_id", "sketch"), "doc_id").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "doc_id")
+    out = StructType([StructField("u", LongType()), StructField("v", LongType())])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table):
+            key = np.stack([table.column(i).to_numpy() for i in range(3)], axis=1)
+            sketch = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, MINIMA)
+            u, v = _links_of(key, table.column(3).to_numpy(), table.column(4).to_numpy(zero_copy_only=False), sketch, similar)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=out.fieldNames())
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            table = pa.Table.from_batches(held)
+            key = np.stack([table.column(i).to_numpy() for i in range(3)], axis=1)
+            last = int(np.argmax((key == key[-1]).all(axis=1)))  # the last group may go on
+            if last:
+                yield done(table.slice(0, last))
+                held = table.slice(last).to_batches()
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return placed.select("anchor", "i", "j", "doc_id", "host", "sketch").transform(map_batches, run, out)
+
+
+def similar_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, component_id (smallest doc_id of the group) for each id of ``docs`` (doc_id, text).
+
+    Groups are connected by texts with the same words (A-Z lower-cased) and by
+    texts whose five-word shingles have a Jaccard similarity of ``similar`` or
+    more.  Candidates meet at the anchors of TABLES fingerprints of their
+    distinct words (a few edits change five times as many shingles as words, so
+    these fingerprints stay close where those of shingles do not); similarity is
+    estimated from MINIMA minima, with a standard error of 0.025 at most.  An
+    anchor emits a forest, never all its pairs.
+    """
+    each = stored(_sketched(docs))
+    copies = each.select("doc_id", "copy").groupBy("copy").agg(F.min("doc_id").alias("first"))
+    texts = stored(each.join(copies, "copy").where("doc_id = first").dropDuplicates(["copy"]).select("doc_id", "prints", "sketch"))
+    found = cut(components(_similar_links(texts, similar)))
+    release(docs.sparkSession)
+    roots = copies.join(found.select(F.col("node").alias("first"), "root"), "first", "left").select("copy", F.coalesce("root", "first").alias("component_id"))
+    return each.select("doc_id", "copy").join(roots, "copy").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with the rows of one id for each group of ``similar_groups``, the smallest; rows without an id stay."""
+    gone = similar_groups(docs.select("doc_id", "text"), similar).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
