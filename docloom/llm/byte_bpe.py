@@ -44,6 +44,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from .shared import with_text_columns
 
 #: Bounds of what a Python worker remembers: some 250 MB of pieces, 150 MB of states.
+#: They cost or save time only; a job whose executors have little memory beside the heap passes less.
 MAX_STATES = 150_000
 MAX_PIECES = 1_000_000
 _NEVER = 1 << 62
@@ -70,8 +71,8 @@ def merge(piece: bytes, ranks: dict[bytes, int], below: int = _NEVER) -> list[by
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
+        self.ranks, self.max_states = ranks, max_states
         #: edges of each token: (piece, rank at which it is merged away) from the byte to the whole token
         self.left_edge: dict[int, list[tuple[bytes, int]]] = {}
         self.right_edge: dict[int, list[tuple[bytes, int]]] = {}
@@ -123,7 +124,7 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self._pairs) > 4 * MAX_STATES:
+            if len(self._pairs) > 4 * self.max_states:
                 self._pairs.clear()
             self._pairs[first, second] = known
         return known
@@ -173,7 +174,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._states) > MAX_STATES:
+        if len(self._states) > self.max_states:
             self._reset()
         moves, state, out = self._moves, 0, []
         for byte in piece:
@@ -186,23 +187,23 @@ class Transducer:
 class _Pieces(dict):
     """Ids of each piece as little-endian unsigned 32-bit bytes, made when first met."""
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, transducer: Transducer, most: int):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.most = transducer, most
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
+        if len(self) >= self.most:
             self.clear()
         ids = self[piece] = np.array(self.transducer.encode_piece(piece.encode()), "<u4").tobytes()
         return ids
 
 
 class Encoder:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES):
         ranks = read_ranks(path)
         # the rank file's library takes white space as Unicode's property, which this module's \s is not
         self._split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self._pieces = _Pieces(Transducer(ranks))
+        self._pieces = _Pieces(Transducer(ranks, max_states), max_pieces)
         self.table = {i: t for t, i in ranks.items()}
 
     def packed(self, text: str) -> bytes:
@@ -272,17 +273,17 @@ def _no_cycles() -> Iterator[None]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> Encoder:
     """One for each Python worker: built once, used for all its tasks."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, max_pieces, max_states)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> DataFrame:
     """``docs`` with ``ids`` and ``n_tokens``; path: a rank file at the same place on every executor."""
     made = StructType([StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
 
     def fn(texts: pa.Array) -> list[pa.Array]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, max_pieces, max_states)
         with _no_cycles():
             packed = [own.packed(t or "") for t in texts.to_pylist()]
         ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
