@@ -290,7 +290,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
         ids = np.frombuffer(b"".join(packed), "<i4")
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(np.diff(ends), pa.int64())]
 
-    return with_text_columns(docs, "text", made, fn, keep)
+    return with_text_columns(docs, "text", made, fn, keep, after=encoder.cache_clear)
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -63,22 +65,37 @@ def ship(spark: SparkSession) -> None:
     context._docloom_shipped = True
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on through later stages, beside a heap that needs the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, run, schema: StructType) -> DataFrame:
     """``df.mapInArrow(run, schema)`` with the modules that ``run`` needs."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_text_columns(df: DataFrame, text_col: str, made: StructType, fn, keep: list[str] | None = None) -> DataFrame:
+def with_text_columns(df: DataFrame, text_col: str, made: StructType, fn, keep: list[str] | None = None, after=None) -> DataFrame:
     """``df`` with the columns of ``made``, which ``fn(text column)`` computes a batch at a time.
 
     fn: from an Arrow string array to a list of Arrow arrays, in the order of
     ``made``; it must depend on nothing but the texts, so that a lost task can
-    be run again.  keep: the columns to carry (all, if None).  A carried column
+    be run again.  keep: the columns to carry (all, if None).  after: called at the
+    end of each task.  A carried column
     with the name of a made one is replaced.
     """
     names = set(made.fieldNames())
@@ -90,5 +107,7 @@ def with_text_columns(df: DataFrame, text_col: str, made: StructType, fn, keep:
         for batch in batches:
             columns = fn(batch.column(len(carried)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *columns], names=out.fieldNames())
+        if after is not None:
+            after()
 
     return map_batches(source, run, out)
