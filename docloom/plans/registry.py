@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from docloom.plans import application, documents, retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | application.QUERIES | documents.QUERIES
+ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | application.ORACLE_SQL | documents.ORACLE_SQL
