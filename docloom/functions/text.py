@@ -15,8 +15,8 @@ WORD_PATTERN = r"([\p{L}\p{N}_]{2,})"
 
 
 def words(text: Column) -> Column:
-    """Lower-case words, repeats kept."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(1))
+    """Lower-case words, repeats kept; none for null."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD_PATTERN), F.lit(1))
 
 
 def index_terms(text: Column) -> Column:
