@@ -316,8 +316,12 @@ def word_prints(words: kernel.Words, tables: int = TABLES) -> np.ndarray:
     return out
 
 
-def minima(words: kernel.Words, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """sketch[row, bin]: a byte of the least shingle hash of each of MINIMA bins, 0 for none (one-permutation hashing)."""
+def minima(words: kernel.Words, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(sketch[row, bin], number of different shingles of each row).
+
+    A sketch has a byte of the least shingle hash of each of MINIMA bins, 0 for
+    none (one-permutation hashing).
+    """
     hashes, counts = words.hashes(), words.counts()
     first, h = words.windows(hashes, shingle)
     row = words.row_of_word()[first]
@@ -331,42 +335,45 @@ def minima(words: kernel.Words, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
     least = np.r_[True, bins[1:] != bins[:-1]][: len(bins)]
     out = np.zeros(words.rows * MINIMA, np.uint8)
     out[bins[least]] = (key[least] & np.uint64(0xFFFFFFFF)) % np.uint64(255) + np.uint64(1)
-    return out.reshape(-1, MINIMA)
+    different = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    return out.reshape(-1, MINIMA), np.bincount(bins[different] // MINIMA, minlength=words.rows)
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """One row for each different word sequence (A-Z lower-cased): doc_id (smallest), copy (its digest), prints, sketch."""
-    made = StructType([StructField("copy", LongType()), StructField("prints", ArrayType(LongType())), StructField("sketch", BinaryType())])
+    """doc_id, copy (digest of the words, A-Z lower-cased), n (different shingles), prints, sketch of each row."""
+    made = StructType([StructField("copy", LongType()), StructField("n", LongType()), StructField("prints", ArrayType(LongType())), StructField("sketch", BinaryType())])
 
     def fn(texts: pa.Array) -> list[pa.Array]:
-        copies, prints, sketches = [], [np.zeros(0, np.uint64)], []
+        copies, sizes, prints, sketches = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
         for _, _, words in kernel.word_slices(texts, lower=True):
             prints.append(word_prints(words).ravel())
-            sketches += [x.tobytes() for x in minima(words)]
+            sketch, n = minima(words)
+            sketches += [x.tobytes() for x in sketch]
+            sizes.append(n)
             copies += [xxhash.xxh64_intdigest(b" ".join(words.text(i).split()), SEED) for i in range(words.rows)]
         offsets = pa.array(np.arange(len(copies) + 1, dtype=np.int32) * TABLES)
-        return [pa.array(np.array(copies, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prints).view(np.int64))), pa.array(sketches, pa.binary())]
+        return [pa.array(np.array(copies, np.uint64).view(np.int64)), pa.array(np.concatenate(sizes)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prints).view(np.int64))), pa.array(sketches, pa.binary())]
 
     return with_text_columns(docs.where("doc_id is not null"), "text", made, fn, ["doc_id"])
 
 
 def _meetings(texts: DataFrame) -> DataFrame:
-    """anchor, doc_id, home: every text at its home in each table and at the anchors that it visits."""
-    out = StructType([StructField("anchor", LongType()), StructField("doc_id", LongType()), StructField("home", BooleanType())])
+    """anchor, doc_id, n, home: every text at its home in each table and at the anchors that it visits."""
+    out = StructType([StructField("anchor", LongType()), StructField("doc_id", LongType()), StructField("n", LongType()), StructField("home", BooleanType())])
     bits = sum(_decoder(kind)[0] for kind in _PARTS)
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            every = b.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, TABLES)
+            ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
+            every = b.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, TABLES)
             for a in range(0, len(ids), 1024):
                 for t in range(TABLES):
                     p = np.ascontiguousarray(every[a : a + 1024, t])
                     who, anchor = visits(p, _PARTS, REACH)
                     home = anchor == homes(p, _PARTS)[who]
-                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << bits)).view(np.int64)), pa.array(ids[a + who]), pa.array(home)], names=out.fieldNames())
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << bits)).view(np.int64)), pa.array(ids[a + who]), pa.array(sizes[a + who]), pa.array(home)], names=out.fieldNames())
 
-    return texts.select("doc_id", "prints").transform(map_batches, run, out)
+    return texts.select("doc_id", "n", "prints").transform(map_batches, run, out)
 
 
 class _Forest:
@@ -418,9 +425,13 @@ def _links_of(key: np.ndarray, ids: np.ndarray, home: np.ndarray, sketch: np.nda
 def _similar_links(texts: DataFrame, similar: float) -> DataFrame:
     """u, v: links of texts whose sketches agree in ``similar`` or more, enough of them to connect every anchor's groups."""
     meetings = _meetings(texts)
-    crowds = meetings.groupBy("anchor").agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("homes")).where("n > 1 and homes > 0")
-    crowds = crowds.select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = meetings.join(crowds, "anchor")
+    at_home = F.when(F.col("home"), F.col("n"))
+    crowds = meetings.groupBy("anchor").agg(F.count("*").alias("members"), F.min(at_home).alias("low"), F.max(at_home).alias("high")).where("members > 1 and low is not null")
+    # sets of a similarity have sizes of that ratio at least: who fits no host's size meets nobody
+    met = meetings.join(crowds.select("anchor", "low", "high"), "anchor").where((F.col("n") >= similar * F.col("low")) & (similar * F.col("n") <= F.col("high")))
+    met = stored(met.select("anchor", "doc_id", "home"))
+    crowds = met.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1").select("anchor", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    met = met.join(crowds, "anchor")
     # an anchor with more members than a block: hosts of block i meet visitors of block j in a task of their own
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     turns = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -468,7 +479,7 @@ def similar_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     each = stored(_sketched(docs))
     copies = each.select("doc_id", "copy").groupBy("copy").agg(F.min("doc_id").alias("first"))
-    texts = stored(each.join(copies, "copy").where("doc_id = first").dropDuplicates(["copy"]).select("doc_id", "prints", "sketch"))
+    texts = stored(each.join(copies, "copy").where("doc_id = first").dropDuplicates(["copy"]).select("doc_id", "n", "prints", "sketch"))
     found = cut(components(_similar_links(texts, similar)))
     release(docs.sparkSession)
     roots = copies.join(found.select(F.col("node").alias("first"), "root"), "first", "left").select("copy", F.coalesce("root", "first").alias("component_id"))

@@ -129,7 +129,7 @@ def test_similarity_of_sketches():
     a = [f"w{i}" for i in range(2000)]
     for cut in (0, 100, 400):
         b = a[:2000 - cut] + [f"v{i}" for i in range(cut)]
-        sa, sb = (simhash_dedup.minima(next(simhash_dedup.kernel.word_slices(pa.array([" ".join(x)])))[2])[0] for x in (a, b))
+        sa, sb = (simhash_dedup.minima(next(simhash_dedup.kernel.word_slices(pa.array([" ".join(x)])))[2])[0][0] for x in (a, b))
         x, y = ({tuple(w[i : i + 5]) for i in range(1996)} for w in (a, b))
         estimate = ((sa == sb) & (sa != 0)).sum() / ((sa != 0) | (sb != 0)).sum()
         assert abs(estimate - len(x & y) / len(x | y)) < 0.1
