@@ -15,8 +15,9 @@ Steps, each a Spark job over rows much smaller than the texts:
    subsequences; equal windows have equal seeds, and neighbouring windows share
    theirs, so about one row for five words is shuffled.  Windows whose seed
    occurs in one text only can't be repeated and are left out.
-3. ``_edges``: the candidate windows as edges (hash of the first and of the last
-   K-1 words: 128 bits), grouped to sources; unique edges stay out.
+3. ``_paths``: runs of candidate windows as walks over nodes (64-bit hashes), kept
+   as a table; ``_edges``: their steps as edges (two nodes: 128 bits), grouped to
+   sources; unique edges stay out.
 4. ``_spans``: a node is nonbranching when one repeated edge enters and one
    leaves it.  Edges join their nodes' degrees, occurrences join their edges, and
    a document's consecutive occurrences that follow one path are compacted into
@@ -139,13 +140,9 @@ def _windows_of(runs: list[int], n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edges)[:n] > 0)
 
 
-_EDGE = [StructField("head", LongType()), StructField("tail", LongType())]
-
-
-def _occurrences(searched: DataFrame, k: int, combine: bool) -> DataFrame:
-    """Candidate windows as edges with their places; combine: one row for each edge of a slice, with its source."""
-    fields = [StructField("source", LongType()), StructField("source_at", IntegerType()), StructField("last", LongType())] if combine else [StructField("doc_id", LongType()), StructField("at", IntegerType())]
-    out = StructType(_EDGE + fields)
+def _paths(searched: DataFrame, k: int) -> DataFrame:
+    """doc_id, at, nodes: runs of consecutive candidate windows of a document; window at + i goes from node i to node i + 1."""
+    out = StructType([StructField("doc_id", LongType()), StructField("at", IntegerType()), StructField("nodes", ArrayType(LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -162,39 +159,67 @@ def _occurrences(searched: DataFrame, k: int, combine: bool) -> DataFrame:
                 if not picked or not sum(map(len, picked)):
                     continue
                 first, row = np.concatenate(picked), np.concatenate(row)
-                nodes = kernel.window_hashes(hashes, np.arange(len(hashes) - k + 2), k - 1)
-                head, tail = kernel.signed(nodes[first]), kernel.signed(nodes[first + 1])
-                doc, at = ids[a + row], (first - words.word_off[row]).astype(np.int32)
-                if not combine:
-                    columns = [head, tail, doc, at]
-                else:
-                    order = np.lexsort((at, doc, tail, head))
-                    head, tail, doc, at = head[order], tail[order], doc[order], at[order]
-                    begin = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])
-                    end = np.r_[begin[1:], len(head)] - 1
-                    columns = [head[begin], tail[begin], doc[begin], at[begin], doc[end]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=out.fieldNames())
+                begin = np.flatnonzero(np.r_[True, (first[1:] != first[:-1] + 1) | (row[1:] != row[:-1])])
+                size = np.diff(np.r_[begin, len(first)]) + 1
+                ends = np.cumsum(size)
+                place = np.repeat(first[begin] - (ends - size), size) + np.arange(int(ends[-1]))
+                nodes = kernel.signed(kernel.window_hashes(hashes, np.arange(len(hashes) - k + 2), k - 1)[place])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(nodes))
+                at = (first[begin] - words.word_off[row[begin]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + row[begin]]), pa.array(at), lists], names=out.fieldNames())
 
     return searched.select("doc_id", "text", "runs").transform(map_batches, run, out)
 
 
-def _edges(searched: DataFrame, k: int) -> DataFrame:
+_EDGE = [StructField("head", LongType()), StructField("tail", LongType())]
+
+
+def _occurrences(paths: DataFrame, combine: bool) -> DataFrame:
+    """Windows as edges with their places; combine: one row for each edge of some thousand runs, with its source there."""
+    fields = [StructField("source", LongType()), StructField("source_at", IntegerType()), StructField("last", LongType())] if combine else [StructField("doc_id", LongType()), StructField("at", IntegerType())]
+    out = StructType(_EDGE + fields)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = np.diff(_list_offsets(batch.column(2))) - 1
+            nodes = _flat(batch.column(2))
+            run_at = np.cumsum(size + 1) - (size + 1)
+            place = np.repeat(run_at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            head, tail = nodes[place], nodes[place + 1]
+            doc = np.repeat(batch.column(0).to_numpy(), size)
+            at = (np.repeat(batch.column(1).to_numpy() - run_at, size) + place).astype(np.int32)
+            if not combine:
+                columns = [head, tail, doc, at]
+            else:
+                order = np.lexsort((at, doc, tail, head))
+                head, tail, doc, at = head[order], tail[order], doc[order], at[order]
+                begin = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])
+                end = np.r_[begin[1:], len(head)] - 1
+                columns = [head[begin], tail[begin], doc[begin], at[begin], doc[end]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=out.fieldNames())
+
+    return paths.transform(map_batches, run, out)
+
+
+def _edges(paths: DataFrame) -> DataFrame:
     """Repeated edges: head, tail, source, source_at, and whether their head is a nonbranching node."""
     edges = (
-        _occurrences(searched, k, combine=True)
+        _occurrences(paths, combine=True)
         .groupBy("head", "tail")
         .agg(F.min("source").alias("source"), F.min_by("source_at", "source").alias("source_at"), F.max("last").alias("last"))
         .where("source < last").drop("last")
     )
     edges = stored(edges)
-    release(searched.sparkSession)
+    release(paths.sparkSession)
     entering = edges.groupBy(F.col("tail").alias("head")).agg(F.count("*").alias("entering"))
     leaving = edges.groupBy("head").agg(F.count("*").alias("leaving"))
     plain = entering.join(leaving, "head").where("entering = 1 and leaving = 1").select("head", F.lit(True).alias("plain"))
     return edges.join(plain, "head", "left").withColumn("plain", F.coalesce("plain", F.lit(False)))
 
 
-def _spans(searched: DataFrame, k: int) -> DataFrame:
+def _spans(paths: DataFrame, k: int) -> DataFrame:
     """doc_id, at, n, source, source_at: spans of a document as arrays, in its order, where a source is earlier."""
     out = StructType([StructField("doc_id", LongType())] + [StructField(c, ArrayType(t)) for c, t in (("at", IntegerType()), ("n", IntegerType()), ("source", LongType()), ("source_at", IntegerType()))])
 
@@ -215,8 +240,8 @@ def _spans(searched: DataFrame, k: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(v)) for v in (at[begin], size.astype(np.int32), source[begin], there[begin])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=out.fieldNames())
 
-    places = _occurrences(searched, k, combine=False)
-    found = places.join(_edges(searched, k), ["head", "tail"]).where("source < doc_id")
+    places = _occurrences(paths, combine=False)
+    found = places.join(_edges(paths), ["head", "tail"]).where("source < doc_id")
     steps = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "source", "source_at", "plain")).alias("steps"))
     return steps.select("doc_id", *[F.col(f"steps.{c}").alias(c) for c in ("at", "source", "source_at", "plain")]).transform(map_batches, run, out)
 
@@ -241,7 +266,9 @@ def repeated_spans(docs: DataFrame, k: int = K, seed: int = SEED) -> tuple[DataF
     release(docs.sparkSession)
     chosen = texts.where("doc_id is not null and compared and source = doc_id").select("doc_id", "text_hash")
     searched = _keyed(docs).join(runs.join(chosen, "doc_id"), ["doc_id", "text_hash"])
-    spans = stored(_spans(searched, k).join(chosen, "doc_id"))
+    paths = stored(_paths(searched, k))
+    release(docs.sparkSession)
+    spans = stored(_spans(paths, k).join(chosen, "doc_id"))
     release(docs.sparkSession)
     return texts, spans
 
