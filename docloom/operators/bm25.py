@@ -74,16 +74,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: Column | N
     allowed: a condition on ``docs``; statistics are those of all documents.
     """
     wanted = queries.select("query_id", F.explode(T.index_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    vocabulary = wanted.select("term").distinct()
+    # every document also has one posting of the empty term, so that one pass over the texts gives the totals, too
+    vocabulary = wanted.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
     kept = F.lit(True) if allowed is None else allowed
     tokens = docs.select("doc_id", kept.alias("kept"), T.index_terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
-    totals = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     postings = (
-        tokens.select("doc_id", "kept", "dl", F.explode("terms").alias("term"))
+        tokens.select("doc_id", "kept", "dl", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
         .join(vocabulary, "term", "left_semi")
         .groupBy("term", "doc_id", "kept", "dl").agg(F.count("*").alias("tf"))
     )
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    totals = postings.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    df = postings.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     part = F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = (
         postings.where("kept").join(df, "term").join(wanted, "term").join(F.broadcast(totals))  # totals is one row

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 
 
+#: A table between these sizes may be one row group, which one task reads; its rows are dealt to all cores.
+SMALL, LARGE = 1 << 20, 64 << 20
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one is spread over the cores, which a large one is by its files."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(spark.sparkContext.defaultParallelism) if SMALL < size < LARGE else df
 
 
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
