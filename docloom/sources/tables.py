@@ -15,7 +15,7 @@ SMALL, LARGE = 1 << 20, 64 << 20
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; a small one is spread over the cores, which a large one is by its files."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(spark.sparkContext.defaultParallelism) if SMALL < size < LARGE else df
 
 
