@@ -78,4 +78,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _escaped(column: str, pattern: str) -> str:
+    return f"regexp_replace(coalesce({column}, ''), '({pattern})', '\\\\\\1', 'g')"
+
+
+#: The operators whose results plain SQL can state; the others are held against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_format": f"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length('### ' || {_escaped('role', '[\\\\:]|###|</turn>')} || ': ' || {_escaped('text', '[\\\\]|###|</turn>')} || '</turn>' || chr(10))) as bigint) as formatted_chars
+from c group by conv_id""",
+    "op8_substring_dedup": """with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+g as (select doc_id, i, array_to_string(ws[i : i + 12], ' ') as s from w, unnest(generate_series(1, len(ws) - 12)) as t(i)),
+f as (select s, min(doc_id) as first_doc from g group by s),
+r as (select distinct doc_id, i + k as pos from g join f using (s), generate_series(0, 12) as o(k) where first_doc < doc_id),
+x as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+y as (select x.doc_id, count(*) as n_words, count(r.pos) as n_removed, coalesce(string_agg(word, ' ' order by x.pos) filter (where r.pos is null), '') as kept from x left join r on r.doc_id = x.doc_id and r.pos = x.pos group by x.doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents d left join y using (doc_id)""",
+}

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docloom.sources.tables import load as table  # noqa: F401  for the queries
+
 
 def folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names; where it names none (tests on one machine), a temporary one."""
@@ -85,10 +87,6 @@ def map_batches(df: DataFrame, run, schema: StructType) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def with_text_columns(df: DataFrame, text_col: str, made: StructType, fn, keep: list[str] | None = None, after=None) -> DataFrame:
     """``df`` with the columns of ``made``, which ``fn(text column)`` computes a batch at a time.
 
