@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import bm25, dense, retrieval
+from docloom.operators import bm25, chat_flow, dense, retrieval
 from docloom.sources.tables import load
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -158,7 +158,28 @@ r as (select *, row_number() over (partition by query_id order by rerank_score d
 select query_id, cast(final_rank as bigint) as final_rank, doc_id, src, rerank_score from r where final_rank <= 3"""
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_topk, bm25_term_stats, bm25_doc_len, metadata_posting_sets, exact_dedup_first_wins, dense_topk, dense_filtered_topk, template_top1, route_queries, retrieval_debug, hybrid_union_dedup, hybrid_rerank_top3)}
+def chat_answer(spark, sf_dir):
+    """Every benchmark passage as a question, with the vector of its number."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    questions = _queries(spark, sf_dir)
+    vectors = _vectors(spark, sf_dir).join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    asked = questions.join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding"), "query_id").select("query_id", "embedding")
+    out = chat_flow.answer(questions, docs, vectors, asked, F.col("source") == "src3")
+    return out.select("query_id", "gate", "decision", "needs_retry", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.length("prompt").cast("long").alias("prompt_chars"))
+
+
+QUERIES = {f.__name__: f for f in (chat_answer, bm25_topk, bm25_filtered_topk, bm25_term_stats, bm25_doc_len, metadata_posting_sets, exact_dedup_first_wins, dense_topk, dense_filtered_topk, template_top1, route_queries, retrieval_debug, hybrid_union_dedup, hybrid_rerank_top3)}
+
+_ANSWER_SQL = _RERANK_SQL[: _RERANK_SQL.rindex("select query_id, cast(final_rank")] + f"""select b.item_id as query_id, 'pass' as gate, coalesce(z.decision, 'FALLBACK') as decision, coalesce(z.decision = 'RETRY', false) as needs_retry,
+  coalesce(z.chunk_ids, '') as chunk_ids, z.prompt_chars
+from benchmark b join (
+  select query_id, decision, case when decision = 'FALLBACK' then '' else string_agg(doc_id::varchar, ',' order by rerank_score desc, final_rank) filter (where used) end as chunk_ids,
+    case when decision = 'FALLBACK' then {len(chat_flow.judge.FALLBACK_MESSAGE)} else
+      cast(sum(length('<chunk id="1">      <source_metadata>        Chunk Id:       </source_metadata>      <content>              </content>    </chunk>') + 7 + length(doc_id::varchar)
+        + length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) filter (where used) + 2 * (count(*) filter (where used) - 1) as bigint) end as prompt_chars
+  from (select *, case when decision = 'PASS' then rerank_score >= 0.78 else rerank_score >= 0.5 and rerank_score < 0.78 end as used from (
+    select *, case when max(rerank_score) over (partition by query_id) >= 0.78 then 'PASS' when max(rerank_score) over (partition by query_id) >= 0.5 then 'RETRY' else 'FALLBACK' end as decision
+    from r where final_rank <= 3)) group by query_id, decision) z on z.query_id = b.item_id"""
 
 ORACLE_SQL = {
     "bm25_topk": _bm25_sql(10, "true"),
@@ -174,4 +195,5 @@ ORACLE_SQL = {
     "retrieval_debug": f"with {_lists_sql()} select query_id, src, cast(rank as bigint) as rank, doc_id from lists",
     "hybrid_union_dedup": f"with {_lists_sql()} select query_id, src, cast(rank as bigint) as rank, doc_id from dedup where n = 1",
     "hybrid_rerank_top3": _RERANK_SQL,
+    "chat_answer": _ANSWER_SQL,
 }

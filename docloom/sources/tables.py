@@ -60,3 +60,11 @@ def external_chunks(hits: DataFrame, fragments: DataFrame) -> DataFrame:
     """Recorded hits and fragments (tid, headline, title) as chunks; hits without a fragment are skipped."""
     joined = external_hits(hits).join(fragments, "tid")
     return joined.select("query_id", "position", T.html_text(F.array_join("headline", " ")).alias("content"), F.col("title").alias("source"), F.col("docsource").alias("court"), F.col("publishdate").alias("date"), F.col("tid").alias("doc_id"))
+
+
+def traced(df: DataFrame, name: str):
+    """(df, observation): the frame counts its rows as it runs; ``observation.get`` has the counts afterwards."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
