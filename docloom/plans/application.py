@@ -229,6 +229,15 @@ select conv_id, case when history = '' then '{app.NO_HISTORY}' else history end
 d as (select *, row_number() over (partition by user_id, day order by ts, event_id) <= 2 as in_day from e)
 select event_id, user_id, in_day and sum(in_day::int) over (partition by user_id, month order by ts, event_id rows unbounded preceding) <= 30 as admitted from d""",
     "quota_daily_usage": "select user_id, strftime(ts, '%Y-%m-%d') as day, cast(sum(floor(value)::bigint) as bigint) as used from events where event_type = 'purchase' group by 1, 2",
+    "quota_chat_fold": """with recursive e as (select user_id, event_id, event_type = 'error' as adjust, case when event_type = 'purchase' then 600 else floor(value)::bigint - 200 end as amount,
+  strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type in ('purchase', 'error')),
+r as (select user_id, n, event_id, day, month, adjust or amount <= 1000 as admitted, case when adjust or amount <= 1000 then amount else 0 end as day_used, case when adjust or amount <= 1000 then amount else 0 end as month_used from e where n = 1
+  union all
+  select user_id, n, event_id, day, month, ok, d + case when ok then amount else 0 end, m + case when ok then amount else 0 end from (
+    select *, adjust or (d + amount <= 1000 and m + amount <= 20000) as ok from (
+      select e.user_id, e.n, e.event_id, e.day, e.month, e.adjust, e.amount, case when r.day = e.day then r.day_used else 0 end as d, case when r.month = e.month then r.month_used else 0 end as m
+      from r join e on e.user_id = r.user_id and e.n = r.n + 1)))
+select user_id, event_id, admitted, cast(day_used as bigint) as day_used, cast(month_used as bigint) as month_used from r""",
     "quota_left": "select user_id, strftime(ts, '%Y-%m-%d') as day, cast(greatest(0, 1000 - sum(floor(value)::bigint)) as bigint) as \"left\" from events where event_type = 'purchase' group by 1, 2",
     "user_docs_semijoin": "select o_orderkey, o_custkey, o_orderstatus from orders where o_custkey in (select c_custkey from customer)",
     "fk_join_user_docs": "select n_name, count(*) as n_documents, count(distinct c_custkey) as n_users from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name",

@@ -103,6 +103,36 @@ _DETECT = " union all ".join(
     for label in ("EMAIL", "DOCUMENT DATE")
 )
 
+_LAYOUT_SQL = """t as (select doc_id, 'Synopsis' || chr(10) || '| ' || string_split(text, chr(10))[1] || ' |' || chr(10) || '|---|' || chr(10) || 'entry one' || chr(10) || text || chr(10)
+  || '5 [1 . Definition - body @@PAGE_1@@' || chr(10) || '12. A v B, AIR 1950 @@PAGE_2@@' || chr(10) || '12' || chr(10) || 'end' as text from documents where text is not null),
+l as (select doc_id, i, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as s from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from t))"""
+
+_SYNOPSIS_SQL = f"""with recursive {_LAYOUT_SQL},
+p as (select *, regexp_matches(s, '(?i)^[\\s|]*synopsis\\b') as begins, s = '' or regexp_matches(s, '^[\\s|\\-]+$') as bare, contains(s, '|') as piped,
+  string_split(regexp_replace(s, '^\\|+|\\|+$', '', 'g'), '|') as c, regexp_replace(regexp_replace(lower(s), '@@page_\\d+@@', '', 'g'), '[^a-z0-9]', '', 'g') as body from l),
+q as (select doc_id, i, begins, bare, piped, body, regexp_replace(lower(c[1] || coalesce(c[2], '')), '[^a-z0-9]', '', 'g') as named from p),
+r as (select doc_id, 0::bigint as i, false as inside, '' as target, false as keep from t
+  union all
+  select q.doc_id, q.i::bigint, case when begins then true when not inside then false when target = '' then true else not closes end,
+    case when begins or not inside then '' when target = '' then (case when bare then '' else named end) when closes then '' else target end, not begins and (not inside or (target <> '' and closes))
+  from (select q.*, r.inside, r.target, body <> '' and not piped and (starts_with(body, r.target) or (length(body) > 5 and starts_with(r.target, body))) as closes from r join q on q.doc_id = r.doc_id and q.i = r.i + 1) q)
+select r.doc_id, coalesce(string_agg(line, chr(10) order by r.i) filter (where keep), '') as text from r join l on l.doc_id = r.doc_id and l.i = r.i group by r.doc_id"""
+
+
+def _hierarchy_sql() -> str:
+    rules = structure.heading_rules(TOC)
+    case = lambda value: "case " + " ".join(f"when regexp_matches(s, '(?i){r['pattern']}') then {value(r)}" for r in rules) + " end"
+    text = lambda v: "null" if v is None else f"'{v}'"
+    return f"""with {_LAYOUT_SQL},
+m as (select *, case when s <> '' then {case(lambda r: r['level'])} end as level, {case(lambda r: text(r['raw_text']))} as raw, {case(lambda r: text(r['parent_l1']))} as one, {case(lambda r: text(r['parent_l2']))} as two,
+  regexp_replace(regexp_replace({case(lambda r: f"regexp_extract(s, '(?i){r['pattern']}', 1)")}, '^[ .:;,\\-—–_=|*~\\t\\n\\r]+', ''), '^\\s+|\\s+$', '', 'g') as body from l),
+n as (select *, case when level = 1 then raw when level in (2, 3) then nullif(one, '') end as need1, case when level = 2 then raw when level = 3 then nullif(two, '') end as need2 from m),
+w as (select *, need1 is not null and level <> 1 and row_number() over (partition by doc_id, need1 order by i) = 1 as add1, need2 is not null and level = 3 and row_number() over (partition by doc_id, need2 order by i) = 1 as add2 from n),
+o as (select doc_id, i, case when s = '' then '' when level is null and length(s) < 4 and regexp_matches(s, '^\\d+$') then null when level is null then line
+  else (case when add1 then '# @@H1@@ ' || need1 || chr(10) else '' end) || (case when add2 then '## @@H2@@ ' || need2 || chr(10) else '' end) || repeat('#', level) || ' @@H' || level || '@@ ' || raw || (case when body <> '' then chr(10) || body else '' end) end as x from w)
+select doc_id, string_agg(x, chr(10) order by i) as text from o group by doc_id"""
+
+
 ORACLE_SQL = {
     "html_clean": f"select page_id, {_html_sql()} as text from pages",
     "pii_detect": f"select doc_id, label, value, cast(pos as bigint) as pos from ({_DETECT})",
@@ -113,6 +143,8 @@ r as (select *, coalesce(lead(start_page) over (partition by doc_id order by ord
 select doc_id as doc, cast(ord as bigint) as ord, cast(start_page as bigint) as start_page, cast(end_page as bigint) as end_page from r where level = 1""",
     "page_methods": f"select page_id, case when length({_html_sql()}) > 50 then 'digital' else 'ocr' end as method from pages",
     "chunk_previews": "select doc_id, left(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 150) as preview from documents",
+    "synopsis_removed": _SYNOPSIS_SQL,
+    "hierarchy_fixed": _hierarchy_sql(),
     "template_headers": """with l as (select doc_id, unnest(string_split(regexp_replace(text, '(?m)^The', '## The', 'g'), chr(10))) as line, generate_subscripts(string_split(regexp_replace(text, '(?m)^The', '## The', 'g'), chr(10)), 1) as i from documents),
 h as (select *, starts_with(line, '##') as head, sum(starts_with(line, '##')::int) over (partition by doc_id order by i) as n, trim(substr(line, 3), ' ' || chr(9) || chr(13)) as title from l)
 select doc_id, string_agg(case when not head then line when n = 1 then '## ' || title || chr(10) || title else title end, chr(10) order by i) as text from h group by doc_id""",
