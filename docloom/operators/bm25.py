@@ -82,6 +82,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: Column | N
         tokens.select("doc_id", "kept", "dl", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
         .join(vocabulary, "term", "left_semi")
         .groupBy("term", "doc_id", "kept", "dl").agg(F.count("*").alias("tf"))
+        .persist()  # read three times below: for totals, frequencies and scores; without it each would tokenise the texts again
     )
     totals = postings.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     df = postings.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
