@@ -270,7 +270,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     release(docs.sparkSession)
     roots = prints.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     named = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = roots.select("print", "root").join(named, "root").select("print", "component_id")
+    labels = cut(roots.select("print", "root").join(named, "root").select("print", "component_id"))  # so that the join below can split a large group
     return rows.join(labels, "print").select("doc_id", "print", "component_id")
 
 
@@ -478,7 +478,7 @@ def similar_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     anchor emits a forest, never all its pairs.
     """
     each = stored(_sketched(docs))
-    copies = each.select("doc_id", "copy").groupBy("copy").agg(F.min("doc_id").alias("first"))
+    copies = cut(each.select("doc_id", "copy").groupBy("copy").agg(F.min("doc_id").alias("first")))
     texts = stored(each.join(copies, "copy").where("doc_id = first").dropDuplicates(["copy"]).select("doc_id", "n", "prints", "sketch"))
     found = cut(components(_similar_links(texts, similar)))
     release(docs.sparkSession)

@@ -74,7 +74,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
     each = with_text_columns(docs.withColumn("text_hash", F.xxhash64("text")), "text", made, fn, ["doc_id", "text_hash"])
     each = cut(each)
-    source = each.groupBy("sha256").agg(F.min("doc_id").alias("source"))
+    # a table of its own, so that the join below deals both sides anew and a large group of copies can be split
+    source = cut(each.groupBy("sha256").agg(F.min("doc_id").alias("source")))
     chosen = each.groupBy("doc_id").agg(F.min("sha256").alias("chosen"))
     return cut(
         each.join(source, "sha256").join(chosen, "doc_id", "left")
