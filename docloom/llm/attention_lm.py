@@ -51,17 +51,17 @@ from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, Str
 from . import byte_bpe, kernel
 from .shared import map_batches, release, stored
 
-RANKS = 1024
+RANKS = 2048
 WORDS = 1 << 18
 #: Weight of the frequent words' own frequencies in a word's probability.
 WORD_SHARE = 0.2
 #: Most runs of three ids that are remembered (the most frequent), and what is taken off their counts.
-RUNS = 1 << 18
+RUNS = 1 << 21
 DISCOUNT = 0.75
 WIDTH = 16
-CLASSES = 32
-CONTEXT, STRIDE = 8, 16
-TRAIN_EVERY = 32
+CLASSES = 64
+CONTEXT, STRIDE = 16, 16
+TRAIN_EVERY = 16
 #: Counts that a task holds before it sends some on; how many changes no sum.
 HELD = 1_000_000
 _SPAN = CONTEXT + STRIDE
@@ -342,6 +342,9 @@ class Lookup:
             self.probes += 1
         self.filled = np.append(self.keys, np.uint64(0))[self.place]
 
+    def __reduce__(self):
+        return Lookup, (self.keys,)  # only the keys travel; a worker builds the slots once
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -415,7 +418,7 @@ def run_counts(train: DataFrame, path: str, ranks: int) -> DataFrame:
 
 def pairs_and_memory(runs: DataFrame, size: int, most: int = RUNS) -> tuple[np.ndarray, Memory]:
     """pairs[last, next], and the memory of the most frequent runs; size**2 and ``most`` numbers reach the driver at most."""
-    cells = runs.groupBy((F.col("code") % (size * size)).cast("int").alias("cell")).agg(F.sum("count").alias("count")).toPandas()
+    cells = runs.groupBy((F.col("code") % (size * size)).cast("int").alias("cell")).agg(F.sum("count").alias("count")).toArrow()
     pairs = np.zeros(size * size)
     pairs[cells["cell"].to_numpy()] = cells["count"].to_numpy()
     least = max(2, _least_count(runs, most))

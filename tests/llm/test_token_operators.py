@@ -181,6 +181,20 @@ def test_model_is_a_distribution_and_causal():
     assert np.allclose(a[before], b[before])
 
 
+def test_a_scored_id_reads_seventeen_ids_back():
+    t, ids, rows, shifted = tiny()
+    w = attention_lm.start_weights()
+    w["out"] *= 20
+    places = attention_lm.window_places(np.array([0]), np.array([200]))
+    first = 6 * attention_lm.STRIDE
+    other = ids.copy()
+    other[first - 17] = (ids[first - 17] + 7) % 79
+    a, b = (attention_lm.batch(x, attention_lm._shifted(x, np.array([0]), 79), *places) for x in (ids, other))
+    at = a.scored & (a.place == first)
+    assert attention_lm.forward(w, t, a)[0][at] != attention_lm.forward(w, t, b)[0][at]
+    assert (attention_lm.RANKS, attention_lm.CLASSES) == (2048, 64)
+
+
 def test_gradient_and_training():
     t, ids, rows, shifted = tiny()
     w = {k: v.astype(np.float64) for k, v in attention_lm.start_weights().items()}
