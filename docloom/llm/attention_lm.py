@@ -13,11 +13,11 @@ tilts the bigram distribution:
     p(id | window) = P(id | last) exp(s[class(id)]) / sum_c P(class c | last) exp(s[c])
 
 so it is normalised by a sum over classes alone.  The attention is what knows the
-language and style of a text beyond the last id.  Frequent runs of three ids are a
-memory beside it: P(id | last two) is the discounted share of the kept runs, and
-what that leaves of the probability is the attention's.  A word's probability is the
-product over its ids, mixed with the word's frequency among the WORDS most frequent
-training words with a weight of WORD_SHARE.
+language and style of a text beyond the last id.  Runs of three ids that repeat are a
+memory beside it: P(id | last two) is the discounted share of the run, and what the
+runs leave of the probability is the attention's.  A word's probability is the
+product over its ids, mixed with the word's frequency among all training words with
+a weight of WORD_SHARE.
 
 Scoring uses overlapping windows: each holds CONTEXT ids that were scored before
 and STRIDE ids that are scored in it, so every id is scored once with at least
@@ -28,8 +28,10 @@ every task on one of TRAIN_EVERY windows of all its training texts (Adagrad), an
 the tasks' weights are averaged in proportion to their windows, so the work
 follows the input.
 
-Words outside the WORDS most frequent are joined with the counts by a 64-bit hash;
-each of them has at most 1/WORDS of all tokens, so no key of that join is hot.
+Every repeated run and every word of the training texts takes part: tasks hold the
+RUNS and WORDS most frequent, and the others are joined with the texts' ids and words
+(by a 64-bit hash), so what is gathered grows with the input.  Each of the others has
+at most 1/WORDS or 1/RUNS of the training tokens, so no key of that join is hot.
 
 Defined cases: a null or empty text is its end; a null id counts as the empty
 string in the split; repeated rows are counted and scored one by one; with no
@@ -52,10 +54,11 @@ from . import byte_bpe, kernel
 from .shared import map_batches, release, stored
 
 RANKS = 2048
+#: Words that a task holds (the most frequent); the others are joined.
 WORDS = 1 << 18
-#: Weight of the frequent words' own frequencies in a word's probability.
+#: Weight of the words' own frequencies in a word's probability.
 WORD_SHARE = 0.2
-#: Most runs of three ids that are remembered (the most frequent), and what is taken off their counts.
+#: Runs of three ids that a task holds (the most frequent; the others are joined), and what is taken off the counts.
 RUNS = 1 << 21
 DISCOUNT = 0.75
 WIDTH = 16
@@ -282,7 +285,7 @@ def split_column(key: str = "doc_id"):
 
 def _source(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_column().alias("held_out"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), split_column().alias("held_out"), text.alias("text"))
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -367,18 +370,23 @@ class Lookup:
 
 @dataclass(frozen=True)
 class Memory:
-    """Kept runs of three ids: their codes, the share of each given its first two, and what is left for each two."""
+    """Runs of three ids: codes and counts of the most frequent; for each two ids their count, and what the shares of all repeated runs leave."""
 
     code: Lookup
-    share: np.ndarray
+    count: np.ndarray
+    totals: np.ndarray
     left: np.ndarray
 
-    def mixed(self, code: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-        """log of share + left * p."""
-        p = np.exp(log_p) * self.left[code // round(len(self.left) ** 0.5)]
-        place = self.code.find(code)
-        kept = np.flatnonzero(place >= 0)
-        p[kept] += self.share[place[kept]]
+    def counts(self, code: np.ndarray) -> np.ndarray:
+        """Counts; 0 for a run that is not among the most frequent."""
+        return np.append(self.count, 0)[self.code.find(code)]
+
+    def mixed(self, code: np.ndarray, count: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """log of share + left * p; ``count`` is 0 for a run that does not repeat."""
+        two = code // round(len(self.left) ** 0.5)
+        p = np.exp(log_p) * self.left[two]
+        kept = np.flatnonzero(count)
+        p[kept] += (count[kept] - DISCOUNT) / self.totals[two[kept]]
         return np.log(p)
 
 
@@ -417,21 +425,20 @@ def run_counts(train: DataFrame, path: str, ranks: int) -> DataFrame:
 
 
 def pairs_and_memory(runs: DataFrame, size: int, most: int = RUNS) -> tuple[np.ndarray, Memory]:
-    """pairs[last, next], and the memory of the most frequent runs; size**2 and ``most`` numbers reach the driver at most."""
+    """pairs[last, next], and the memory with the most frequent runs; size**2 and ``most`` numbers reach the driver at most."""
     cells = runs.groupBy((F.col("code") % (size * size)).cast("int").alias("cell")).agg(F.sum("count").alias("count")).toArrow()
     pairs = np.zeros(size * size)
     pairs[cells["cell"].to_numpy()] = cells["count"].to_numpy()
-    least = max(2, _least_count(runs, most))
-    found = runs.where(F.col("count") >= least).toPandas()
-    code, count = found["code"].to_numpy(np.int64), found["count"].to_numpy(np.float64)
+    found = runs.where(F.col("count") >= max(2, _least_count(runs, most))).select("code", "count").toArrow()
+    code, count = found["code"].to_numpy(), found["count"].to_numpy()
     order = np.argsort(code)
-    code, count = code[order], count[order]
-    totals = np.zeros(size * size)
-    twos = runs.groupBy(F.expr(f"cast(code div {size} as int)").alias("two")).agg(F.sum("count").alias("count")).toPandas()
-    totals[twos["two"].to_numpy()] = twos["count"].to_numpy()
-    share = (count - DISCOUNT) / totals[code // size] if len(code) else count
-    left = 1 - np.bincount(code // size, weights=share, minlength=size * size)
-    return pairs.reshape(size, size), Memory(Lookup(code), share, np.clip(left, 1e-6, 1.0).astype(np.float32))
+    shares = F.sum(F.when(F.col("count") > 1, F.col("count") - DISCOUNT).otherwise(0.0))
+    twos = runs.groupBy(F.expr(f"cast(code div {size} as int)").alias("two")).agg(F.sum("count").alias("count"), shares.alias("kept")).toArrow()
+    at, total = twos["two"].to_numpy(), twos["count"].to_numpy()
+    totals, left = np.zeros(size * size, np.int64), np.ones(size * size, np.float32)
+    totals[at] = total
+    left[at] = np.clip(1 - twos["kept"].to_numpy() / total, 1e-6, 1.0)
+    return pairs.reshape(size, size), Memory(Lookup(code[order]), count[order], totals, left)
 
 
 def fit_attention(train: DataFrame, t: Tables, path: str, ranks: int, every: int = TRAIN_EVERY) -> dict[str, np.ndarray]:
@@ -501,17 +508,62 @@ def _least_count(counts: DataFrame, most: int) -> int:
 _STEP = 2048.0
 
 
-def _blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    """values[at[i]:at[i+1]] of every row as unsigned 16-bit bytes."""
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(values.astype("<u2"))])
+def _blobs(values: np.ndarray, at: np.ndarray, kind: str = "<u2") -> pa.Array:
+    """values[at[i]:at[i+1]] of every row as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((np.dtype(kind).itemsize * at).astype(np.int32)), pa.py_buffer(values.astype(kind))])
+
+
+def _values(blobs: pa.Array, kind: str = "<u2") -> tuple[np.ndarray, np.ndarray]:
+    """(values, begin of each row and the end) of a column that ``_blobs`` made."""
+    at = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    data = blobs.buffers()[2] if at[-1] > at[0] else b""
+    return np.frombuffer(data, kind, (at[-1] - at[0]) // size, at[0] if at[-1] > at[0] else 0), (at - at[0]) // size
+
+
+def rest_of_memory(tokens: DataFrame, runs: DataFrame, words: DataFrame, memory: Memory, smooth: float, path: str, ranks: int) -> DataFrame:
+    """row, rare_known, rare_base, places, seen: counts of what no task holds, by its place in the row.
+
+    A place is that of an id (its run) or, as -1 - unit, that of a word.
+    """
+    made = StructType([StructField("row", LongType()), StructField("place", IntegerType()), StructField("key", LongType())])
+    shared = tokens.sparkSession.sparkContext.broadcast(memory)
+
+    def runs_of(batches):
+        own, memory = subwords(path, ranks), shared.value
+        for b in batches:
+            row, done = b.column(0).to_numpy(), 0
+            for ids, row_from, row_to in _id_slices([b], 1):
+                code = _codes(ids, _shifted(ids, row_from, own.end), row_from, own)
+                other = np.flatnonzero(memory.counts(code) == 0)
+                of = np.searchsorted(row_from, other, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(row[done + of]), pa.array((other - row_from[of]).astype(np.int32)), pa.array(code[other])], names=made.fieldNames())
+                done += len(row_from)
+
+    def words_of(batches):
+        for b in batches:
+            place, at = _values(b.column(1), "<i4")
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), np.diff(at))), pa.array(-1 - place), pa.array(_values(b.column(2), "<i8")[0])], names=made.fieldNames())
+
+    repeated = runs.where(f"count between 2 and {int(memory.count.min()) - 1 if len(memory.count) else 1 << 62}")
+    of_runs = tokens.select("row", "ids").transform(map_batches, runs_of, made).join(repeated.withColumnRenamed("code", "key"), "key").select("row", "place", "count", F.lit(0).alias("known"), F.lit(0.0).alias("base"))
+    count = F.coalesce("count", F.lit(0))
+    of_words = (
+        tokens.select("row", "rare_at", "rare").transform(map_batches, words_of, made).join(words.withColumnRenamed("word", "key"), "key", "left")
+        .select("row", "place", count.alias("count"), (count > 0).cast("int").alias("known"), F.log10((count + 0.5) / smooth).alias("base"))
+    )
+    # words that training texts do not have add to the base figure only
+    entry = F.when(F.col("count") > 0, F.struct("place", "count"))
+    found = of_runs.unionByName(of_words).groupBy("row").agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.collect_list(entry).alias("found"))
+    return found.select("row", "rare_known", "rare_base", F.col("found.place").alias("places"), F.col("found.count").alias("seen"))
 
 
 def tokenized(source: DataFrame, top: Frequent, path: str, ranks: int) -> DataFrame:
-    """Each row's ids (unsigned 16-bit), its units' counts on a log scale (0: not a frequent word), and the figures of its frequent words."""
+    """Each row's ids (unsigned 16-bit), its units' counts on a log scale (0: not a frequent word), the units and hashes of its other words, and the figures of its frequent words."""
     shared = source.sparkSession.sparkContext.broadcast(top)
     made = StructType(
-        [source.schema[c] for c in ("doc_id", "held_out", "text_key")] + [StructField(c, LongType()) for c in ("n_tokens", "top_known")]
-        + [StructField("top_base", DoubleType()), StructField("ids", BinaryType()), StructField("counts", BinaryType())]
+        [source.schema[c] for c in ("row", "doc_id", "held_out")] + [StructField(c, LongType()) for c in ("n_tokens", "top_known")]
+        + [StructField("top_base", DoubleType()), *(StructField(c, BinaryType()) for c in ("ids", "counts", "rare_at", "rare"))]
     )
 
     def run(batches):
@@ -524,7 +576,10 @@ def tokenized(source: DataFrame, top: Frequent, path: str, ranks: int) -> DataFr
                 sums = lambda v: np.add.reduceat(v, row_at[:-1])
                 figures = [np.diff(row_at), sums(known.astype(np.int64)), sums(np.where(known, top.base(np.maximum(count, 0)), 0.0))]
                 scale = np.where(known, np.round(np.log(np.maximum(count, 1)) * _STEP) + 1, 0)
-                blobs = [_blobs(v, at) for v, at in ((ids, np.append(unit_at, len(ids))[row_at]), (scale, row_at))]
+                other = np.flatnonzero(~known)
+                other_at = np.searchsorted(other, row_at)
+                place = other - np.repeat(row_at[:-1], np.diff(other_at))
+                blobs = [_blobs(*b) for b in ((ids, np.append(unit_at, len(ids))[row_at]), (scale, row_at), (place, other_at, "<i4"), (hashes[other], other_at, "<u8"))]
                 carried = [b.column(i).slice(first, end - first) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*carried, *(pa.array(f) for f in figures), *blobs], names=made.fieldNames())
 
@@ -532,10 +587,10 @@ def tokenized(source: DataFrame, top: Frequent, path: str, ranks: int) -> DataFr
 
 
 def model_scores(tokens: DataFrame, t: Tables, w: dict[str, np.ndarray], memory: Memory, top: Frequent, path: str, ranks: int) -> DataFrame:
-    """``tokens`` without its ids, with ``score``."""
-    share, total = top.share, float(max(top.counts.sum(), 1))
+    """``tokens``, with the columns of ``rest_of_memory``, without ids and places, with ``score``."""
+    share, total = top.share, float(max(top.tokens, 1))
     shared = tokens.sparkSession.sparkContext.broadcast((t, w, memory))
-    carried = ["doc_id", "held_out", "text_key", "n_tokens", "top_known", "top_base"]
+    carried = ["doc_id", "held_out", "n_tokens", "top_known", "top_base", "rare_known", "rare_base"]
     made = StructType([tokens.schema[c] for c in carried] + [StructField("score", DoubleType())])
 
     def run(batches):
@@ -543,11 +598,11 @@ def model_scores(tokens: DataFrame, t: Tables, w: dict[str, np.ndarray], memory:
         t, w, memory = shared.value
         for b in batches:
             scores = []
-            counts = b.column(7)
-            offsets = np.frombuffer(counts.buffers()[1], np.int32)[counts.offset : counts.offset + len(counts) + 1]
-            counts = np.frombuffer(counts.buffers()[2], "<u2", (offsets[-1] - offsets[0]) // 2, offsets[0])
-            done = 0
-            for ids, row_from, row_to in _id_slices([b], 6):
+            counts, _ = _values(b.column(8))
+            found_at = np.r_[0, np.cumsum(b.column(9).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+            places, seen = (b.column(i).flatten().to_numpy() for i in (9, 10))
+            done = rows = 0
+            for ids, row_from, row_to in _id_slices([b], 7):
                 shifted = _shifted(ids, row_from, own.end)
                 first, low, high = window_places(row_from, row_to)
                 log_p = np.zeros(len(ids))
@@ -555,17 +610,27 @@ def model_scores(tokens: DataFrame, t: Tables, w: dict[str, np.ndarray], memory:
                     s = slice(i, i + 256)
                     x = batch(ids, shifted, first[s], low[s], high[s])
                     log_p[x.place[x.scored]] = forward(w, t, x)[0][x.scored]
-                log_p = memory.mixed(_codes(ids, shifted, row_from, own), log_p)
                 unit_at = np.flatnonzero(own.begins[ids])
+                unit_from = np.searchsorted(unit_at, row_from)
+                at = found_at[rows : rows + len(row_from) + 1]
+                place, n = places[at[0] : at[-1]], seen[at[0] : at[-1]]
+                of = np.repeat(np.arange(len(row_from)), np.diff(at))
+                rows += len(row_from)
+                run_, word = place >= 0, place < 0
+                code = _codes(ids, shifted, row_from, own)
+                count = memory.counts(code)
+                count[row_from[of[run_]] + place[run_]] = n[run_]
+                log_p = memory.mixed(code, count, log_p)
                 of_unit = np.add.reduceat(log_p, unit_at)
                 scale = counts[done : done + len(unit_at)].astype(np.float64)
                 done += len(unit_at)
-                own_share = np.where(scale > 0, share / total * np.exp((scale - 1) / _STEP), 0.0)
-                mixed = np.where(scale > 0, np.log(np.maximum(own_share + (1 - share) * np.exp(of_unit), 1e-300)), np.log1p(-share) + of_unit)
-                scores.append(np.add.reduceat(mixed, np.searchsorted(unit_at, row_from)) / np.log(10))
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=made.fieldNames())
+                own_count = np.where(scale > 0, np.exp((scale - 1) / _STEP), 0.0)
+                own_count[unit_from[of[word]] - 1 - place[word]] = n[word]
+                mixed = np.where(own_count > 0, np.log(np.maximum(share / total * own_count + (1 - share) * np.exp(of_unit), 1e-300)), np.log1p(-share) + of_unit)
+                scores.append(np.add.reduceat(mixed, unit_from) / np.log(10))
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=made.fieldNames())
 
-    return tokens.select(*carried, "ids", "counts").transform(map_batches, run, made)
+    return tokens.select(*carried, "ids", "counts", "places", "seen").transform(map_batches, run, made)
 
 
 def score(docs: DataFrame, path: str, ranks: int = RANKS) -> DataFrame:
@@ -575,43 +640,17 @@ def score(docs: DataFrame, path: str, ranks: int = RANKS) -> DataFrame:
     top = frequent_words(counts)
     tokens = stored(tokenized(source, top, path, ranks))
     train = tokens.where(~F.col("held_out"))
-    pairs, memory = pairs_and_memory(stored(run_counts(train, path, ranks)), subwords(path, ranks).size)
+    runs = stored(run_counts(train, path, ranks))
+    pairs, memory = pairs_and_memory(runs, subwords(path, ranks).size)
     t = tables(pairs)
     w = fit_attention(train, t, path, ranks)
     release(docs.sparkSession)
-    scored = stored(model_scores(tokens, t, w, memory, top, path, ranks))
-    shared = docs.sparkSession.sparkContext.broadcast(top)
-
-    rare = StructType([StructField("text_key", LongType()), StructField("word", LongType()), StructField("n", IntegerType())])
-
-    def rare_words(batches):
-        top = shared.value
-        for b in batches:
-            keys = b.column(0).to_numpy()
-            for a, _, words in kernel.word_slices(b.column(1), lower=True):
-                h, row = words.hashes(), words.row_of_word()
-                other = np.flatnonzero(top.find(h) < 0)
-                order = other[np.lexsort((h[other], row[other]))]
-                h, row = h[order], row[order]
-                begin = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)])
-                n = np.diff(np.r_[begin, len(h)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a + row[begin]]), pa.array(kernel.signed(h[begin])), pa.array(n)], names=rare.fieldNames())
-
-    smooth = top.tokens + 0.5 * (top.distinct + 1)
-    others = (
-        source.select("text_key", "text").transform(map_batches, rare_words, rare)
-        .join(counts, "word", "left")
-        .select("text_key", F.when(F.col("count") > 0, F.col("n")).otherwise(0).cast("long").alias("known"), (F.col("n") * F.log10((F.coalesce("count", F.lit(0)) + 0.5) / smooth)).alias("base"))
-        .groupBy("text_key").agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"))
-    )
-    copies = scored.groupBy("text_key").agg(F.count("*").alias("copies"))
-    return (
-        scored.join(copies.join(others, "text_key", "left"), "text_key")
-        .select(
-            "doc_id", "held_out", "n_tokens",
-            (F.col("top_known") + F.coalesce(F.expr("rare_known div copies"), F.lit(0))).cast("long").alias("n_known"),
-            F.lit(top.tokens).cast("long").alias("train_tokens"),
-            (F.col("top_base") + F.coalesce(F.col("rare_base") / F.col("copies"), F.lit(0.0))).alias("base_score"),
-            "score",
-        )
+    rest = rest_of_memory(tokens, runs, counts, memory, top.tokens + 0.5 * (top.distinct + 1), path, ranks)
+    scored = model_scores(tokens.join(rest, "row", "left"), t, w, memory, top, path, ranks)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens",
+        (F.col("top_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(top.tokens).cast("long").alias("train_tokens"),
+        (F.col("top_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        "score",
     )

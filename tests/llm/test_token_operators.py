@@ -146,6 +146,15 @@ def test_base_figures_of_documents(spark, monkeypatch):
     assert all(g.score < 0 for g in got)
 
 
+def test_every_repeated_run_and_word_is_remembered(spark, monkeypatch):
+    docs = spark.createDataFrame(documents(spark).collect(), "doc_id long, text string").coalesce(1)
+    whole = {r.doc_id: r.score for r in attention_lm.score(docs, RANKS, 400).collect()}
+    monkeypatch.setattr(attention_lm.frequent_words, "__defaults__", (50,))
+    monkeypatch.setattr(attention_lm.pairs_and_memory, "__defaults__", (50,))
+    got = {r.doc_id: r.score for r in attention_lm.score(docs, RANKS, 400).collect()}
+    assert whole.keys() == got.keys() and all(math.isclose(got[d], whole[d], rel_tol=1e-3) for d in got)
+
+
 def test_model_edge_cases(spark):
     got = attention_lm.score(awkward(spark, extra=True), RANKS).collect()
     same(got, base_figures(AWKWARD + [AWKWARD[6], AWKWARD[1]]))
