@@ -24,7 +24,7 @@ and STRIDE ids that are scored in it, so every id is scored once with at least
 CONTEXT ids of context where the text has them; windows are batched with a mask.
 
 Training.  Counts are summed over all training texts.  The attention is fitted by
-every task on one of TRAIN_EVERY windows of all its training texts (Adagrad), and
+every task on all windows of all its training texts (Adagrad, one pass), and
 the tasks' weights are averaged in proportion to their windows, so the work
 follows the input.
 
@@ -64,7 +64,6 @@ DISCOUNT = 0.75
 WIDTH = 16
 CLASSES = 64
 CONTEXT, STRIDE = 16, 16
-TRAIN_EVERY = 16
 #: Counts that a task holds before it sends some on; how many changes no sum.
 HELD = 1_000_000
 _SPAN = CONTEXT + STRIDE
@@ -441,19 +440,15 @@ def pairs_and_memory(runs: DataFrame, size: int, most: int = RUNS) -> tuple[np.n
     return pairs.reshape(size, size), Memory(Lookup(code[order]), count[order], totals, left)
 
 
-def fit_attention(train: DataFrame, t: Tables, path: str, ranks: int, every: int = TRAIN_EVERY) -> dict[str, np.ndarray]:
-    """Average of the tasks' weights; a task trains on each ``every``-th window of all its texts."""
+def fit_attention(train: DataFrame, t: Tables, path: str, ranks: int) -> dict[str, np.ndarray]:
+    """Average of the tasks' weights; a task trains on every window of all its texts."""
     made = StructType([StructField("place", IntegerType()), StructField("weighted", DoubleType()), StructField("windows", LongType())])
     shared = train.sparkSession.sparkContext.broadcast(t)
 
     def run(batches):
         own, trainer = subwords(path, ranks), Trainer(shared.value)
-        seen = 0
         for ids, row_from, row_to in _id_slices(batches):
-            places = window_places(row_from, row_to)
-            pick = np.arange(-seen % every, len(places[0]), every)
-            seen += len(places[0])
-            trainer.take(ids, _shifted(ids, row_from, own.end), *(p[pick] for p in places))
+            trainer.take(ids, _shifted(ids, row_from, own.end), *window_places(row_from, row_to))
         if trainer.n:
             flat = pack(trainer.w)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * trainer.n), pa.array(np.full(len(flat), trainer.n))], names=made.fieldNames())

@@ -230,6 +230,22 @@ def test_gradient_and_training():
     assert attention_lm.forward(trainer.w, t, x)[0][x.scored].mean() > start + 0.05
 
 
+def test_every_training_text_moves_the_attention(spark):
+    own = attention_lm.subwords(RANKS, 10)
+    rng = np.random.default_rng(4)
+    t = attention_lm.tables(rng.poisson(2, (own.size, own.size)).astype(float))
+    texts = [rng.integers(0, own.size, 40).astype("<u2") for _ in range(6)]
+
+    def weights(texts):
+        rows = spark.createDataFrame([(bytearray(x.tobytes()),) for x in texts], "ids binary").coalesce(1)
+        return attention_lm.pack(attention_lm.fit_attention(rows, t, RANKS, 10))
+
+    whole = weights(texts)
+    for k in range(6):
+        other = [x if i != k else (x + 7) % own.size for i, x in enumerate(texts)]
+        assert not np.array_equal(whole, weights([x.astype("<u2") for x in other])), k
+
+
 # --- sharding ----------------------------------------------------------------------
 
 
