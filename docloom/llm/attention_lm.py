@@ -40,6 +40,7 @@ training text the model is uniform over ids.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -102,14 +103,45 @@ def subwords(path: str, ranks: int) -> Subwords:
     return Subwords(path, ranks)
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Whole numbers as the compressed steps between them, for broadcasts, which every executor writes to its disk."""
+    return zlib.compress(np.diff(values.astype(np.int64), prepend=0).tobytes(), 1)
+
+
+def _whole(small: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(small), np.int64))
+
+
 @dataclass(frozen=True)
 class Tables:
-    """What counts give: embeddings, classes, log P(id | last), P(class | last)."""
+    """What counts give: embeddings, classes, log P(id | last), P(class | last); and the counts that are not 0, by which it travels."""
 
     embedding: np.ndarray
     of_class: np.ndarray
     log_next: np.ndarray
     class_next: np.ndarray
+    cells: tuple[bytes, bytes]
+
+    def __reduce__(self):
+        return _tables_of, (self.embedding, self.of_class, self.cells)
+
+
+def _next(pairs: np.ndarray) -> np.ndarray:
+    """P(id | last)."""
+    follow = pairs.sum(axis=0)
+    unigram = (follow + 0.5) / (follow.sum() + 0.5 * len(pairs))
+    backing = 5.0
+    return ((pairs + backing * unigram[None]) / (pairs.sum(axis=1, keepdims=True) + backing)).astype(np.float32)
+
+
+def _tables_of(embedding: np.ndarray, of_class: np.ndarray, cells: tuple[bytes, bytes]) -> Tables:
+    n = len(embedding)
+    pairs = np.zeros(n * n)
+    pairs[_whole(cells[0])] = _whole(cells[1])
+    p = _next(pairs.reshape(n, n))
+    member = np.zeros((n, CLASSES), np.float32)
+    member[np.arange(n), of_class] = 1
+    return Tables(embedding, of_class, np.log(p), p @ member, cells)
 
 
 def tables(pairs: np.ndarray) -> Tables:
@@ -117,9 +149,6 @@ def tables(pairs: np.ndarray) -> Tables:
     n = len(pairs)
     rng = np.random.default_rng(5)
     follow = pairs.sum(axis=0)
-    unigram = (follow + 0.5) / (follow.sum() + 0.5 * n)
-    backing = 5.0
-    p = ((pairs + backing * unigram[None]) / (pairs.sum(axis=1, keepdims=True) + backing)).astype(np.float32)
     # leading directions of the counts on a log scale, from both sides, by subspace iteration
     logs = np.log1p(pairs).astype(np.float32)
     logs -= logs.mean(axis=0, keepdims=True)
@@ -140,9 +169,8 @@ def tables(pairs: np.ndarray) -> Tables:
         total = np.bincount(of_class, weights=weight, minlength=classes)
         for d in range(WIDTH):
             centre[:, d] = np.bincount(of_class, weights=weight * embedding[:, d], minlength=classes) / np.maximum(total, 1e-9)
-    member = np.zeros((n, CLASSES), np.float32)
-    member[np.arange(n), of_class] = 1
-    return Tables((embedding * 2).astype(np.float32), of_class, np.log(p), p @ member)
+    at = np.flatnonzero(pairs)
+    return _tables_of((embedding * 2).astype(np.float32), of_class, (_small(at), _small(pairs.ravel()[at].astype(np.int64))))
 
 
 _SHAPES = {"query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mixed": (WIDTH, WIDTH), "near": (_SPAN,), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
@@ -331,10 +359,16 @@ class Lookup:
     """Places of 64-bit keys by open addressing: a few gathers for each number instead of a binary search."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(10, int(8 * max(len(keys), 1)).bit_length() - 1)  # 4 to 8 slots for each key
-        self.place = np.full(1 << self.bits, -1, np.int32)
         self.keys = keys.astype(np.uint64) if keys.dtype != np.uint64 else keys
-        left, self.probes = np.arange(len(keys), dtype=np.int32), 0
+        self.place = None  # made when first asked: the driver never is
+
+    def __reduce__(self):
+        return Lookup, (self.keys,)
+
+    def _fill(self) -> None:
+        self.bits = max(10, int(4 * max(len(self.keys), 1)).bit_length() - 1)  # 2 to 4 slots for each key
+        self.place = np.full(1 << self.bits, -1, np.int32)
+        left, self.probes = np.arange(len(self.keys), dtype=np.int32), 0
         slot = self._slot(self.keys)
         while len(left):
             at = (slot[left] + self.probes) & ((1 << self.bits) - 1)
@@ -342,26 +376,26 @@ class Lookup:
             self.place[at[free]] = left[free]  # of several, one stays
             left = left[self.place[at] != left]
             self.probes += 1
-        self.filled = np.append(self.keys, np.uint64(0))[self.place]
-
-    def __reduce__(self):
-        return Lookup, (self.keys,)  # only the keys travel; a worker builds the slots once
+        self.padded = np.append(self.keys, np.uint64(0))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key among the keys, or -1."""
+        if self.place is None:
+            self._fill()
         keys = keys.astype(np.uint64) if keys.dtype != np.uint64 else keys
         slot = self._slot(keys)
-        out = np.where(self.filled[slot] == keys, self.place[slot], -1)
-        open_ = np.flatnonzero((out < 0) & (self.place[slot] >= 0))
+        place = self.place[slot]
+        out = np.where(self.padded[place] == keys, place, -1)
+        open_ = np.flatnonzero((out < 0) & (place >= 0))
         for probe in range(1, self.probes):
             if not len(open_):
                 break
             at = (slot[open_] + probe) & ((1 << self.bits) - 1)
             place = self.place[at]
-            hit = (place >= 0) & (self.filled[at] == keys[open_])
+            hit = (place >= 0) & (self.padded[place] == keys[open_])
             out[open_[hit]] = place[hit]
             open_ = open_[~hit & (place >= 0)]
         return out
@@ -376,6 +410,10 @@ class Memory:
     totals: np.ndarray
     left: np.ndarray
 
+    def __reduce__(self):
+        two = np.flatnonzero(self.totals)
+        return _memory_of, (_small(self.code.keys), _small(self.count), len(self.left), _small(two), _small(self.totals[two]), self.left[two])
+
     def counts(self, code: np.ndarray) -> np.ndarray:
         """Counts; 0 for a run that is not among the most frequent."""
         return np.append(self.count, 0)[self.code.find(code)]
@@ -389,6 +427,13 @@ class Memory:
         return np.log(p)
 
 
+def _memory_of(code: bytes, count: bytes, size: int, two: bytes, total: bytes, kept: np.ndarray) -> Memory:
+    totals, left = np.zeros(size, np.uint32), np.ones(size, np.float32)
+    at = _whole(two)
+    totals[at], left[at] = _whole(total), kept
+    return Memory(Lookup(_whole(code)), _whole(count).astype(np.int32), totals, left)
+
+
 def _id_slices(batches, column: int = 0, most: int = 1 << 19):
     """(ids, begin of each row, end of each row) for slices of rows of stored ids."""
     for b in batches:
@@ -434,19 +479,18 @@ def pairs_and_memory(runs: DataFrame, size: int, most: int = RUNS) -> tuple[np.n
     shares = F.sum(F.when(F.col("count") > 1, F.col("count") - DISCOUNT).otherwise(0.0))
     twos = runs.groupBy(F.expr(f"cast(code div {size} as int)").alias("two")).agg(F.sum("count").alias("count"), shares.alias("kept")).toArrow()
     at, total = twos["two"].to_numpy(), twos["count"].to_numpy()
-    totals, left = np.zeros(size * size, np.int64), np.ones(size * size, np.float32)
-    totals[at] = total
-    left[at] = np.clip(1 - twos["kept"].to_numpy() / total, 1e-6, 1.0)
-    return pairs.reshape(size, size), Memory(Lookup(code[order]), count[order], totals, left)
+    by_two = np.argsort(at)
+    left = np.clip(1 - twos["kept"].to_numpy() / total, 1e-6, 1.0).astype(np.float32)
+    return pairs.reshape(size, size), _memory_of(_small(code[order]), _small(count[order]), size * size, _small(at[by_two].astype(np.int64)), _small(total[by_two]), left[by_two])
 
 
-def fit_attention(train: DataFrame, t: Tables, path: str, ranks: int) -> dict[str, np.ndarray]:
+def fit_attention(train: DataFrame, t: Tables, path: str, ranks: int, shared=None) -> dict[str, np.ndarray]:
     """Average of the tasks' weights; a task trains on every window of all its texts."""
     made = StructType([StructField("place", IntegerType()), StructField("weighted", DoubleType()), StructField("windows", LongType())])
-    shared = train.sparkSession.sparkContext.broadcast(t)
+    shared = shared or train.sparkSession.sparkContext.broadcast((t, None))
 
     def run(batches):
-        own, trainer = subwords(path, ranks), Trainer(shared.value)
+        own, trainer = subwords(path, ranks), Trainer(shared.value[0])
         for ids, row_from, row_to in _id_slices(batches):
             trainer.take(ids, _shifted(ids, row_from, own.end), *window_places(row_from, row_to))
         if trainer.n:
@@ -516,16 +560,15 @@ def _values(blobs: pa.Array, kind: str = "<u2") -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data, kind, (at[-1] - at[0]) // size, at[0] if at[-1] > at[0] else 0), (at - at[0]) // size
 
 
-def rest_of_memory(tokens: DataFrame, runs: DataFrame, words: DataFrame, memory: Memory, smooth: float, path: str, ranks: int) -> DataFrame:
+def rest_of_memory(tokens: DataFrame, runs: DataFrame, words: DataFrame, memory: Memory, smooth: float, path: str, ranks: int, shared) -> DataFrame:
     """row, rare_known, rare_base, places, seen: counts of what no task holds, by its place in the row.
 
     A place is that of an id (its run) or, as -1 - unit, that of a word.
     """
     made = StructType([StructField("row", LongType()), StructField("place", IntegerType()), StructField("key", LongType())])
-    shared = tokens.sparkSession.sparkContext.broadcast(memory)
 
     def runs_of(batches):
-        own, memory = subwords(path, ranks), shared.value
+        own, memory = subwords(path, ranks), shared.value[1]
         for b in batches:
             row, done = b.column(0).to_numpy(), 0
             for ids, row_from, row_to in _id_slices([b], 1):
@@ -581,16 +624,15 @@ def tokenized(source: DataFrame, top: Frequent, path: str, ranks: int) -> DataFr
     return source.transform(map_batches, run, made)
 
 
-def model_scores(tokens: DataFrame, t: Tables, w: dict[str, np.ndarray], memory: Memory, top: Frequent, path: str, ranks: int) -> DataFrame:
+def model_scores(tokens: DataFrame, w: dict[str, np.ndarray], top: Frequent, path: str, ranks: int, shared) -> DataFrame:
     """``tokens``, with the columns of ``rest_of_memory``, without ids and places, with ``score``."""
     share, total = top.share, float(max(top.tokens, 1))
-    shared = tokens.sparkSession.sparkContext.broadcast((t, w, memory))
     carried = ["doc_id", "held_out", "n_tokens", "top_known", "top_base", "rare_known", "rare_base"]
     made = StructType([tokens.schema[c] for c in carried] + [StructField("score", DoubleType())])
 
     def run(batches):
         own = subwords(path, ranks)
-        t, w, memory = shared.value
+        t, memory = shared.value
         for b in batches:
             scores = []
             counts, _ = _values(b.column(8))
@@ -638,10 +680,11 @@ def score(docs: DataFrame, path: str, ranks: int = RANKS) -> DataFrame:
     runs = stored(run_counts(train, path, ranks))
     pairs, memory = pairs_and_memory(runs, subwords(path, ranks).size)
     t = tables(pairs)
-    w = fit_attention(train, t, path, ranks)
+    shared = docs.sparkSession.sparkContext.broadcast((t, memory))
+    w = fit_attention(train, t, path, ranks, shared)
     release(docs.sparkSession)
-    rest = rest_of_memory(tokens, runs, counts, memory, top.tokens + 0.5 * (top.distinct + 1), path, ranks)
-    scored = model_scores(tokens.join(rest, "row", "left"), t, w, memory, top, path, ranks)
+    rest = rest_of_memory(tokens, runs, counts, memory, top.tokens + 0.5 * (top.distinct + 1), path, ranks, shared)
+    scored = model_scores(tokens.join(rest, "row", "left"), w, top, path, ranks, shared)
     return scored.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("top_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
