@@ -39,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import kernel
 from .shared import cut, map_batches, release, stored, with_text_columns
@@ -276,43 +276,44 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
 
 # --- texts of some similarity ------------------------------------------------
 
-#: SimHash tables over the distinct words of a text, and the distance at which a table's anchors are visited.
-TABLES, REACH = 16, 1
 SIMILAR = 0.8
 SIMILAR_SHINGLE = 5
+#: Bands of least shingle hashes: texts of similarity s share none of them with a probability of (1 - s**DEEP)**BANDS.
+BANDS, DEEP = 64, 5
 MINIMA = 256
-#: Members of an anchor that one task compares; more are compared block by block.
+#: Agreement of sketches from which a pair is compared by its shingles; 6 standard errors below SIMILAR.
+LOOSE = 0.65
+#: Members of a group, and shingles of them, that one task compares; more are compared block by block.
 BLOCK = 4096
-_PARTS = ("golay", "golay")
-
-
-def _segments(row: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, row) of stretches of equal rows, none longer than ``most``."""
-    place = np.arange(len(row))
-    fresh = np.r_[True, row[1:] != row[:-1]][: len(row)]
-    start = np.maximum.accumulate(np.where(fresh, place, 0))
-    begin = np.flatnonzero((place - start) % most == 0)
-    return begin, row[begin]
-
-
-def word_prints(words: kernel.Words, tables: int = TABLES) -> np.ndarray:
-    """prints[row, table] over the distinct words of each row."""
-    key = np.stack([words.row_of_word().astype(np.uint64), words.hashes()])
-    order = np.lexsort((key[1], key[0]))
-    row, h = key[0][order].astype(np.int64), key[1][order]
-    once = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])][: len(h)]
-    row, h = row[once], h[once]
-    out = np.zeros((words.rows, tables), np.uint64)
-    if not len(h):
+BLOCK_SHINGLES = 1 << 22
+
+
+def shingle_hashes(words: kernel.Words, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every shingle, in order of rows; a text of fewer words is one shingle."""
+    hashes, counts = words.hashes(), words.counts()
+    first, h = words.windows(hashes, shingle)
+    row = words.row_of_word()[first]
+    short = np.flatnonzero((counts > 0) & (counts < shingle))
+    if len(short):
+        whole = [int(kernel.window_hashes(hashes[words.word_off[i] : words.word_off[i + 1]], np.zeros(1, np.int64), int(counts[i]))[0]) for i in short]
+        row, h = np.concatenate([row, short]), np.concatenate([h, np.array(whole, np.uint64)])
+        order = np.argsort(row, kind="stable")
+        row, h = row[order], h[order]
+    return row, h
+
+
+def band_keys(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """keys[row, band]: a hash of DEEP least hashes of the row's shingles."""
+    out = np.zeros((rows, BANDS), np.uint64)
+    begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+    if not len(begin):
         return out
-    begin, of = _segments(row, 255)
-    rows, first = np.unique(of, return_index=True)
-    n = np.bincount(row, minlength=words.rows)[rows]
-    for t in range(tables):
-        bits = np.unpackbits(kernel.mix(h + np.uint64((t + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        part = np.add.reduceat(bits.view(np.uint64), begin, axis=0).view(np.uint8).astype(np.int64)  # 255 at most in each byte
-        over = 2 * np.add.reduceat(part, first, axis=0) > n[:, None]
-        out[rows, t] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    factors = kernel.mix(np.arange(1, BANDS * DEEP + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+    for k in range(BANDS):
+        key = np.full(len(begin), k + 1, np.uint64)
+        for f in factors[k * DEEP : (k + 1) * DEEP]:
+            key = kernel.mix(key * kernel._Q + np.minimum.reduceat(h * f, begin))
+        out[row[begin], k] = key
     return out
 
 
@@ -322,13 +323,7 @@ def minima(words: kernel.Words, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndar
     A sketch has a byte of the least shingle hash of each of MINIMA bins, 0 for
     none (one-permutation hashing).
     """
-    hashes, counts = words.hashes(), words.counts()
-    first, h = words.windows(hashes, shingle)
-    row = words.row_of_word()[first]
-    short = np.flatnonzero((counts > 0) & (counts < shingle))  # one shingle: all words
-    if len(short):
-        whole = [int(kernel.window_hashes(hashes[words.word_off[i] : words.word_off[i + 1]], np.zeros(1, np.int64), int(counts[i]))[0]) for i in short]
-        row, h = np.concatenate([row, short]), np.concatenate([h, np.array(whole, np.uint64)])
+    row, h = shingle_hashes(words, shingle)
     bins = row.astype(np.uint64) * np.uint64(MINIMA) + (h & np.uint64(MINIMA - 1))
     key = np.sort((bins << np.uint64(32)) | (h >> np.uint64(32)))  # rows of a slice are far fewer than 2**24
     bins = (key >> np.uint64(32)).astype(np.int64)
@@ -340,130 +335,120 @@ def minima(words: kernel.Words, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndar
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (digest of the words, A-Z lower-cased), n (different shingles), prints, sketch of each row."""
-    made = StructType([StructField("copy", LongType()), StructField("n", LongType()), StructField("prints", ArrayType(LongType())), StructField("sketch", BinaryType())])
+    """``docs`` with __row, __copy (digest of the words, A-Z lower-cased), __n (different shingles), __bands, __sketch."""
+    made = StructType([StructField("__copy", LongType()), StructField("__n", LongType()), StructField("__bands", ArrayType(LongType())), StructField("__sketch", BinaryType())])
 
     def fn(texts: pa.Array) -> list[pa.Array]:
-        copies, sizes, prints, sketches = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
+        copies, sizes, bands, sketches = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
         for _, _, words in kernel.word_slices(texts, lower=True):
-            prints.append(word_prints(words).ravel())
+            bands.append(band_keys(*shingle_hashes(words), words.rows).ravel())
             sketch, n = minima(words)
             sketches += [x.tobytes() for x in sketch]
             sizes.append(n)
             copies += [xxhash.xxh64_intdigest(b" ".join(words.text(i).split()), SEED) for i in range(words.rows)]
-        offsets = pa.array(np.arange(len(copies) + 1, dtype=np.int32) * TABLES)
-        return [pa.array(np.array(copies, np.uint64).view(np.int64)), pa.array(np.concatenate(sizes)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prints).view(np.int64))), pa.array(sketches, pa.binary())]
-
-    return with_text_columns(docs.where("doc_id is not null"), "text", made, fn, ["doc_id"])
+        offsets = pa.array(np.arange(len(copies) + 1, dtype=np.int32) * BANDS)
+        return [pa.array(np.array(copies, np.uint64).view(np.int64)), pa.array(np.concatenate(sizes)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands).view(np.int64))), pa.array(sketches, pa.binary())]
+
+    return with_text_columns(docs.withColumn("__row", F.monotonically_increasing_id()), "text", made, fn)
+
+
+def _forest(members: int, near) -> tuple[list[int], list[int]]:
+    """Links that connect what all pairs with ``near`` would: near(i, others) tells which of the others are linked to i."""
+    u, v, left = [], [], np.arange(members)
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            hit = near(i, left)
+            found = left[hit].tolist()
+            u += [i] * len(found)
+            v += found
+            queue += found
+            left = left[~hit]
+    return u, v
 
 
-def _meetings(texts: DataFrame) -> DataFrame:
-    """anchor, doc_id, n, home: every text at its home in each table and at the anchors that it visits."""
-    out = StructType([StructField("anchor", LongType()), StructField("doc_id", LongType()), StructField("n", LongType()), StructField("home", BooleanType())])
-    bits = sum(_decoder(kind)[0] for kind in _PARTS)
+def _sketches_near(sketches: list[bytes]):
+    every = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, MINIMA)
 
-    def run(batches):
-        for b in batches:
-            ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            every = b.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, TABLES)
-            for a in range(0, len(ids), 1024):
-                for t in range(TABLES):
-                    p = np.ascontiguousarray(every[a : a + 1024, t])
-                    who, anchor = visits(p, _PARTS, REACH)
-                    home = anchor == homes(p, _PARTS)[who]
-                    yield pa.RecordBatch.from_arrays([pa.array((anchor | np.uint64(t << bits)).view(np.int64)), pa.array(ids[a + who]), pa.array(sizes[a + who]), pa.array(home)], names=out.fieldNames())
-
-    return texts.select("doc_id", "n", "prints").transform(map_batches, run, out)
-
-
-class _Forest:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _links_of(key: np.ndarray, ids: np.ndarray, home: np.ndarray, sketch: np.ndarray, similar: float, chunk: int = 1 << 16) -> tuple[list[int], list[int]]:
-    """Links between homes and visitors of one anchor (equal keys, sorted): a forest of each anchor's."""
-    begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-    group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(key)]))
-    end = np.r_[begin[1:], len(key)]
-    hosts = np.flatnonzero(home)
-    size = (end - begin)[group[hosts]]
-    u, v, forest, at = [], [], _Forest(), 0
-    total = np.cumsum(size)
-    while at < len(hosts):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk)))
-        n = size[at:to]
-        left = np.repeat(hosts[at:to], n)
-        right = np.repeat(begin[group[hosts[at:to]]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        other = (left != right) & ~(home[right] & (right < left))
-        left, right = left[other], right[other]
-        for a in range(0, len(left), chunk):
-            x, y = sketch[left[a : a + chunk]], sketch[right[a : a + chunk]]
-            same = ((x == y) & (x != 0)).sum(axis=1)
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        x, out = every[i], []
+        for a in range(0, len(others), BLOCK):
+            y = every[others[a : a + BLOCK]]
             either = ((x != 0) | (y != 0)).sum(axis=1)
-            near = np.flatnonzero(same >= similar * np.maximum(either, 1))
-            for i, j in zip(ids[left[a + near]].tolist(), ids[right[a + near]].tolist()):
-                if forest.join(i, j):
-                    u.append(i)
-                    v.append(j)
-        at = to
-    return u, v
+            out.append(((x == y) & (x != 0)).sum(axis=1) >= LOOSE * np.maximum(either, 1))
+        return np.concatenate(out)
+
+    return near
+
+
+def _texts_near(texts: list[str], similar: float):
+    """Exact Jaccard similarity of the sets of shingles (as 64-bit hashes)."""
+    sets = []
+    for _, _, words in kernel.word_slices(pa.array(texts, pa.string()), lower=True):
+        row, h = shingle_hashes(words)
+        at = np.searchsorted(row, np.arange(words.rows + 1))
+        sets += [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:])]
+    size = np.array([len(x) for x in sets])
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others), bool)
+        for k in np.flatnonzero((size[others] >= similar * size[i]) & (similar * size[others] <= size[i])):
+            y = sets[others[k]]
+            at = np.minimum(np.searchsorted(sets[i], y), size[i] - 1)
+            both = int((sets[i][at] == y).sum())
+            out[k] = both >= similar * (size[i] + len(y) - both) - 1e-9
+        return out
 
+    return near
 
-def _similar_links(texts: DataFrame, similar: float) -> DataFrame:
-    """u, v: links of texts whose sketches agree in ``similar`` or more, enough of them to connect every anchor's groups."""
-    meetings = _meetings(texts)
-    at_home = F.when(F.col("home"), F.col("n"))
-    crowds = meetings.groupBy("anchor").agg(F.count("*").alias("members"), F.min(at_home).alias("low"), F.max(at_home).alias("high")).where("members > 1 and low is not null")
-    # sets of a similarity have sizes of that ratio at least: who fits no host's size meets nobody
-    met = meetings.join(crowds.select("anchor", "low", "high"), "anchor").where((F.col("n") >= similar * F.col("low")) & (similar * F.col("n") <= F.col("high")))
-    met = stored(met.select("anchor", "doc_id", "home"))
-    crowds = met.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1").select("anchor", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    met = met.join(crowds, "anchor")
-    # an anchor with more members than a block: hosts of block i meet visitors of block j in a task of their own
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    turns = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    as_visitor = met.select("anchor", "doc_id", F.lit(False).alias("host"), F.explode(turns).alias("i"), own.alias("j"))
-    as_host = met.where("home").select("anchor", "doc_id", F.lit(True).alias("host"), own.alias("i"), F.explode(turns).alias("j"))
-    sides = as_visitor.unionByName(as_host).groupBy("anchor", "i", "j", "doc_id").agg(F.max("host").alias("host"))
-    placed = sides.join(texts.select("doc_id", "sketch"), "doc_id").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "doc_id")
+
+def _links(grouped: DataFrame, payload: DataFrame, near_of) -> DataFrame:
+    """u, v: forests of the groups ``anchor`` of ``grouped`` (anchor, copy, n); near_of makes ``near`` from the members' ``payload`` (copy, data)."""
+    sized = grouped.groupBy("anchor").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
+    blocks = sized.select("anchor", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # every two blocks of a group meet in a task of their own
+    own = F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int")
+    met = grouped.join(blocks, "anchor").select("anchor", "copy", own.alias("own"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    met = met.select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "copy")
+    placed = met.join(payload, "copy").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "copy")
     out = StructType([StructField("u", LongType()), StructField("v", LongType())])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        key, copies, data = None, [], []
 
-        def done(table: pa.Table):
-            key = np.stack([table.column(i).to_numpy() for i in range(3)], axis=1)
-            sketch = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, MINIMA)
-            u, v = _links_of(key, table.column(3).to_numpy(), table.column(4).to_numpy(zero_copy_only=False), sketch, similar)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=out.fieldNames())
+        def done():
+            u, v = _forest(len(copies), near_of(data))
+            return pa.RecordBatch.from_arrays([pa.array([copies[i] for i in x], pa.int64()) for x in (u, v)], names=out.fieldNames())
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            table = pa.Table.from_batches(held)
-            key = np.stack([table.column(i).to_numpy() for i in range(3)], axis=1)
-            last = int(np.argmax((key == key[-1]).all(axis=1)))  # the last group may go on
-            if last:
-                yield done(table.slice(0, last))
-                held = table.slice(last).to_batches()
-        if held:
-            yield done(pa.Table.from_batches(held))
+            for *now, copy, x in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if now != key:
+                    if len(copies) > 1:
+                        yield done()
+                    key, copies, data = now, [], []
+                copies.append(copy)
+                data.append(x)
+        if len(copies) > 1:
+            yield done()
+
+    return placed.select("anchor", "i", "j", "copy", "data").transform(map_batches, run, out)
 
-    return placed.select("anchor", "i", "j", "doc_id", "host", "sketch").transform(map_batches, run, out)
+
+def _grouped(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(sketched rows, __copy and __group of each different text); see ``similar_groups``."""
+    each = stored(_sketched(docs))
+    first = each.groupBy("__copy").agg(F.min("__row").alias("__row"))
+    texts = each.join(first, ["__row", "__copy"]).where("__n > 0").select(*[F.col(f"__{c}").alias(c) for c in ("copy", "n", "bands", "sketch")], F.col("text").cast("string").alias("text"))
+    texts = stored(texts)
+    bands = texts.select(F.explode("bands").alias("anchor"), "copy", F.lit(0).alias("n"))
+    loose = cut(components(_links(bands, texts.select("copy", F.col("sketch").alias("data")), _sketches_near)))
+    clusters = loose.select(F.col("root").alias("anchor"), F.col("node").alias("copy")).unionByName(loose.select(F.col("root").alias("anchor"), F.col("root").alias("copy"))).distinct()
+    clusters = cut(clusters.join(texts.select("copy", "n"), "copy").select("anchor", "copy", "n"))
+    found = cut(components(_links(clusters, texts.select("copy", F.col("text").alias("data")), lambda data: _texts_near(data, similar))))
+    release(docs.sparkSession)
+    roots = found.select(F.col("node").alias("__copy"), "root")
+    return each, cut(first.select("__copy").join(roots, "__copy", "left").select("__copy", F.coalesce("root", "__copy").alias("__group")))
 
 
 def similar_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -471,19 +456,16 @@ def similar_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Groups are connected by texts with the same words (A-Z lower-cased) and by
     texts whose five-word shingles have a Jaccard similarity of ``similar`` or
-    more.  Candidates meet at the anchors of TABLES fingerprints of their
-    distinct words (a few edits change five times as many shingles as words, so
-    these fingerprints stay close where those of shingles do not); similarity is
-    estimated from MINIMA minima, with a standard error of 0.025 at most.  An
-    anchor emits a forest, never all its pairs.
+    more.  Texts that share a band of least hashes (by the formula at BANDS, a
+    pair of 0.8 shares none about once in 10**11) and whose sketches agree in
+    LOOSE or more form clusters; within a cluster the sets of shingles themselves
+    are compared, and only those links make groups.  A cluster emits a forest,
+    never all its pairs.
     """
-    each = stored(_sketched(docs))
-    copies = cut(each.select("doc_id", "copy").groupBy("copy").agg(F.min("doc_id").alias("first")))
-    texts = stored(each.join(copies, "copy").where("doc_id = first").dropDuplicates(["copy"]).select("doc_id", "n", "prints", "sketch"))
-    found = cut(components(_similar_links(texts, similar)))
-    release(docs.sparkSession)
-    roots = copies.join(found.select(F.col("node").alias("first"), "root"), "first", "left").select("copy", F.coalesce("root", "first").alias("component_id"))
-    return each.select("doc_id", "copy").join(roots, "copy").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    each, found = _grouped(docs, similar)
+    rows = each.where("doc_id is not null").select("doc_id", "__copy").join(found, "__copy")
+    named = rows.groupBy("__group").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(named, "__group").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -125,6 +125,32 @@ def test_blocks_of_an_anchor_link_alike(spark, monkeypatch):
     assert got == {d: 8 * g for d, g in group.items()}
 
 
+def around_the_threshold():
+    """Pairs of a text and a copy with one block or single words changed, of similarities around 0.8."""
+    r = random.Random(8)
+    rows = []
+    for g in range(60):
+        n = r.choice([60, 300, 800])
+        base = [f"g{g}w{r.randrange(2000)}" for _ in range(n)]
+        size, at = round(n * r.uniform(0.08, 0.24)), r.randrange(n // 2)
+        new = [f"v{g}x{i}" for i in range(size)]
+        single = list(base)
+        for i in r.sample(range(n), max(1, round(n * r.uniform(0.01, 0.03)))):
+            single[i] = "y"
+        edits = [base + new, base[:at] + base[at + size :], base[:at] + new[: size // 2] + base[at + size // 2 :], single]
+        rows += [" ".join(base), " ".join(edits[g % 4])]
+    return list(enumerate(rows))
+
+
+def test_similar_groups_are_brute_force(spark):
+    rows = around_the_threshold()
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    expected = classes(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert 10 < sum(d != c for d, c in expected.items()) < 50
+    got = {x.doc_id: x.component_id for x in simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
 def test_similarity_of_sketches():
     a = [f"w{i}" for i in range(2000)]
     for cut in (0, 100, 400):
