@@ -469,6 +469,8 @@ def similar_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with the rows of one id for each group of ``similar_groups``, the smallest; rows without an id stay."""
-    gone = similar_groups(docs.select("doc_id", "text"), similar).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one row for each group of similar texts: that of the smallest id, rows without an id last."""
+    each, found = _grouped(docs, similar)
+    first = each.groupBy("__copy").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("at"))
+    kept = first.join(found, "__copy").groupBy("__group").agg(F.min("at").alias("at")).select(F.col("at.__row").alias("__row"))
+    return each.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

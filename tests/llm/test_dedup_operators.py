@@ -151,6 +151,12 @@ def test_similar_groups_are_brute_force(spark):
     assert got == expected
 
 
+def test_one_row_stays_of_copies_under_one_id_or_none(spark):
+    rows = [(3, "a b c d e f"), (3, "A b c d e f"), (None, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"), (5, None), (5, "")]
+    kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept) == [(0, "g h i j k l"), (3, "a b c d e f"), (5, "")]
+
+
 def test_similarity_of_sketches():
     a = [f"w{i}" for i in range(2000)]
     for cut in (0, 100, 400):
