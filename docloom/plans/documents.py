@@ -17,7 +17,7 @@ def html_clean(spark, sf_dir):
 
 def pii_detect(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").select("doc_id", F.explode(privacy.detect(F.col("text"))).alias("e"))
-    return rows.where("e.label in ('EMAIL', 'DOCUMENT DATE')").select("doc_id", "e.label", "e.value", F.col("e.pos").cast("long").alias("pos"))
+    return rows.select("doc_id", "e.label", "e.value", F.col("e.pos").cast("long").alias("pos"))
 
 
 def pii_mask(spark, sf_dir):
