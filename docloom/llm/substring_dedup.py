@@ -21,12 +21,17 @@ Steps, each a Spark job over rows much smaller than the texts:
 4. ``_spans``: a node is nonbranching when one repeated edge enters and one
    leaves it.  Edges join their nodes' degrees, occurrences join their edges, and
    a document's consecutive occurrences that follow one path are compacted into
-   one span with its source coordinates: position minus source position must be
-   constant along the span, which verifies it word by word.
+   one span with its source coordinates; position minus source position is
+   constant along the span.
+5. ``_verified``: the words at a span and at its source coordinates are read from
+   the two texts and compared by a 128-bit digest that shares nothing with the
+   node hashes; a span that differs is dropped.
 
 Rows are combined before each shuffle (a window of a copied passage is one row
 for each slice of documents), and the two large joins have plain equi-join
-shuffles whose hot partitions adaptive execution splits.
+shuffles whose hot partitions adaptive execution splits.  Texts are worked on in
+slices of about 1 MB and list columns in slices of _NODES numbers, whatever an
+Arrow batch holds.
 
 Defined cases: null and empty texts have no words and keep everything; texts of
 fewer than K words lose nothing; rows with a null id are left as they are;
@@ -42,15 +47,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import kernel
 from .shared import cut, map_batches, release, stored, with_text_columns
 
 K = 13
 SEED = 5
-#: A text's digest in the seed table: enough bits to tell two texts apart.
-_DIGEST_BITS = 48
+#: Numbers of a list column that are worked on at a time.
+_NODES = 1 << 18
 
 
 def _joined(words: kernel.Words, i: int, keep: np.ndarray | None = None) -> bytes:
@@ -111,7 +116,7 @@ def _candidates(docs: DataFrame, k: int, seed: int) -> DataFrame:
                 row, _, _, seeds = _seed_runs(words, k, seed)
                 if not len(seeds):
                     continue
-                mark = np.array([int.from_bytes(hashlib.blake2b(_joined(words, i), digest_size=8).digest(), "little") >> (64 - _DIGEST_BITS) for i in range(words.rows)], np.int64)
+                mark = np.frombuffer(b"".join(hashlib.blake2b(_joined(words, i), digest_size=8).digest() for i in range(words.rows)), np.int64)
                 order = np.lexsort((mark[row], seeds))
                 s, m = seeds[order], mark[row][order]
                 begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
@@ -181,16 +186,14 @@ def _occurrences(paths: DataFrame, combine: bool) -> DataFrame:
     out = StructType(_EDGE + fields)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            size = np.diff(_list_offsets(batch.column(2))) - 1
-            nodes = _flat(batch.column(2))
+        for ids, ats, lists in _list_slices(batches, 2):
+            size = np.diff(_list_offsets(lists)) - 1
+            nodes = _flat(lists)
             run_at = np.cumsum(size + 1) - (size + 1)
             place = np.repeat(run_at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             head, tail = nodes[place], nodes[place + 1]
-            doc = np.repeat(batch.column(0).to_numpy(), size)
-            at = (np.repeat(batch.column(1).to_numpy() - run_at, size) + place).astype(np.int32)
+            doc = np.repeat(ids.to_numpy(), size)
+            at = (np.repeat(ats.to_numpy() - run_at, size) + place).astype(np.int32)
             if not combine:
                 columns = [head, tail, doc, at]
             else:
@@ -225,10 +228,9 @@ def _spans(paths: DataFrame, k: int) -> DataFrame:
     out = StructType([StructField("doc_id", LongType())] + [StructField(c, ArrayType(t)) for c, t in (("at", IntegerType()), ("n", IntegerType()), ("source", LongType()), ("source_at", IntegerType()))])
 
     def run(batches):
-        for batch in batches:
-            at, source, there, plain = (_flat(batch.column(i)) for i in range(1, 5))
-            offsets = _list_offsets(batch.column(1))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        for ids, *lists in _list_slices(batches, 1):
+            at, source, there, plain = (_flat(x) for x in lists)
+            row = np.repeat(np.arange(len(ids)), np.diff(_list_offsets(lists[0])))
             order = np.lexsort((at, row))
             row, at, source, there, plain = (x[order] for x in (row, at, source, there, plain))
             fresh = np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1])][: len(row)]  # an identical row gives its places again
@@ -237,9 +239,9 @@ def _spans(paths: DataFrame, k: int) -> DataFrame:
             on[1:] = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & (source[1:] == source[:-1]) & (there[1:] == there[:-1] + 1) & plain[1:]
             begin = np.flatnonzero(~on)
             size = np.diff(np.r_[begin, len(row)]) + k - 1
-            cuts = np.searchsorted(row[begin], np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(v)) for v in (at[begin], size.astype(np.int32), source[begin], there[begin])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=out.fieldNames())
+            cuts = np.searchsorted(row[begin], np.arange(len(ids) + 1)).astype(np.int32)
+            made = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(v)) for v in (at[begin], size.astype(np.int32), source[begin], there[begin])]
+            yield pa.RecordBatch.from_arrays([ids, *made], names=out.fieldNames())
 
     places = _occurrences(paths, combine=False)
     found = places.join(_edges(paths), ["head", "tail"]).where("source < doc_id")
@@ -256,6 +258,48 @@ def _flat(column: pa.Array) -> np.ndarray:
     return column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
 
 
+def _list_slices(batches, of: int):
+    """The columns of some rows at a time; the lists of column ``of`` have about _NODES numbers together."""
+    for batch in batches:
+        if batch.num_rows:
+            for a, b in kernel.row_slices(_list_offsets(batch.column(of)), _NODES):
+                yield [c.slice(a, b - a) for c in batch.columns]
+
+
+def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans (doc_id, at, n, source, source_at as arrays) whose words are those at their source coordinates.
+
+    docs: doc_id and text of the rows that the spans are in.  Each place that is
+    named, as a span or as a source, is read once.
+    """
+    each = spans.select("doc_id", F.explode(F.arrays_zip("at", "n", "source", "source_at")).alias("s")).select("doc_id", "s.*")
+    each = stored(each)
+    places = each.select("doc_id", "at", "n").unionByName(each.select(F.col("source").alias("doc_id"), F.col("source_at").alias("at"), "n")).distinct()
+    places = places.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    out = StructType([StructField("doc_id", LongType()), StructField("at", IntegerType()), StructField("n", IntegerType()), StructField("digest", BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            ids, ats, sizes = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
+            for a, b, words in kernel.word_slices(batch.column(1)):
+                at, n = _flat(ats.slice(a, b - a)), _flat(sizes.slice(a, b - a))
+                each = np.diff(_list_offsets(ats.slice(a, b - a)))
+                first = at + np.repeat(words.word_off[:-1], each)
+                digests = [_digest(words, x, y) for x, y in zip(first.tolist(), (first + n).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], each)), pa.array(at), pa.array(n), pa.array(digests, pa.binary())], names=out.fieldNames())
+
+    read = stored(docs.join(places, "doc_id").select("doc_id", "text", "at", "n").transform(map_batches, run, out).distinct())
+    there = read.select(F.col("doc_id").alias("source"), F.col("at").alias("source_at"), "n", F.col("digest").alias("there"))
+    true = each.join(read, ["doc_id", "at", "n"]).join(there, ["source", "source_at", "n"]).where("digest = there")
+    return true.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "source", "source_at"))).alias("s")).select("doc_id", *[F.col(f"s.{c}").alias(c) for c in ("at", "n", "source", "source_at")])
+
+
+def _digest(words: kernel.Words, first: int, end: int) -> bytes:
+    """Digest of the words with one space between."""
+    stretch = words.data[words.starts[first] : words.ends[end - 1]].tobytes()
+    return hashlib.blake2b(b" ".join(stretch.split()), digest_size=16).digest()
+
+
 def repeated_spans(docs: DataFrame, k: int = K, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(texts, spans) of ``docs`` (doc_id, text); see _texts and _spans.
 
@@ -269,7 +313,10 @@ def repeated_spans(docs: DataFrame, k: int = K, seed: int = SEED) -> tuple[DataF
     searched = _keyed(docs).join(runs.join(chosen, "doc_id"), ["doc_id", "text_hash"])
     paths = stored(_paths(searched, k))
     release(docs.sparkSession)
-    spans = stored(_spans(paths, k).join(chosen, "doc_id"))
+    spans = stored(_spans(paths, k))
+    release(docs.sparkSession)
+    texts_of = _keyed(docs).join(chosen, ["doc_id", "text_hash"]).select("doc_id", "text")
+    spans = stored(_verified(texts_of, spans).join(chosen, "doc_id"))
     release(docs.sparkSession)
     return texts, spans
 

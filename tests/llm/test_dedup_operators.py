@@ -218,6 +218,16 @@ def test_spans_name_their_source(spark):
             assert source < d and text[d][at : at + n] == text[source][there : there + n]
 
 
+def test_a_very_long_text_and_a_very_common_passage(spark):
+    r = random.Random(5)
+    long = [f"w{r.randrange(10**9)}" for _ in range(1_900_000)]
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(0, " ".join(long)), (1, " ".join(long[1000:200_000]))] + [(i, f"a{i} b{i} {passage} c{i}") for i in range(10, 10_010)]
+    assert len(rows[0][1]) > 20_000_000
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (1_900_000, 0), 1: (199_000, 199_000), 10: (43, 0)} | {i: (43, 40) for i in range(11, 10_010)}
+
+
 def test_substring_edge_cases(spark):
     check_removal(awkward(spark), AWKWARD)
     twice = substring_dedup.removal_digests(awkward(spark, extra=True)).collect()
