@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -20,10 +21,13 @@ from docloom.sources.tables import load as table  # noqa: F401  for the queries
 
 
 def folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; where it names none (tests on one machine), a temporary one."""
+    """The checkpoint folder that the cluster names; where it names none, a temporary one on one machine, an error on more."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -37,7 +41,17 @@ def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a Parquet table beside the checkpoints; compressed, so for large rows."""
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._docloom_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` made, once nothing that will still run reads them."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._docloom_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -37,12 +37,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from . import kernel
-from .shared import cut, map_batches, release, stored, with_text_columns
+from .shared import cut, discard, map_batches, release, stored, with_text_columns
 
 SEED = 42
 SHINGLE = 3
@@ -280,12 +280,15 @@ SIMILAR = 0.8
 SIMILAR_SHINGLE = 5
 #: Bands of least shingle hashes: texts of similarity s share none of them with a probability of (1 - s**DEEP)**BANDS.
 BANDS, DEEP = 64, 5
+#: Bands that are compared first; they join nearly all near copies, so that few of the other bands have anything to compare.
+FIRST_BANDS = 8
 MINIMA = 256
 #: Agreement of sketches from which a pair is compared by its shingles; 6 standard errors below SIMILAR.
 LOOSE = 0.65
-#: Members of a group, and shingles of them, that one task compares; more are compared block by block.
+#: Members of a group, and shingles of them, that one task compares; see _links for more.
 BLOCK = 4096
 BLOCK_SHINGLES = 1 << 22
+_ROWS = 512  # members that are compared with their smallest at a time
 
 
 def shingle_hashes(words: kernel.Words, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -335,8 +338,8 @@ def minima(words: kernel.Words, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndar
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """``docs`` with __row, __copy (digest of the words, A-Z lower-cased), __n (different shingles), __bands, __sketch."""
-    made = StructType([StructField("__copy", LongType()), StructField("__n", LongType()), StructField("__bands", ArrayType(LongType())), StructField("__sketch", BinaryType())])
+    """doc_id, key (hash of the text), copy (digest of the words, A-Z lower-cased), n (different shingles), bands, sketch."""
+    made = StructType([StructField("copy", LongType()), StructField("n", LongType()), StructField("bands", ArrayType(LongType())), StructField("sketch", BinaryType())])
 
     def fn(texts: pa.Array) -> list[pa.Array]:
         copies, sizes, bands, sketches = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
@@ -349,7 +352,11 @@ def _sketched(docs: DataFrame) -> DataFrame:
         offsets = pa.array(np.arange(len(copies) + 1, dtype=np.int32) * BANDS)
         return [pa.array(np.array(copies, np.uint64).view(np.int64)), pa.array(np.concatenate(sizes)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands).view(np.int64))), pa.array(sketches, pa.binary())]
 
-    return with_text_columns(docs.withColumn("__row", F.monotonically_increasing_id()), "text", made, fn)
+    return with_text_columns(docs.select(*_row_key(docs), "text"), "text", made, fn, ["doc_id", "key"])
+
+
+def _row_key(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key")]
 
 
 def _forest(members: int, near) -> tuple[list[int], list[int]]:
@@ -404,14 +411,51 @@ def _texts_near(texts: list[str], similar: float):
 
 
 def _links(grouped: DataFrame, payload: DataFrame, near_of) -> DataFrame:
-    """u, v: forests of the groups ``anchor`` of ``grouped`` (anchor, copy, n); near_of makes ``near`` from the members' ``payload`` (copy, data)."""
-    sized = grouped.groupBy("anchor").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
-    blocks = sized.select("anchor", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    # every two blocks of a group meet in a task of their own
-    own = F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int")
-    met = grouped.join(blocks, "anchor").select("anchor", "copy", own.alias("own"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    met = met.select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "copy")
-    placed = met.join(payload, "copy").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "copy")
+    """u, v: forests of the groups ``anchor`` of ``grouped`` (anchor, copy, n); near_of makes ``near`` from the members' ``payload`` (copy, data).
+
+    A group of up to BLOCK members (and BLOCK_SHINGLES) is compared in one task.
+    Of a larger one every member is compared with the smallest; only members
+    that this does not link (strays) are compared with all others, block by block,
+    so a large group of near copies costs as many rows as it has members.
+    """
+    sized = grouped.groupBy("anchor").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.min("copy").alias("pivot")).where("members > 1")
+    sized = cut(sized.withColumn("large", F.expr(f"members > {BLOCK} or total > {BLOCK_SHINGLES}")))
+    found = _compared(grouped.join(sized.where("not large").select("anchor"), "anchor").select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), "copy"), payload, near_of)
+    if sized.where("large").isEmpty():
+        return found
+    data = payload.select(F.col("copy").alias("pivot"), F.col("data").alias("of_pivot"))
+    members = grouped.join(sized.where("large").select("anchor", "pivot"), "anchor").join(payload, "copy").join(data, "pivot")
+    out = StructType([StructField("anchor", LongType()), StructField("copy", LongType()), StructField("n", LongType()), StructField("pivot", LongType()), StructField("near", BooleanType())])
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, _ROWS):
+                b = batch.slice(a, _ROWS)
+                pivots = b.column(5).dictionary_encode()  # a batch has few
+                every = near_of(pivots.dictionary.to_pylist() + b.column(4).to_pylist())
+                of, first = pivots.indices.to_numpy(), len(pivots.dictionary)
+                near = np.zeros(b.num_rows, bool)
+                for k in range(first):
+                    own = np.flatnonzero(of == k)
+                    near[own] = every(k, first + own)
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near)], names=out.fieldNames())
+
+    pivoted = stored(members.select("anchor", "copy", F.col("n").cast("long").alias("n"), "pivot", "data", "of_pivot").transform(map_batches, run, out))
+    found = found.unionByName(pivoted.where("near and copy <> pivot").select(F.col("pivot").alias("u"), F.col("copy").alias("v")))
+    blocks = lambda df, name: df.groupBy("anchor").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(name))
+    strays = pivoted.where("not near and copy <> pivot")
+    if strays.isEmpty():
+        return found
+    place = lambda name: F.pmod(F.xxhash64("copy"), F.col(name)).cast("int")
+    meeting = blocks(strays, "of_strays").join(blocks(pivoted, "of_all"), "anchor")
+    every = pivoted.join(meeting, "anchor").select("anchor", F.explode(F.expr("sequence(0, of_strays - 1)")).alias("i"), place("of_all").alias("j"), "copy")
+    stray = strays.join(meeting, "anchor").select("anchor", place("of_strays").alias("i"), F.explode(F.expr("sequence(0, of_all - 1)")).alias("j"), "copy")
+    return found.unionByName(_compared(every.unionByName(stray).distinct(), payload, near_of))
+
+
+def _compared(placed: DataFrame, payload: DataFrame, near_of) -> DataFrame:
+    """u, v: a forest for each (anchor, i, j) of ``placed`` (anchor, i, j, copy), made in one task."""
+    placed = placed.join(payload, "copy").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "copy")
     out = StructType([StructField("u", LongType()), StructField("v", LongType())])
 
     def run(batches):
@@ -422,13 +466,15 @@ def _links(grouped: DataFrame, payload: DataFrame, near_of) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([copies[i] for i in x], pa.int64()) for x in (u, v)], names=out.fieldNames())
 
         for b in batches:
-            for *now, copy, x in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if now != key:
-                    if len(copies) > 1:
-                        yield done()
-                    key, copies, data = now, [], []
-                copies.append(copy)
-                data.append(x)
+            for a in range(0, b.num_rows, BLOCK):
+                part = b.slice(a, BLOCK)
+                for *now, copy, x in zip(*(part.column(i).to_pylist() for i in range(5))):
+                    if now != key:
+                        if len(copies) > 1:
+                            yield done()
+                        key, copies, data = now, [], []
+                    copies.append(copy)
+                    data.append(x)
         if len(copies) > 1:
             yield done()
 
@@ -436,19 +482,33 @@ def _links(grouped: DataFrame, payload: DataFrame, near_of) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
-    """(sketched rows, __copy and __group of each different text); see ``similar_groups``."""
+    """(doc_id, key and copy of each row; copy and group of each different text); see ``similar_groups``."""
     each = stored(_sketched(docs))
-    first = each.groupBy("__copy").agg(F.min("__row").alias("__row"))
-    texts = each.join(first, ["__row", "__copy"]).where("__n > 0").select(*[F.col(f"__{c}").alias(c) for c in ("copy", "n", "bands", "sketch")], F.col("text").cast("string").alias("text"))
-    texts = stored(texts)
-    bands = texts.select(F.explode("bands").alias("anchor"), "copy", F.lit(0).alias("n"))
-    loose = cut(components(_links(bands, texts.select("copy", F.col("sketch").alias("data")), _sketches_near)))
+    rows = cut(each.select("doc_id", "key", "copy"))
+    texts = stored(each.where("n > 0").select("copy", "n", "bands", "sketch").dropDuplicates(["copy"]))
+    discard(each)
+    sketches = texts.select("copy", F.col("sketch").alias("data"))
+    banded = lambda first, size: texts.select(F.explode(F.slice("bands", first, size)).alias("anchor"), "copy", F.lit(0).alias("n"))
+    links = cut(_links(banded(1, FIRST_BANDS), sketches, _sketches_near))
+    # a band whose texts are one component already has nothing to add
+    joined = components(links).select(F.col("node").alias("copy"), "root")
+    others = banded(FIRST_BANDS + 1, BANDS - FIRST_BANDS)
+    named = others.join(cut(joined), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    mixed = named.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("anchor")
+    more = cut(_links(others.join(mixed, "anchor", "left_semi"), sketches, _sketches_near))
+    loose = cut(components(links.unionByName(more)))
     clusters = loose.select(F.col("root").alias("anchor"), F.col("node").alias("copy")).unionByName(loose.select(F.col("root").alias("anchor"), F.col("root").alias("copy"))).distinct()
     clusters = cut(clusters.join(texts.select("copy", "n"), "copy").select("anchor", "copy", "n"))
-    found = cut(components(_links(clusters, texts.select("copy", F.col("text").alias("data")), lambda data: _texts_near(data, similar))))
+    discard(texts)
+    shown = rows.join(clusters.select("copy"), "copy", "left_semi").groupBy("copy").agg(F.min(F.struct("key", "doc_id")).alias("at")).select("copy", F.col("at.key").alias("__key"), F.col("at.doc_id").alias("__id"))
+    read = docs.select(*_row_key(docs), F.col("text").cast("string").alias("data"))
+    read = read.join(shown, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("copy", "data").dropDuplicates(["copy"])
+    read = stored(read)
+    found = cut(components(cut(_links(clusters, read, lambda data: _texts_near(data, similar)))))
+    discard(read)
     release(docs.sparkSession)
-    roots = found.select(F.col("node").alias("__copy"), "root")
-    return each, cut(first.select("__copy").join(roots, "__copy", "left").select("__copy", F.coalesce("root", "__copy").alias("__group")))
+    roots = found.select(F.col("node").alias("copy"), "root")
+    return rows, cut(rows.select("copy").distinct().join(roots, "copy", "left").select("copy", F.coalesce("root", "copy").alias("group")))
 
 
 def similar_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -462,15 +522,25 @@ def similar_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     are compared, and only those links make groups.  A cluster emits a forest,
     never all its pairs.
     """
-    each, found = _grouped(docs, similar)
-    rows = each.where("doc_id is not null").select("doc_id", "__copy").join(found, "__copy")
-    named = rows.groupBy("__group").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(named, "__group").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    rows, found = _grouped(docs, similar)
+    rows = rows.where("doc_id is not null").select("doc_id", "copy").join(found, "copy")
+    named = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(named, "group").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with one row for each group of similar texts: that of the smallest id, rows without an id last."""
-    each, found = _grouped(docs, similar)
-    first = each.groupBy("__copy").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("at"))
-    kept = first.join(found, "__copy").groupBy("__group").agg(F.min("at").alias("at")).select(F.col("at.__row").alias("__row"))
-    return each.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row for each group of similar texts: that of the smallest id, rows without an id last.
+
+    Of rows that have both the id and the text of the kept one, any one stays.
+    """
+    rows, found = _grouped(docs, similar)
+    each = rows.groupBy("doc_id", "key", "copy").agg(F.count("*").alias("rows"))
+    kept = each.join(found, "copy").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")).alias("at"))
+    kept = cut(kept.select(F.col("at.doc_id").alias("__id"), F.col("at.key").alias("__key"), F.col("at.rows").alias("__rows")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
+    out = docs.join(kept.where("__rows = 1"), same, "left_semi")
+    several = kept.where("__rows > 1")
+    if several.isEmpty():
+        return out
+    again = docs.withColumn("__of", F.xxhash64(F.col("text").cast("string"))).join(several, same, "left_semi").dropDuplicates(["doc_id", "__of"])
+    return out.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))

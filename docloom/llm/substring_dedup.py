@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import kernel
-from .shared import cut, map_batches, release, stored, with_text_columns
+from .shared import cut, discard, map_batches, release, stored, with_text_columns
 
 K = 13
 SEED = 5
@@ -208,22 +208,24 @@ def _occurrences(paths: DataFrame, combine: bool) -> DataFrame:
 
 
 def _edges(paths: DataFrame) -> DataFrame:
-    """Repeated edges: head, tail, source, source_at, and whether their head is a nonbranching node."""
-    edges = (
+    """Repeated edges: head, tail, source, source_at."""
+    return (
         _occurrences(paths, combine=True)
         .groupBy("head", "tail")
         .agg(F.min("source").alias("source"), F.min_by("source_at", "source").alias("source_at"), F.max("last").alias("last"))
         .where("source < last").drop("last")
     )
-    edges = stored(edges)
-    release(paths.sparkSession)
+
+
+def _with_branching(edges: DataFrame) -> DataFrame:
+    """``edges`` with plain: whether their head is a nonbranching node."""
     entering = edges.groupBy(F.col("tail").alias("head")).agg(F.count("*").alias("entering"))
     leaving = edges.groupBy("head").agg(F.count("*").alias("leaving"))
     plain = entering.join(leaving, "head").where("entering = 1 and leaving = 1").select("head", F.lit(True).alias("plain"))
     return edges.join(plain, "head", "left").withColumn("plain", F.coalesce("plain", F.lit(False)))
 
 
-def _spans(paths: DataFrame, k: int) -> DataFrame:
+def _spans(paths: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """doc_id, at, n, source, source_at: spans of a document as arrays, in its order, where a source is earlier."""
     out = StructType([StructField("doc_id", LongType())] + [StructField(c, ArrayType(t)) for c, t in (("at", IntegerType()), ("n", IntegerType()), ("source", LongType()), ("source_at", IntegerType()))])
 
@@ -244,7 +246,7 @@ def _spans(paths: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, *made], names=out.fieldNames())
 
     places = _occurrences(paths, combine=False)
-    found = places.join(_edges(paths), ["head", "tail"]).where("source < doc_id")
+    found = places.join(_with_branching(edges), ["head", "tail"]).where("source < doc_id")
     steps = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "source", "source_at", "plain")).alias("steps"))
     return steps.select("doc_id", *[F.col(f"steps.{c}").alias(c) for c in ("at", "source", "source_at", "plain")]).transform(map_batches, run, out)
 
@@ -266,14 +268,15 @@ def _list_slices(batches, of: int):
                 yield [c.slice(a, b - a) for c in batch.columns]
 
 
-def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The spans (doc_id, at, n, source, source_at as arrays) whose words are those at their source coordinates.
+def _verified(docs: DataFrame, spans: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The stored ``spans`` (which are deleted) whose words are those at their source coordinates, with text_hash.
 
     docs: doc_id and text of the rows that the spans are in.  Each place that is
     named, as a span or as a source, is read once.
     """
     each = spans.select("doc_id", F.explode(F.arrays_zip("at", "n", "source", "source_at")).alias("s")).select("doc_id", "s.*")
     each = stored(each)
+    discard(spans)
     places = each.select("doc_id", "at", "n").unionByName(each.select(F.col("source").alias("doc_id"), F.col("source_at").alias("at"), "n")).distinct()
     places = places.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
     out = StructType([StructField("doc_id", LongType()), StructField("at", IntegerType()), StructField("n", IntegerType()), StructField("digest", BinaryType())])
@@ -291,7 +294,10 @@ def _verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
     read = stored(docs.join(places, "doc_id").select("doc_id", "text", "at", "n").transform(map_batches, run, out).distinct())
     there = read.select(F.col("doc_id").alias("source"), F.col("at").alias("source_at"), "n", F.col("digest").alias("there"))
     true = each.join(read, ["doc_id", "at", "n"]).join(there, ["source", "source_at", "n"]).where("digest = there")
-    return true.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "source", "source_at"))).alias("s")).select("doc_id", *[F.col(f"s.{c}").alias(c) for c in ("at", "n", "source", "source_at")])
+    whole = true.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "source", "source_at"))).alias("s")).select("doc_id", *[F.col(f"s.{c}").alias(c) for c in ("at", "n", "source", "source_at")])
+    whole = stored(whole.join(chosen, "doc_id"))
+    discard(each, read)
+    return whole
 
 
 def _digest(words: kernel.Words, first: int, end: int) -> bytes:
@@ -308,15 +314,18 @@ def repeated_spans(docs: DataFrame, k: int = K, seed: int = SEED) -> tuple[DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = _texts(docs)
     runs = stored(_candidates(docs, k, seed))
-    release(docs.sparkSession)
     chosen = texts.where("doc_id is not null and compared and source = doc_id").select("doc_id", "text_hash")
     searched = _keyed(docs).join(runs.join(chosen, "doc_id"), ["doc_id", "text_hash"])
     paths = stored(_paths(searched, k))
+    discard(runs)
+    release(docs.sparkSession)
+    edges = stored(_edges(paths))
     release(docs.sparkSession)
-    spans = stored(_spans(paths, k))
+    spans = stored(_spans(paths, edges, k))
+    discard(paths, edges)
     release(docs.sparkSession)
     texts_of = _keyed(docs).join(chosen, ["doc_id", "text_hash"]).select("doc_id", "text")
-    spans = stored(_verified(texts_of, spans).join(chosen, "doc_id"))
+    spans = _verified(texts_of, spans, chosen)
     release(docs.sparkSession)
     return texts, spans
 

@@ -125,6 +125,20 @@ def test_blocks_of_an_anchor_link_alike(spark, monkeypatch):
     assert got == {d: 8 * g for d, g in group.items()}
 
 
+def test_strays_of_a_large_group_meet_every_member(spark, monkeypatch):
+    """On a chain each member is near its neighbours only, so the smallest links one of them and the rest are strays."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 4)
+    members = spark.createDataFrame([(a, 100 * a + i, 1) for a in (1, 2) for i in range(20)], "anchor long, copy long, n long")
+    payload = members.select("copy", F.col("copy").alias("data"))
+
+    def near_of(data):
+        every = np.array(data)
+        return lambda i, others: np.abs(every[others] - every[i]) <= 1
+
+    got = simhash_dedup.components(simhash_dedup._links(members, payload, near_of)).collect()
+    assert {(r.node, r.root) for r in got} == {(100 * a + i, 100 * a) for a in (1, 2) for i in range(1, 20)}
+
+
 def around_the_threshold():
     """Pairs of a text and a copy with one block or single words changed, of similarities around 0.8."""
     r = random.Random(8)
