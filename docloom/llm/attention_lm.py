@@ -23,10 +23,12 @@ Scoring uses overlapping windows: each holds CONTEXT ids that were scored before
 and STRIDE ids that are scored in it, so every id is scored once with at least
 CONTEXT ids of context where the text has them; windows are batched with a mask.
 
-Training.  Counts are summed over all training texts.  The attention is fitted by
-every task on all windows of all its training texts (Adagrad, one pass), and
-the tasks' weights are averaged in proportion to their windows, so the work
-follows the input.
+Training.  Counts are summed over all training texts.  Training texts are dealt to
+shards of about SHARD_IDS ids by a hash of the row; the attention is fitted for each
+shard on all windows of all its texts (Adagrad, one pass, texts in order of id), and
+the shards' weights are averaged in proportion to their windows, so the work follows
+the input.  Averages are sums of whole numbers and shards depend on the rows alone, so
+neither files, partitions nor lost tasks change a weight.
 
 Every repeated run and every word of the training texts takes part: tasks hold the
 RUNS and WORDS most frequent, and the others are joined with the texts' ids and words
@@ -65,6 +67,8 @@ DISCOUNT = 0.75
 WIDTH = 16
 CLASSES = 64
 CONTEXT, STRIDE = 16, 16
+#: Training ids of a shard, for which one set of attention weights is fitted.
+SHARD_IDS = 1 << 20
 #: Counts that a task holds before it sends some on; how many changes no sum.
 HELD = 1_000_000
 _SPAN = CONTEXT + STRIDE
@@ -230,8 +234,8 @@ def batch(ids: np.ndarray, shifted: np.ndarray, first: np.ndarray, low: np.ndarr
     return Windows(shifted[np.clip(keys, 0, len(ids) - 1)], there, ids[place], scored, place)
 
 
-def forward(w: dict[str, np.ndarray], t: Tables, x: Windows) -> tuple[np.ndarray, tuple]:
-    """log p of every target, and what the backward pass needs."""
+def forward(w: dict[str, np.ndarray], t: Tables, x: Windows, scores: bool = True) -> tuple[np.ndarray | None, tuple]:
+    """log p of every target (if ``scores``), and what the backward pass needs."""
     e = t.embedding[x.read]
     own = e[:, CONTEXT:]
     q, k, v = own @ w["query"], e @ w["key"], e @ w["value"]  # [n, places, WIDTH]
@@ -246,34 +250,41 @@ def forward(w: dict[str, np.ndarray], t: Tables, x: Windows) -> tuple[np.ndarray
     seen = a @ v
     seen /= total
     h = own + seen @ w["mixed"]
-    s = h @ w["out"] + w["bias"]
+    s = h.reshape(-1, WIDTH) @ w["out"]
+    s += w["bias"]
     np.clip(s, -8, 8, out=s)
+    s = s.reshape(*h.shape[:2], -1)
     last = x.read[:, CONTEXT:]
-    tilted = t.class_next[last] * np.exp(s)
+    tilted = np.exp(s)
+    tilted *= t.class_next[last]
     z = tilted.sum(axis=2)
     c = t.of_class[x.target]
+    if not scores:
+        return None, (e, own, q, k, v, a, total, seen, h, tilted, z, c)
     log_p = t.log_next[last, x.target] + np.take_along_axis(s, c[..., None], 2)[..., 0] - np.log(z)
     return log_p, (e, own, q, k, v, a, total, seen, h, tilted, z, c)
 
 
 def slopes(w: dict[str, np.ndarray], x: Windows, kept: tuple) -> dict[str, np.ndarray]:
-    """Gradient of the mean log p of the scored targets."""
+    """Gradient of the mean log p of the scored targets; ``kept`` is used up."""
     e, own, q, k, v, a, total, seen, h, tilted, z, c = kept
-    a = a / total
-    d = -tilted / z[..., None]
-    np.put_along_axis(d, c[..., None], np.take_along_axis(d, c[..., None], 2) + 1, 2)
-    d *= x.scored[..., None] / max(int(x.scored.sum()), 1)
+    a /= total
+    each = x.scored / np.float32(max(int(x.scored.sum()), 1))
+    d = tilted
+    d *= (-each / z)[..., None]
+    np.put_along_axis(d, c[..., None], np.take_along_axis(d, c[..., None], 2) + each[..., None], 2)
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"out": flat(h).T @ flat(d), "bias": d.sum(axis=(0, 1))}
-    dh = d @ w["out"].T
+    g = {"out": flat(h).T @ flat(d), "bias": flat(d).sum(axis=0)}
+    dh = (flat(d) @ w["out"].T).reshape(h.shape)
     g["mixed"] = flat(seen).T @ flat(dh)
     dseen = dh @ w["mixed"].T
     da = dseen @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dseen
     g["value"] = flat(e).T @ flat(dv)
-    da = a * (da - (a * da).sum(axis=2, keepdims=True))
+    da -= np.einsum("nij,nij->ni", a, da)[..., None]
+    da *= a
     g["near"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=da.sum(axis=0).ravel(), minlength=_SPAN)
-    da *= 1 / np.sqrt(WIDTH)
+    da *= np.float32(1 / np.sqrt(WIDTH))
     g["query"] = flat(own).T @ flat(da @ k)
     g["key"] = flat(e).T @ flat(da.transpose(0, 2, 1) @ q)
     return g
@@ -290,7 +301,7 @@ class Trainer:
         for i in range(0, len(first), self.size):
             s = slice(i, i + self.size)
             x = batch(ids, shifted, first[s], low[s], high[s])
-            g = slopes(self.w, x, forward(self.w, self.t, x)[1])
+            g = slopes(self.w, x, forward(self.w, self.t, x, scores=False)[1])
             for k, v in g.items():
                 self.squares[k] += v * v
                 self.w[k] += (self.rate * v / np.sqrt(self.squares[k])).astype(np.float32)
@@ -484,21 +495,65 @@ def pairs_and_memory(runs: DataFrame, size: int, most: int = RUNS) -> tuple[np.n
     return pairs.reshape(size, size), _memory_of(_small(code[order]), _small(count[order]), size * size, _small(at[by_two].astype(np.int64)), _small(total[by_two]), left[by_two])
 
 
-def fit_attention(train: DataFrame, t: Tables, path: str, ranks: int, shared=None) -> dict[str, np.ndarray]:
-    """Average of the tasks' weights; a task trains on every window of all its texts."""
-    made = StructType([StructField("place", IntegerType()), StructField("weighted", DoubleType()), StructField("windows", LongType())])
+#: Weights are summed as multiples of 1/_UNIT; so many shards fit a 64-bit sum.
+_UNIT = float(1 << 32)
+_SUMMED = 1 << 8
+
+
+def fit_attention(train: DataFrame, t: Tables, path: str, ranks: int, n_ids: int, shared=None) -> dict[str, np.ndarray]:
+    """Average of the shards' weights; a shard is trained on every window of all its texts.
+
+    train: doc_id, ids, of n_ids ids in all.
+    """
+    made = StructType([StructField("place", IntegerType()), StructField("weighted", LongType()), StructField("windows", LongType())])
     shared = shared or train.sparkSession.sparkContext.broadcast((t, None))
+    shards = max(1, -(-n_ids // SHARD_IDS))
+    dealt = train.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"), "doc_id", "ids")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "ids").select("shard", "ids")
 
     def run(batches):
-        own, trainer = subwords(path, ranks), Trainer(shared.value[0])
-        for ids, row_from, row_to in _id_slices(batches):
-            trainer.take(ids, _shifted(ids, row_from, own.end), *window_places(row_from, row_to))
-        if trainer.n:
-            flat = pack(trainer.w)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * trainer.n), pa.array(np.full(len(flat), trainer.n))], names=made.fieldNames())
+        own, tables_ = subwords(path, ranks), shared.value[0]
+        shard = trainer = None
+        held: list[np.ndarray] = []
+        total, windows, done = 0, 0, 0
 
-    rows = train.select("ids").transform(map_batches, run, made).groupBy("place").agg((F.sum("weighted") / F.sum("windows")).alias("w")).orderBy("place").collect()
-    return unpack(np.array([r["w"] for r in rows])) if rows else start_weights() | {k: np.zeros(_SHAPES[k], np.float32) for k in ("out", "bias")}
+        def take():
+            if held:
+                size = np.array([len(x) for x in held])
+                ids, row_to = np.concatenate(held).astype(np.int64), np.cumsum(size)
+                trainer.take(ids, _shifted(ids, row_to - size, own.end), *window_places(row_to - size, row_to))
+                held.clear()
+
+        def added():
+            take()
+            return total + np.rint(pack(trainer.w) * _UNIT).astype(np.int64) * trainer.n, windows + trainer.n, done + 1
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), windows))], names=made.fieldNames())
+
+        for b in batches:
+            values, at = _values(b.column(1))
+            for i, now in enumerate(b.column(0).to_numpy().tolist()):
+                if now != shard:
+                    if trainer is not None:
+                        total, windows, done = added()
+                        if done == _SUMMED:
+                            yield rows()
+                            total, windows, done = 0, 0, 0
+                    shard, trainer, waiting = now, Trainer(tables_), 0
+                held.append(values[at[i] : at[i + 1]])
+                waiting += len(held[-1])
+                if waiting >= SHARD_IDS:
+                    take()
+                    waiting = 0
+        if trainer is not None:
+            total, windows, done = added()
+            yield rows()
+
+    each = dealt.transform(map_batches, run, made).groupBy("place").agg(F.sum(F.col("weighted").cast("decimal(38,0)")).alias("weighted"), F.sum("windows").alias("windows")).orderBy("place").collect()
+    if not each:
+        return start_weights() | {k: np.zeros(_SHAPES[k], np.float32) for k in ("out", "bias")}
+    return unpack(np.array([int(r["weighted"]) / (r["windows"] * _UNIT) for r in each]))
 
 
 @dataclass(frozen=True)
@@ -681,7 +736,7 @@ def score(docs: DataFrame, path: str, ranks: int = RANKS) -> DataFrame:
     pairs, memory = pairs_and_memory(runs, subwords(path, ranks).size)
     t = tables(pairs)
     shared = docs.sparkSession.sparkContext.broadcast((t, memory))
-    w = fit_attention(train, t, path, ranks, shared)
+    w = fit_attention(train, t, path, ranks, int(pairs.sum()), shared)
     release(docs.sparkSession)
     rest = rest_of_memory(tokens, runs, counts, memory, top.tokens + 0.5 * (top.distinct + 1), path, ranks, shared)
     scored = model_scores(tokens.join(rest, "row", "left"), w, top, path, ranks, shared)

@@ -237,8 +237,8 @@ def test_every_training_text_moves_the_attention(spark):
     texts = [rng.integers(0, own.size, 40).astype("<u2") for _ in range(6)]
 
     def weights(texts):
-        rows = spark.createDataFrame([(bytearray(x.tobytes()),) for x in texts], "ids binary").coalesce(1)
-        return attention_lm.pack(attention_lm.fit_attention(rows, t, RANKS, 10))
+        rows = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(texts)], "doc_id long, ids binary").coalesce(1)
+        return attention_lm.pack(attention_lm.fit_attention(rows, t, RANKS, 10, 240))
 
     whole = weights(texts)
     for k in range(6):
@@ -246,6 +246,25 @@ def test_every_training_text_moves_the_attention(spark):
         assert not np.array_equal(whole, weights([x.astype("<u2") for x in other])), k
 
 
+def test_weights_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "SHARD_IDS", 500)
+    monkeypatch.setattr(attention_lm, "_SUMMED", 2)
+    own = attention_lm.subwords(RANKS, 10)
+    rng = np.random.default_rng(6)
+    t = attention_lm.tables(rng.poisson(2, (own.size, own.size)).astype(float))
+    texts = [(None if i % 9 == 0 else i // 2, bytearray(rng.integers(0, own.size, rng.integers(1, 200)).astype("<u2").tobytes())) for i in range(60)]
+    n = sum(len(x[1]) // 2 for x in texts)
+    rows = spark.createDataFrame(texts + texts[:5], "doc_id long, ids binary")
+    made = [attention_lm.pack(attention_lm.fit_attention(rows.repartition(k).orderBy(F.rand(k)), t, RANKS, 10, n)) for k in (1, 7)]
+    assert np.array_equal(*made) and np.abs(made[0]).max() > 0
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = documents(spark)
+    runs = [{r.doc_id: r.score for r in attention_lm.score(docs.repartition(k), RANKS).collect()} for k in (1, 7)]
+    assert runs[0] == runs[1]
+
+
 # --- sharding ----------------------------------------------------------------------
 
 
