@@ -1,16 +1,17 @@
 """Quality selection by importance resampling.
 
-Texts are described by hashed n-grams (words and word pairs, A-Z lower-cased, each
-bucket once for a text).  Two generative models give the share of texts that have
-a bucket: of all texts (raw), and of target texts (labelled good and not toxic).
-A text's log importance is the sum over its buckets of log(target / raw), and the
-sample is the ``k`` texts of largest log importance / TEMPERATURE + Gumbel noise,
-which is drawing without replacement in proportion to the weights.
+Texts are read as hashed n-grams (words and word pairs, A-Z lower-cased, repeats
+counted).  Two generative models give the probability of a bucket: that of all texts
+(raw) and that of target texts (labelled good and not toxic).  A text's log importance
+is the sum over its n-grams of log(target / raw), and the sample is the ``k`` texts of
+largest log importance / TEMPERATURE + Gumbel noise, which is drawing without
+replacement in proportion to the weights (at a temperature of 1).
 
 The target texts are among the raw ones, so a bucket's target count given its raw
-count is a random thinning unless the bucket has to do with quality.  Ratios
-within Z standard deviations of that thinning are taken as 1; otherwise the many
-accidental ratios of a long text would outweigh the few telling ones.
+count is a random thinning unless the bucket has to do with quality.  The target
+model backs off to the raw one for buckets within Z standard deviations of that
+thinning; otherwise the many accidental ratios of a long text outweigh the few
+telling ones (README has figures).  ``z = 0`` gives the plain ratio of smoothed counts.
 
 Counts are over all texts: every task counts its own in one array of BUCKETS
 numbers, and arrays are added by bucket.  At most TARGETS labelled ids (those of
@@ -37,28 +38,31 @@ from .shared import cut, map_batches, with_text_columns
 BUCKETS = 1 << 20
 TARGETS = 100_000
 Z = 4.0
-TEMPERATURE = 0.25
+TEMPERATURE = 1.0
 SEED = 7
 
 
-def text_buckets(words: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket), each pair once."""
+def text_buckets(words: kernel.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, how often), each pair once."""
     hashes = words.hashes()
     row = words.row_of_word()
     first, pairs = words.windows(hashes, 2)
     row = np.concatenate([row, row[first]])
     bucket = np.concatenate([hashes, pairs]) & np.uint64(BUCKETS - 1)
-    key = np.unique(row.astype(np.uint64) * np.uint64(BUCKETS) + bucket)
-    return (key >> np.uint64(BUCKETS.bit_length() - 1)).astype(np.int64), (key & np.uint64(BUCKETS - 1)).astype(np.int64)
+    key, count = np.unique(row.astype(np.uint64) * np.uint64(BUCKETS) + bucket, return_counts=True)
+    return (key >> np.uint64(BUCKETS.bit_length() - 1)).astype(np.int64), (key & np.uint64(BUCKETS - 1)).astype(np.int64), count
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, z: float = Z) -> np.ndarray:
-    """log(share among targets / share among all) where it is no accident, else 0."""
+    """log(probability in the target model / in the raw model), 0 where the target model backs off.
+
+    raw, target: counts of buckets; n_raw, n_target: of all n-grams.
+    """
     if not n_target or n_target >= n_raw:
         return np.zeros(len(raw))
     share = n_target / n_raw
     expected = raw * share
-    told = np.abs(target - expected) > z * np.sqrt(np.maximum(raw, 1) * share * (1 - share))
+    told = np.abs(target - expected) > z * np.sqrt(raw * share * (1 - share))
     return np.where(told, np.log((target + 0.5) / (expected + 0.5)), 0.0)
 
 
@@ -68,17 +72,17 @@ def fit(docs: DataFrame, good_ids: np.ndarray, z: float = Z) -> np.ndarray:
     good_ids = np.sort(good_ids)
 
     def run(batches):
-        raw, target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)  # the last bucket counts texts
+        raw, target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)  # the last bucket counts all
         for batch in batches:
             ids = batch.column(0).fill_null(-1).to_numpy()
             at = np.minimum(np.searchsorted(good_ids, ids), max(len(good_ids) - 1, 0))
             good = good_ids[at] == ids if len(good_ids) else np.zeros(len(ids), bool)
-            raw[-1] += len(ids)
-            target[-1] += good.sum()
             for a, _, words in kernel.word_slices(batch.column(1), lower=True):
-                row, bucket = text_buckets(words)
-                raw += np.bincount(bucket, minlength=BUCKETS + 1)
-                target += np.bincount(bucket[good[a + row]], minlength=BUCKETS + 1)
+                row, bucket, count = text_buckets(words)
+                own = good[a + row]
+                np.add.at(raw, bucket, count)
+                np.add.at(target, bucket[own], count[own])
+        raw[-1], target[-1] = raw.sum(), target.sum()
         some = np.flatnonzero(raw)
         for a in range(0, len(some), 1 << 16):
             b = some[a : a + (1 << 16)]
@@ -105,8 +109,8 @@ def scored(docs: DataFrame, ratios: np.ndarray, keep: list[str] | None = None) -
     def fn(texts: pa.Array) -> list[pa.Array]:
         table, parts = shared.value, [np.zeros(0)]
         for _, _, words in kernel.word_slices(texts, lower=True):
-            row, bucket = text_buckets(words)
-            parts.append(np.bincount(row, weights=table[bucket], minlength=words.rows))
+            row, bucket, count = text_buckets(words)
+            parts.append(np.bincount(row, weights=table[bucket] * count, minlength=words.rows))
         return [pa.array(np.concatenate(parts), pa.float64())]
 
     return with_text_columns(docs, "text", StructType([StructField("log_importance", DoubleType())]), fn, keep)
@@ -150,7 +154,9 @@ def kth_largest(df: DataFrame, column: str, k: int, few: int = 4096) -> tuple[fl
             above += r["count"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, share: float | None = None, temperature: float = TEMPERATURE, seed: int = SEED, targets: int = TARGETS) -> DataFrame:
+def resample(
+    docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, share: float | None = None, temperature: float = TEMPERATURE, seed: int = SEED, targets: int = TARGETS, z: float = Z
+) -> DataFrame:
     """``keep`` columns of ``docs`` (doc_id among them) with log_importance, gumbel_key and kept.
 
     share: of the rows that are kept; by default that of good rows among the
@@ -162,7 +168,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     ids = known.where(good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(targets).select(F.col("doc_id").cast("long")).toPandas()["doc_id"].to_numpy()
     if share is None:
         share = n_good / n_known if n_known else 1.0
-    ratios = fit(docs, ids)
+    ratios = fit(docs, ids, z)
     keyed = cut(scored(docs, ratios, keep).withColumn("gumbel_key", F.col("log_importance") / temperature + gumbel("doc_id", seed)))
     rows = keyed.count()
     k = round(share * rows)

@@ -1,5 +1,6 @@
 """License scan, quality rules, decontamination, importance resampling: operators that read each text once."""
 
+import math
 import random
 from collections import Counter
 
@@ -208,21 +209,37 @@ def test_kth_largest(spark):
         assert importance_sample.kth_largest(df, "v", k, few=10) == (order[k - 1], sum(v > order[k - 1] for v in values))
 
 
-def test_scores_by_counting(spark):
+def test_scores_and_choice_by_counting(spark):
     r = random.Random(8)
     good, bad = ["alpha", "beta", "gamma"], ["spam", "scam"]
     rows = [(i, " ".join(r.choice(good + (bad if i % 4 == 0 else [])) for _ in range(12))) for i in range(400)]
-    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 400, 2)] + [(i, 1, int(i % 4 == 0)) for i in range(1, 400, 2)], "doc_id long, quality int, toxic int")
+    rows += rows[:3] + [(500, None), (500, None)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = importance_sample.resample(docs, labels, keep=["doc_id"]).collect()
-    assert sum(g.kept for g in got) == 300
-    assert sum(g.kept for g in got if g.doc_id % 4 == 0) < 10
-    features = {i: set(t.split()) | {tuple(t.split()[j : j + 2]) for j in range(11)} for i, t in rows}
-    raw = Counter(f for s in features.values() for f in s)
-    target = Counter(f for i, s in features.items() if i % 4 for f in s)
-    ratio = {f: importance_sample.log_ratios(np.array([n]), np.array([target[f]]), 400, 300)[0] for f, n in raw.items()}
-    for g in got:
-        assert np.isclose(g.log_importance, sum(ratio[f] for f in features[g.doc_id]))
+    features = [Counter((t or "").split()) + Counter(zip((t or "").split(), (t or "").split()[1:])) for _, t in rows]
+    raw = sum(features, Counter())
+    target = sum((f for (i, _), f in zip(rows, features) if i % 4 and i < 400), Counter())
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    gumbel = {x.id: x.g for x in spark.createDataFrame([(i,) for i, _ in rows], "id long").select("id", importance_sample.gumbel("id").alias("g")).collect()}
+    for z in (0.0, importance_sample.Z):
+        ratio = {}
+        for f, n in raw.items():
+            expected = n * n_target / n_raw
+            told = abs(target[f] - expected) > z * math.sqrt(expected * (1 - n_target / n_raw))
+            ratio[f] = math.log((target[f] + 0.5) / (expected + 0.5)) if told else 0.0
+        keyed = sorted(((sum(ratio[w] * c for w, c in f.items()) + gumbel[i], i) for (i, _), f in zip(rows, features)), key=lambda x: (-x[0], x[1]))
+        got = importance_sample.resample(docs, labels, keep=["doc_id"], z=z).collect()
+        assert np.allclose(sorted(g.gumbel_key for g in got), sorted(k for k, _ in keyed))
+        k = round(0.75 * len(rows))
+        assert {g.doc_id for g in got if g.kept} == {i for _, i in keyed[:k]}
+        assert sum(g.kept for g in got if g.doc_id % 4 == 0 and g.doc_id < 400) < 10
+
+
+def test_equal_keys_go_by_the_smallest_id(spark, monkeypatch):
+    monkeypatch.setattr(importance_sample, "gumbel", lambda key, seed=0: F.lit(0.0))
+    docs = spark.createDataFrame([(i, "same words") for i in (5, 3, 9, 1, 7, 3)], "doc_id long, text string")
+    got = importance_sample.resample(docs, empty(spark, "doc_id long, quality int, toxic int"), ["doc_id"], share=0.5).collect()
+    assert sorted(g.doc_id for g in got if g.kept) == [1, 3, 3]
 
 
 def test_gumbel_is_gumbel(spark):
