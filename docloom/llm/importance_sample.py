@@ -20,8 +20,8 @@ can be repeated; the k-th key is found exactly by counting keys in ever smaller
 intervals, without sorting them in one place.
 
 Defined cases: a null or empty text has log importance 0; without labels every
-text has, and all are kept; equal keys are taken by the smallest id, and rows
-with the same key and id are kept or left together.
+text has, and all are kept; equal keys are taken by the smallest id, rows without
+one last, and rows with the same key and id are kept or left together.
 """
 
 from __future__ import annotations
@@ -175,7 +175,6 @@ def resample(
     if k >= rows or k <= 0:
         return keyed.withColumn("kept", F.lit(k > 0))
     bound, above = kth_largest(keyed, "gumbel_key", k)
-    ties = keyed.where(F.col("gumbel_key") == bound).groupBy(F.col("doc_id").alias("id")).count()
-    last, _ = (None, 0) if ties.count() == 1 else kth_largest(ties.select((-F.col("id")).alias("id")), "id", min(k - above, ties.count()))
-    in_tie = F.col("gumbel_key") == bound
-    return keyed.withColumn("kept", (F.col("gumbel_key") > bound) | (in_tie & (F.lit(last is None) | (F.col("doc_id") <= -(last or 0)))))
+    in_tie, order = F.col("gumbel_key") == bound, F.coalesce(-F.col("doc_id").cast("long"), F.lit(-(1 << 62)))  # rows without an id come last
+    last, _ = kth_largest(keyed.where(in_tie).select(order.alias("id")), "id", k - above)
+    return keyed.withColumn("kept", (F.col("gumbel_key") > bound) | (in_tie & (order >= last)))
