@@ -76,12 +76,18 @@ def clean_title(raw: Column) -> Column:
     return F.replace(F.trim(raw), F.lit('"'), F.lit(""))
 
 
+def utc_date(ts: Column) -> Column:
+    """Date in UTC, whatever the session's time zone; a timestamp without a zone is UTC already."""
+    since_epoch = F.floor(F.unix_seconds(ts.cast("timestamp")) / 86400).cast("int")
+    return F.when(F.typeof(ts) == "timestamp_ntz", F.to_date(ts)).otherwise(F.date_from_unix_date(since_epoch))
+
+
 def day_key(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    return F.date_format(utc_date(ts), "yyyy-MM-dd")
 
 
 def month_key(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    return F.date_format(utc_date(ts), "yyyy-MM")
 
 
 def tag_or_null(raw: Column, tag: str, any_case: bool = False) -> Column:

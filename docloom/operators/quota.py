@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from docloom.functions import text as T
+from docloom.functions.ship import map_batches
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,9 @@ def usage(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", T.day_key(F.col("ts")).alias("day")).agg(F.sum("amount").alias("used"))
 
 
-STATE = "struct<day:string,day_used:bigint,month:string,month_used:bigint,out:array<struct<event_id:bigint,admitted:boolean,day_used:bigint,month_used:bigint>>>"
+DECISION = StructType(
+    [StructField("user_id", LongType()), StructField("event_id", LongType()), StructField("admitted", BooleanType()), StructField("day_used", LongType()), StructField("month_used", LongType())]
+)
 
 
 def fold(events: DataFrame, limits: Limits = CHAT_TOKENS) -> DataFrame:
@@ -51,22 +56,31 @@ def fold(events: DataFrame, limits: Limits = CHAT_TOKENS) -> DataFrame:
 
     events: event_id, user_id, ts, kind (reserve or adjust), amount.  A reservation
     that would pass a limit is refused and uses nothing; an adjustment always
-    counts and may pass the limit or give back.  The events of one user are one
-    array, which is as long as that user's history in the batch.
+    counts and may pass the limit or give back.  Events come to a task as a stream
+    sorted by user and time, of which it holds one user's two buckets.
     """
-    rows = events.select("user_id", F.struct("ts", "event_id", "kind", F.col("amount").cast("bigint").alias("amount"), T.day_key(F.col("ts")).alias("day"), T.month_key(F.col("ts")).alias("month")).alias("e"))
-    start = F.expr(f"cast(named_struct('day', '', 'day_used', 0L, 'month', '', 'month_used', 0L, 'out', array()) as {STATE})")
-
-    def step(acc, e):
-        day = F.when(acc["day"] == e["day"], acc["day_used"]).otherwise(0)
-        month = F.when(acc["month"] == e["month"], acc["month_used"]).otherwise(0)
-        admitted = (e["kind"] == "adjust") | ((day + e["amount"] <= limits.daily) & (month + e["amount"] <= limits.monthly))
-        new_day, new_month = (x + F.when(admitted, e["amount"]).otherwise(0) for x in (day, month))
-        row = F.struct(e["event_id"].alias("event_id"), admitted.alias("admitted"), new_day.alias("day_used"), new_month.alias("month_used"))
-        return F.struct(e["day"].alias("day"), new_day.alias("day_used"), e["month"].alias("month"), new_month.alias("month_used"), F.concat(acc["out"], F.array(row)).alias("out")).cast(STATE)
-
-    folded = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("events")).select("user_id", F.explode(F.aggregate("events", start, step, lambda acc: acc["out"])).alias("r"))
-    return folded.select("user_id", "r.*")
+    rows = events.select(
+        F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), T.day_key(F.col("ts")).alias("day"), T.month_key(F.col("ts")).alias("month"),
+        (F.col("kind") == "adjust").alias("adjust"), F.col("amount").cast("long").alias("amount"), "ts",
+    )
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").drop("ts")
+
+    def run(batches):
+        user, day, month, day_used, month_used = None, "", "", 0, 0
+        for b in batches:
+            admitted, left_day, left_month = [], [], []
+            for u, d, m, adjust, amount in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+                day_used, month_used = day_used if (u, d) == (user, day) else 0, month_used if (u, m) == (user, month) else 0
+                user, day, month = u, d, m
+                ok = adjust or (day_used + amount <= limits.daily and month_used + amount <= limits.monthly)
+                if ok:
+                    day_used, month_used = day_used + amount, month_used + amount
+                admitted.append(ok)
+                left_day.append(day_used)
+                left_month.append(month_used)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(admitted, pa.bool_()), pa.array(left_day, pa.int64()), pa.array(left_month, pa.int64())], names=DECISION.fieldNames())
+
+    return map_batches(rows, run, DECISION)
 
 
 def left(used, limit: int):

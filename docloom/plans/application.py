@@ -251,6 +251,6 @@ select user_id, event_id, admitted, cast(day_used as bigint) as day_used, cast(m
 select page_id, case when size > 2097152 then 413 when s = 2 then 400 when s not in (0, 1) then 400 when not starts_with(head, '%PDF-') then 400 else 0 end as code,
 case when size > 2097152 then 'too large' when s = 2 then 'double extension' when s not in (0, 1) then 'not a .pdf name' when not starts_with(head, '%PDF-') then 'not a PDF' else 'accepted' end as reason from u""",
     "guardrail_gate": f"""with m as (select conv_id, turn, lower(['Is a cheque bounce a crime? ', 'best cooking recipes ', 'a joke about bail ', '', 'weather today '][(conv_id + turn) % 5 + 1] || coalesce(text, '')) as q from conversations)
-select conv_id, turn, case when regexp_matches(q, '{_GATE(guardrail.EXCEPTIONS)}') then 'pass' when regexp_matches(q, '{_GATE(guardrail.FAILURES)}') then 'fail' else 'pass' end as gate from m""",
+select conv_id, turn, case when regexp_matches(q, '{_GATE(guardrail.Topics().allowed)}') then 'pass' when regexp_matches(q, '{_GATE(guardrail.Topics().refused)}') then 'fail' else 'pass' end as gate from m""",
     "kv_extract_parties": "select c_custkey, 0::bigint as place, c_name as entity_name, 'Buyer' as legal_role from customer union all select c_custkey, 1, 'Store', 'Seller' from customer",
 }

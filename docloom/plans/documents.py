@@ -80,10 +80,17 @@ def chunk_documents(spark, sf_dir):
     return structure.chunks(structure.with_hierarchy(_layout(spark, sf_dir), structure.heading_rules(TOC)))
 
 
+def chunk_totals(spark, sf_dir):
+    """What the chunks of a document hold together: words in order, and that none is over the limit."""
+    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "content"))), lambda c: c["content"]), " ")
+    found = chunk_documents(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.bool_and(F.col("n_words") <= structure.MAX_WORDS).alias("bounded"), one.alias("text"))
+    return found.select("doc_id", "bounded", F.sha2(T.strip(F.regexp_replace("text", r"(?U)\s+", " ")), 256).alias("words_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        html_clean, pii_detect, pii_mask, pii_restore, toc_page_ranges, page_methods, chunk_previews, synopsis_removed, footnotes_removed, hierarchy_fixed, template_headers, chunk_documents,
+        html_clean, pii_detect, pii_mask, pii_restore, toc_page_ranges, page_methods, chunk_previews, synopsis_removed, footnotes_removed, hierarchy_fixed, template_headers, chunk_documents, chunk_totals,
     )
 }
 
@@ -100,9 +107,17 @@ def _html_sql() -> str:
 
 _DETECT = " union all ".join(
     f"select doc_id, '{label}' as label, value, instr(text, value) as pos from (select doc_id, text, unnest(list_distinct(regexp_extract_all(text, '{dict(privacy.PATTERNS)[label]}'))) as value from documents)"
-    for label in ("EMAIL", "DOCUMENT DATE")
+    for label in dict(privacy.PATTERNS)
 )
 
+#: Values of a text are numbered by label in order of place and replaced one after the other, the longest first.
+_MASK_SQL = f"""with e as (select doc_id, label, value, min(pos) as pos from ({_DETECT}) group by all),
+f as (select doc_id, value, arg_min(label, (pos, label)) as label, min(pos) as pos from e group by doc_id, value),
+n as (select *, '[' || label || '_' || row_number() over (partition by doc_id, label order by pos, value) || ']' as placeholder, row_number() over (partition by doc_id order by pos, label, value) as i from f),
+l as (select doc_id, list(value || chr(1) || placeholder order by -length(value), i) as pairs from n group by doc_id)
+select d.doc_id, case when l.pairs is null then d.text else list_reduce(list_prepend(d.text, l.pairs), lambda t, p: replace(t, split_part(p, chr(1), 1), split_part(p, chr(1), 2))) end as masked,
+  case when d.text is not null then cast(coalesce(len(l.pairs), 0) as bigint) end as n_pairs from documents d left join l using (doc_id)"""
+
 _LAYOUT_SQL = """t as (select doc_id, 'Synopsis' || chr(10) || '| ' || string_split(text, chr(10))[1] || ' |' || chr(10) || '|---|' || chr(10) || 'entry one' || chr(10) || text || chr(10)
   || '5 [1 . Definition - body @@PAGE_1@@' || chr(10) || '12. A v B, AIR 1950 @@PAGE_2@@' || chr(10) || '12' || chr(10) || 'end' as text from documents where text is not null),
 l as (select doc_id, i, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as s from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from t))"""
@@ -123,8 +138,9 @@ def _hierarchy_sql() -> str:
     rules = structure.heading_rules(TOC)
     case = lambda value: "case " + " ".join(f"when regexp_matches(s, '(?i){r['pattern']}') then {value(r)}" for r in rules) + " end"
     text = lambda v: "null" if v is None else f"'{v}'"
+    above = lambda r, i: r["above"][i] if len(r["above"]) > i else None
     return f"""with {_LAYOUT_SQL},
-m as (select *, case when s <> '' then {case(lambda r: r['level'])} end as level, {case(lambda r: text(r['raw_text']))} as raw, {case(lambda r: text(r['parent_l1']))} as one, {case(lambda r: text(r['parent_l2']))} as two,
+m as (select *, case when s <> '' then {case(lambda r: r['level'])} end as level, {case(lambda r: text(r['title']))} as raw, {case(lambda r: text(above(r, 0)))} as one, {case(lambda r: text(above(r, 1)))} as two,
   regexp_replace(regexp_replace({case(lambda r: f"regexp_extract(s, '(?i){r['pattern']}', 1)")}, '^[ .:;,\\-—–_=|*~\\t\\n\\r]+', ''), '^\\s+|\\s+$', '', 'g') as body from l),
 n as (select *, case when level = 1 then raw when level in (2, 3) then nullif(one, '') end as need1, case when level = 2 then raw when level = 3 then nullif(two, '') end as need2 from m),
 w as (select *, need1 is not null and level <> 1 and row_number() over (partition by doc_id, need1 order by i) = 1 as add1, need2 is not null and level = 3 and row_number() over (partition by doc_id, need2 order by i) = 1 as add2 from n),
@@ -133,7 +149,15 @@ o as (select doc_id, i, case when s = '' then '' when level is null and length(s
 select doc_id, string_agg(x, chr(10) order by i) as text from o group by doc_id"""
 
 
+#: A line with one page tag needs no look-ahead, and no line has two here.
+_FOOTNOTE_SQL = structure.FOOTNOTE.replace("(?:(?!@@PAGE).)*?", ".*?")
+
 ORACLE_SQL = {
+    "pii_mask": _MASK_SQL,
+    "footnotes_removed": f"with {_LAYOUT_SQL} select doc_id, regexp_replace(regexp_replace(text, '(?i){_FOOTNOTE_SQL}', '', 'g'), '^\\s+|\\s+$', '', 'g') as text from t",
+    "chunk_totals": f"""with h as ({_hierarchy_sql()}),
+b as (select doc_id, i, line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from h) where not regexp_matches(line, '^#{{1,6}}\\s'))
+select doc_id, true as bounded, sha256(trim(regexp_replace(regexp_replace(string_agg(line, ' ' order by i), '\\s*@@(?:PAGE_|H)\\d+@@\\s*', ' ', 'g'), '\\s+', ' ', 'g'))) as words_sha256 from b group by doc_id""",
     "html_clean": f"select page_id, {_html_sql()} as text from pages",
     "pii_detect": f"select doc_id, label, value, cast(pos as bigint) as pos from ({_DETECT})",
     "pii_restore": "select doc_id, text as restored from documents",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,26 +16,27 @@ from docloom.operators import quota, structure
 MAX_ATTEMPTS = 3
 
 
-def ingest(spark: SparkSession, source: str, schema: str, chunk_sink: str, status_sink: str, checkpoint: str, build: Callable[[DataFrame], DataFrame] = structure.chunks):
+def ingest(spark: SparkSession, source: str, schema: str, chunk_sink: str, status_sink: str, checkpoint: str, build: Callable[[DataFrame], DataFrame] = structure.chunks, delay: float = 60.0):
     """Starts a query that turns documents (doc_id, text) arriving as Parquet in ``source`` into chunks, with status rows.
 
     A batch is written under its own number, so that a batch that is run again
-    replaces what it wrote; its documents end as completed, or as failed after
-    MAX_ATTEMPTS tries.
+    replaces what it wrote; its documents end as completed, or as failed (with the
+    error) after MAX_ATTEMPTS tries, ``delay`` seconds apart.
     """
 
     def take(batch: DataFrame, number: int) -> None:
         status = batch.select("doc_id", F.current_timestamp().alias("ts"))
+        state, error = "failed", None
         for attempt in range(1, MAX_ATTEMPTS + 1):
             try:
                 build(batch).write.mode("overwrite").parquet(f"{chunk_sink}/batch={number}")
-                state = "completed"
+                state, error = "completed", None
                 break
-            except Exception:
-                state = "failed"
-                if attempt == MAX_ATTEMPTS:
-                    break
-        status.withColumns({"status": F.lit(state), "attempts": F.lit(attempt)}).write.mode("overwrite").parquet(f"{status_sink}/batch={number}")
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"[:1000]
+                if attempt < MAX_ATTEMPTS:
+                    time.sleep(delay)
+        status.withColumns({"status": F.lit(state), "attempts": F.lit(attempt), "error": F.lit(error).cast("string")}).write.mode("overwrite").parquet(f"{status_sink}/batch={number}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -42,31 +44,48 @@ def ingest(spark: SparkSession, source: str, schema: str, chunk_sink: str, statu
 ADMISSION = StructType(
     [StructField("event_id", LongType()), StructField("user_id", LongType()), StructField("admitted", BooleanType()), StructField("day_used", LongType()), StructField("month_used", LongType())]
 )
-_STATE = StructType([StructField("day", StringType()), StructField("day_used", LongType()), StructField("month", StringType()), StructField("month_used", LongType())])
+_NAME, _USED = StructType([StructField("bucket", StringType())]), StructType([StructField("used", LongType())])
+#: Buckets of months this far before the newest one are dropped; an event later than that finds them empty.
+KEPT_MONTHS = 2
 
 
 class QuotaProcessor(StatefulProcessor):
-    """Replays each user's reservations and adjustments in order of time; state is two buckets for each user."""
+    """Replays each user's reservations and adjustments in order of time; state is a bucket for each day and month.
+
+    A late event counts in the day and month that it is of, and changes no later
+    bucket but its month's.
+    """
 
     def __init__(self, limits: quota.Limits = quota.CHAT_TOKENS):
         self.limits = limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("buckets", _STATE)
+        self.state = handle.getMapState("buckets", _NAME, _USED)
 
     def handleInputRows(self, key, rows, timerValues):
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        day, day_used, month, month_used = self.state.get() if self.state.exists() else ("", 0, "", 0)
+        used: dict[str, int] = {}
+
+        def of(bucket: str) -> int:
+            if bucket not in used:
+                used[bucket] = self.state.getValue((bucket,))[0] if self.state.containsKey((bucket,)) else 0
+            return used[bucket]
+
         out = []
-        for e in events.itertuples():
-            d, m = e.ts.strftime("%Y-%m-%d"), e.ts.strftime("%Y-%m")
-            day_used, month_used = (day_used if d == day else 0), (month_used if m == month else 0)
-            day, month = d, m
-            admitted = e.kind == "adjust" or (day_used + e.amount <= self.limits.daily and month_used + e.amount <= self.limits.monthly)
-            if admitted:
-                day_used, month_used = day_used + e.amount, month_used + e.amount
-            out.append((e.event_id, key[0], bool(admitted), day_used, month_used))
-        self.state.update((day, int(day_used), month, int(month_used)))
+        for event, ts, kind, amount in zip(events["event_id"], events["ts"], events["kind"], events["amount"]):
+            day, month = ts.strftime("%Y-%m-%d"), ts.strftime("%Y-%m")
+            admitted = kind == "adjust" or (of(day) + amount <= self.limits.daily and of(month) + amount <= self.limits.monthly)
+            for bucket in (day, month):
+                used[bucket] = of(bucket) + (int(amount) if admitted else 0)
+            out.append((event, key[0], bool(admitted), used[day], used[month]))
+        for bucket, n in used.items():
+            self.state.updateValue((bucket,), (n,))
+        known = [name for (name,) in self.state.keys()]
+        year, month = map(int, max(known)[:7].split("-"))
+        oldest = 12 * year + month - 1 - KEPT_MONTHS
+        for name in known:
+            if name < f"{oldest // 12:04d}-{oldest % 12 + 1:02d}":
+                self.state.removeKey((name,))
         yield pd.DataFrame(out, columns=ADMISSION.fieldNames())
 
     def close(self) -> None:

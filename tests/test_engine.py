@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.operators import app, bm25, dense, guardrail, judge, privacy, quota, retrieval
 from docloom.sources import tables
 from docloom.streaming import pipelines
@@ -99,6 +100,31 @@ def test_quota_stream_is_the_fold(spark, tmp_path):
     assert {r.event_id: (r.admitted, r.day_used, r.month_used) for r in spark.table("decisions").collect()} == replay(events, quota.CHAT_TOKENS)
 
 
+def test_a_late_event_counts_in_its_own_day(spark, tmp_path):
+    day = dt.datetime(2024, 1, 10, 12)
+    waves = [[(1, 1, day, "reserve", 600)], [(2, 1, day - dt.timedelta(days=1), "reserve", 600)], [(3, 1, day + dt.timedelta(minutes=1), "reserve", 600), (4, 1, day - dt.timedelta(days=1), "reserve", 400)]]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for wave in waves:
+        spark.createDataFrame(wave, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        query = pipelines.quota_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(180)
+    got = {r.event_id: (r.admitted, r.day_used, r.month_used) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (True, 600, 600), 2: (True, 600, 1200), 4: (True, 1000, 1600), 3: (False, 600, 1600)}
+
+
+def test_keys_are_utc(spark):
+    rows = spark.createDataFrame([(dt.datetime(2024, 3, 31, 23, 30, tzinfo=dt.timezone.utc),)], "ts timestamp")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("Asia/Kolkata", "America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            got = rows.select(T.day_key(F.col("ts")), T.month_key(F.col("ts")), T.day_key(F.lit("2024-03-31 23:30:00").cast("timestamp_ntz"))).first()
+            assert tuple(got) == ("2024-03-31", "2024-03", "2024-03-31"), name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_ingest_stream(spark, tmp_path):
     spark.createDataFrame([(1, "# A\none two"), (2, "three")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     query = pipelines.ingest(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "chunks"), str(tmp_path / "status"), str(tmp_path / "cp"))
