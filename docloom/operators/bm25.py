@@ -13,8 +13,9 @@ needed, the k smallest allowed ids are enough and no query meets all documents.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import ClassVar
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -32,14 +33,16 @@ class Index:
     terms: DataFrame
     totals: DataFrame
 
+    TABLES: ClassVar[tuple[str, ...]] = ("postings", "lengths", "terms", "totals")
+
     def write(self, path: str) -> None:
-        for name in ("postings", "lengths", "terms", "totals"):
+        for name in self.TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def read(spark, path: str) -> "Index":
         """Raises if the index is absent."""
-        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "totals")))
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in Index.TABLES))
 
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
@@ -68,34 +71,93 @@ def term_stats(index: Index) -> DataFrame:
     return index.terms.join(F.broadcast(n)).select("term", "df", F.round(idf(F.col("n"), F.col("df")), DIGITS).alias("idf"))  # totals is one row
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: Column | None = None) -> DataFrame:
-    """query_id, rank, doc_id, score: the top k for each of ``queries`` (query_id, text).
+def _wanted(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(T.index_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
-    allowed: a condition on ``docs``; statistics are those of all documents.
+
+def _part() -> Column:
+    """What a query's term adds to a document's score."""
+    return F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def _top(scored: DataFrame, first: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of ``scored`` (query_id, doc_id, score); ``first``: the k smallest ids, which fill up with 0."""
+    filling = queries.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows
+    both = scored.unionByName(filling).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), DIGITS).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+def search_lists(docs: DataFrame, queries: DataFrame, k: int, allowed: dict[str, Column | None]) -> dict[str, DataFrame]:
+    """For each name a result list (query_id, rank, doc_id, score), like ``search`` with its condition.
+
+    Texts are tokenised and scored once for all lists: conditions choose among
+    scored documents, since statistics are those of all documents.
     """
-    wanted = queries.select("query_id", F.explode(T.index_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = _wanted(queries)
     # every document also has one posting of the empty term, so that one pass over the texts gives the totals, too
     vocabulary = wanted.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    kept = F.lit(True) if allowed is None else allowed
-    tokens = docs.select("doc_id", kept.alias("kept"), T.index_terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
+    conditions = [F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for c in allowed.values()]
+    lists = sum((c.cast("long") * (1 << i) for i, c in enumerate(conditions)), F.lit(0).cast("long"))  # a bit for each list that the document is for
+    tokens = docs.select("doc_id", lists.alias("lists"), T.index_terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
     postings = (
-        tokens.select("doc_id", "kept", "dl", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+        tokens.select("doc_id", "lists", "dl", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
         .join(vocabulary, "term", "left_semi")
-        .groupBy("term", "doc_id", "kept", "dl").agg(F.count("*").alias("tf"))
-        .persist()  # read three times below: for totals, frequencies and scores; without it each would tokenise the texts again
+        .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max("lists").alias("lists"))
     )
-    totals = postings.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    df = postings.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
-    part = F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    # One exchange serves all uses, and one scoring all lists: each use reads all columns, and conditions are
+    # on aggregates, so that neither pruning nor push-down makes the uses differ.
+    whole = F.col("tf") + F.col("dl") * 0 + F.col("lists") * 0
+    empty = F.when(F.col("term") == "", whole)
+    totals = postings.agg(F.sum(empty).alias("n"), (F.sum(empty * F.col("dl")) / F.sum(empty)).alias("avgdl"))
+    df = postings.groupBy("term").agg(F.sum((whole > 0).cast("long")).alias("df"))
+    scored = postings.join(df, "term").join(wanted, "term").join(F.broadcast(totals)).groupBy("query_id", "doc_id").agg(F.sum(_part()).alias("score"), F.max("lists").alias("lists"))  # totals is one row
+    out = {}
+    for i, (name, condition) in enumerate(zip(allowed, conditions)):
+        first = docs.where(condition).select("doc_id").orderBy("doc_id").limit(k)
+        out[name] = _top(scored.where(F.col("lists").bitwiseAND(F.lit(1 << i)) != 0).select("query_id", "doc_id", "score"), first, queries, k)
+    return out
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: Column | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score: the top k for each of ``queries`` (query_id, text).
+
+    allowed: a condition on ``docs``; statistics are those of all documents.
+    """
+    return search_lists(docs, queries, k, {"only": allowed})["only"]
+
+
+def search_index(index: Index, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+    """Like ``search``, from an index: no text is read.  allowed: doc_id of the documents that may be found."""
+    wanted = _wanted(queries)
+    lengths = index.lengths if allowed is None else index.lengths.join(allowed.select("doc_id"), "doc_id", "left_semi")
     scored = (
-        postings.where("kept").join(df, "term").join(wanted, "term").join(F.broadcast(totals))  # totals is one row
-        .groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+        index.postings.join(wanted, "term").join(index.terms, "term").join(lengths, "doc_id").join(F.broadcast(index.totals))  # totals is one row
+        .groupBy("query_id", "doc_id").agg(F.sum(_part()).alias("score"))
     )
-    first = tokens.where("kept").select("doc_id").orderBy("doc_id").limit(k)
-    filling = queries.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows
-    both = scored.unionByName(filling).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), DIGITS).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    return _top(scored, lengths.select("doc_id").orderBy("doc_id").limit(k), queries, k)
+
+
+def index_exists(spark: SparkSession, path: str) -> bool:
+    """Whether all tables of an index are there."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(context._jsc.hadoopConfiguration())
+    return all(files.exists(context._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")) for name in Index.TABLES)
+
+
+def keys_filter(wanted: dict[str, str | None]) -> Column:
+    """A condition from any subset of keys: those that are given must all be equal; a key that a row lacks is no match."""
+    condition = F.lit(True)
+    for column, value in wanted.items():
+        if value:
+            condition = condition & F.coalesce(F.col(column) == value, F.lit(False))
+    return condition
+
+
+def all_given(wanted: dict[str, str | None]) -> bool:
+    """The user's own store is asked only if every key is given."""
+    return all(wanted.values())
 
 
 def posting_sets(docs: DataFrame, attribute: str) -> DataFrame:

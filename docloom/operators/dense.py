@@ -1,20 +1,17 @@
 """Exact dense search: nearest vectors by squared L2 distance or cosine.
 
-A stated set of queries meets all vectors in blocks: each task holds one block of
-queries (BLOCK at most) as a matrix, computes the distances of the vectors that it
-reads with numpy, and emits the best k for each query, so what is shuffled is k
-rows for each query and batch.  Queries beyond a block are another pass.
+A stated set of queries meets all vectors in blocks: vectors and queries are packed
+into matrices of BLOCK rows where they are read, each pair of matrices is one row of
+work, and what is shuffled is the best k for each query and matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from docloom.functions.ship import map_batches
 
@@ -22,18 +19,6 @@ BLOCK = 4096
 DIGITS = 6
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, vectors = [], []
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        ids.append(r[0])
-        vectors.append(r[1])
-        if len(ids) == BLOCK:
-            yield np.array(ids), np.array(vectors, np.float64)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids), np.array(vectors, np.float64)
-
-
 def distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     """[query, row]: smaller is nearer."""
     if metric == "cosine":
@@ -42,34 +27,65 @@ def distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     return np.stack([((rows - q) ** 2).sum(axis=1) for q in queries])
 
 
+def _best(d: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """[query, place]: the k smallest of each row of d, equal ones by the smallest id."""
+    n = d.shape[1]
+    if n <= k:
+        return np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)
+    bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(d), k), np.int64)
+    for q, (row, most) in enumerate(zip(d, bound)):
+        near = np.flatnonzero(row <= most)
+        out[q] = near[np.lexsort((own[near], row[near]))][:k]
+    return out
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
     """query_id, rank, vec_id, distance for ``queries`` (query_id, embedding) over ``vectors`` (vec_id, embedding).
 
     Filter ``vectors`` before the call: the condition then reaches the scan.
-    Rows without a vector are no neighbours.
+    Rows without a vector are no neighbours.  Queries are packed into blocks of
+    BLOCK by the executors; a block meets a slice of vectors by an equi-join on
+    the slice's number, so neither side goes through the driver.
     """
     out = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("distance", DoubleType())])
-    source = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    found = vectors.sparkSession.createDataFrame([], out)
-    for ids, block in _blocks(queries):
-
-        def run(batches, ids=ids, block=block):
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                rows = batch.column(1).flatten().to_numpy().reshape(n, -1)
-                own = batch.column(0).to_numpy()
-                d = np.round(distances(rows, block, metric), DIGITS)
-                best = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
-                q = np.repeat(ids, best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[best.ravel()]), pa.array(np.take_along_axis(d, best, 1).ravel())], names=out.fieldNames())
-
-        found = found.unionByName(map_batches(source, run, out))
+    given = lambda df, key: df.where("embedding is not null").select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = given(queries, "query_id")
+    n = asked.count()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank long, vec_id long, distance double")
+    of = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK))).cast("int")
+    blocks = asked.groupBy(of.alias("block")).agg(F.collect_list("query_id").alias("ids"), F.flatten(F.collect_list("embedding")).alias("rows"))  # about BLOCK queries each
+    parts = _packed(given(vectors, "vec_id"))
+    met = parts.crossJoin(blocks)  # a stated set of queries against all vectors, block by block
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, rows, ids, wanted = (batch.column(c)[i].values.to_numpy() for c in range(4))
+                d = np.round(distances(rows.reshape(len(own), -1), wanted.reshape(len(ids), -1), metric), DIGITS)
+                best = _best(d, own, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best.ravel()]), pa.array(np.take_along_axis(d, best, 1).ravel())], names=out.fieldNames())
+
+    found = map_batches(met.select("own", "vectors", "ids", "rows"), run, out)
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "distance")
 
 
+def _packed(vectors: DataFrame) -> DataFrame:
+    """own, vectors: ids and values of the vectors of each Arrow batch in one row."""
+    made = StructType([StructField("own", ArrayType(LongType())), StructField("vectors", ArrayType(DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, BLOCK):
+                part = b.slice(a, BLOCK)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (part.column(0), part.column(1).flatten())]
+                yield pa.RecordBatch.from_arrays(lists, names=made.fieldNames())
+
+    return map_batches(vectors, run, made)
+
+
 def route(utterances: DataFrame, queries: DataFrame, top: int = 5, threshold: float = 0.5) -> DataFrame:
     """query_id, route, score: the route with the best mean cosine among a query's ``top`` nearest utterances, null below the threshold.
 

@@ -55,6 +55,21 @@ r as (select query_id, row_number() over (partition by query_id order by score d
 select query_id, cast(rank as bigint) as rank, doc_id, score from r where rank <= {k}"""
 
 
+def bm25_index_topk(spark, sf_dir):
+    """The search of bm25_topk over an index of the first and the second half of the documents, merged."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    half = F.col("doc_id") % 2 == 0
+    return bm25.search_index(bm25.build(bm25.merged(docs.where(half), docs.where(~half))), _queries(spark, sf_dir), 10)
+
+
+def bm25_keys_topk(spark, sf_dir):
+    """Two of three keys given, so the internal documents are asked with both and the user's store is not."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    wanted = {"source": "src3", "lang": "en", "doc": None}
+    found = bm25.search(docs, _queries(spark, sf_dir), 3, bm25.keys_filter(wanted))
+    return found.withColumn("user_store", F.lit(bm25.all_given(wanted)))
+
+
 def exact_dedup_first_wins(spark, sf_dir):
     return retrieval.first_occurrence(load(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source")
 
@@ -118,9 +133,7 @@ def _lists(spark, sf_dir):
     lists = {
         "dense_internal": as_docs(dense.search(vectors, asked, 10)),
         "dense_user": as_docs(dense.search(vectors.where(user), asked, 10)),
-        "bm25_internal": bm25.search(docs, queries, 10),
-        "bm25_user": bm25.search(docs, queries, 10, user),
-    }
+    } | bm25.search_lists(docs, queries, 10, {"bm25_internal": None, "bm25_user": user})
     return docs, queries, retrieval.union_lists(lists)
 
 
@@ -168,7 +181,7 @@ def chat_answer(spark, sf_dir):
     return out.select("query_id", "gate", "decision", "needs_retry", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.length("prompt").cast("long").alias("prompt_chars"))
 
 
-QUERIES = {f.__name__: f for f in (chat_answer, bm25_topk, bm25_filtered_topk, bm25_term_stats, bm25_doc_len, metadata_posting_sets, exact_dedup_first_wins, dense_topk, dense_filtered_topk, template_top1, route_queries, retrieval_debug, hybrid_union_dedup, hybrid_rerank_top3)}
+QUERIES = {f.__name__: f for f in (chat_answer, bm25_topk, bm25_filtered_topk, bm25_index_topk, bm25_keys_topk, bm25_term_stats, bm25_doc_len, metadata_posting_sets, exact_dedup_first_wins, dense_topk, dense_filtered_topk, template_top1, route_queries, retrieval_debug, hybrid_union_dedup, hybrid_rerank_top3)}
 
 _ANSWER_SQL = _RERANK_SQL[: _RERANK_SQL.rindex("select query_id, cast(final_rank")] + f"""select b.item_id as query_id, 'pass' as gate, coalesce(z.decision, 'FALLBACK') as decision, coalesce(z.decision = 'RETRY', false) as needs_retry,
   coalesce(z.chunk_ids, '') as chunk_ids, z.prompt_chars
@@ -184,6 +197,8 @@ from benchmark b join (
 ORACLE_SQL = {
     "bm25_topk": _bm25_sql(10, "true"),
     "bm25_filtered_topk": _bm25_sql(3, "d.source = 'src3' and d.lang = 'en'"),
+    "bm25_index_topk": _bm25_sql(10, "true"),
+    "bm25_keys_topk": f"select *, false as user_store from ({_bm25_sql(3, "d.source = 'src3' and d.lang = 'en'")})",
     "bm25_term_stats": f"with {_TOKENS} select term, count(*) as df, round(ln(1.0 + ((select count(*) from documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from post group by term",
     "bm25_doc_len": f"with {_TOKENS} select d.doc_id, cast(coalesce(sum(p.tf), 0) as bigint) as dl from documents d left join post p using (doc_id) group by d.doc_id",
     "metadata_posting_sets": "select source as value, count(*) as n_docs, min(doc_id) as first_doc, max(doc_id) as last_doc from documents where source is not null and source <> '' group by source",
