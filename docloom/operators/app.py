@@ -72,6 +72,61 @@ def audit(messages: DataFrame) -> DataFrame:
     return paired.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("query"), "response")
 
 
+NEW_SESSION = "New Conversation"
+
+
+def session_titles(created: DataFrame, messages: DataFrame, title=lambda query: F.array_join(F.slice(F.split(T.clean_title(query), r"\s+"), 1, 5), " ")) -> DataFrame:
+    """conv_id, title: the newest row of a log of titles, which begins with NEW_SESSION and gets one from the first user message.
+
+    title: a model's function; by default the first five words.
+    """
+    first = messages.where("role = 'user' and text is not null").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
+    log = created.select("conv_id", F.lit(0).alias("at"), F.lit(NEW_SESSION).alias("title")).unionByName(first.select("conv_id", F.lit(1).alias("at"), title(F.col("query")).alias("title")))
+    return latest(log, "conv_id", "at", "title").join(created.select("conv_id"), "conv_id", "left_semi")
+
+
+def logged_messages(messages: DataFrame, blocked: Column, n_history: int = 5) -> DataFrame:
+    """conv_id, turn, role, tokens of the messages that are logged.
+
+    A user message counts its own words and those of the last messages before it;
+    a message that the gate blocks is not logged, the assistant's refusal is.
+    """
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-n_history, -1)
+    n = F.size(T.words(F.col("text")))
+    counted = messages.select("conv_id", "turn", "role", "text", n.alias("n"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias("history"))
+    tokens = F.col("n") + F.when(F.col("role") == "user", F.col("history")).otherwise(F.lit(0))
+    return counted.where(~((F.col("role") == "user") & F.coalesce(blocked, F.lit(False)))).select("conv_id", "turn", "role", tokens.cast("long").alias("tokens"))
+
+
+def default_kb(kb: Column, doc: Column, internal: str = "internal") -> Column:
+    """struct<kb, doc>: the internal knowledge base where neither is given."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    neither = given(kb).isNull() & given(doc).isNull()
+    return F.struct(F.when(neither, F.lit(internal)).otherwise(kb).alias("kb"), F.when(~neither, doc).alias("doc"))
+
+
+def iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def shaped(rows: DataFrame) -> DataFrame:
+    """Rows as a response shows them: ids and other whole numbers of type long as text, timestamps in ISO 8601, nulls kept."""
+    as_shown = {"bigint": lambda c: c.cast("string"), "timestamp": iso, "timestamp_ntz": iso}
+    return rows.select(*[as_shown.get(kind, lambda c: c)(F.col(f"`{name}`")).alias(name) for name, kind in rows.dtypes])
+
+
+def wrapped_toc(raw: Column) -> Column:
+    """A model's table of contents as JSON text of a list: an object becomes a list of one, but for the object that says there is none."""
+    bare = T.strip(T.without_fences(raw))
+    one = bare.startswith("{")
+    return F.when(one & F.get_json_object(bare, "$.error").isNotNull(), bare).when(one, F.concat(F.lit("["), bare, F.lit("]"))).otherwise(bare)
+
+
+def toc_of(text: Column, ask) -> Column:
+    """The table of contents that a model (a function from text to its answer) finds."""
+    return wrapped_toc(ask(text))
+
+
 # --- metadata and prompts ----------------------------------------------------
 
 #: Metadata that stays inside.

@@ -33,6 +33,11 @@ def parse(raw: Column) -> Column:
     return F.from_json(raw, VERDICT)
 
 
+def rounded(score: Column) -> Column:
+    """Four digits, a half to the even one."""
+    return F.bround(score, 4)
+
+
 def valid_chunks(chunks: Column, t: Thresholds = Thresholds()) -> Column:
     return F.filter(chunks, lambda c: F.coalesce(c["relevant"] & (c["chunk_type_match"] if t.require_type_match else F.lit(True)), F.lit(False)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,17 +13,24 @@ PATTERNS = (
     ("TAX ID", r"\b\d{2}-\d{7}\b"),
     ("DOCUMENT DATE", r"\b\d{4}-\d{2}-\d{2}\b"),
     ("ROUTING NUMBER", r"\b\d{9}\b"),
+    ("STREET ADDRESS", r"\b\d{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|Avenue|Road|Lane)\b"),
     ("DIGITAL SIGNATURE", r"/s/ [A-Z][A-Za-z.]+(?: [A-Z][A-Za-z.]+)*"),
 )
 ENTITY = "struct<pos:int,label:string,value:string>"
 
 
-def detect(text: Column, names: dict[str, list[str]] | None = None) -> Column:
-    """Array of (pos, label, value) in order of position; pos counts characters from 1, of each value's first occurrence."""
+def detect(text: Column, names: dict[str, list[str]] | None = None, recognise: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (pos, label, value) in order of position; pos counts characters from 1, of each value's first occurrence.
+
+    names: listed values for labels without a pattern (persons, companies).
+    recognise: a model's function from the text to an array of (label, value).
+    """
     found = [F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1))), _entity(text, label)) for label, p in PATTERNS]
     for label, values in (names or {}).items():
         listed = F.array(*[F.lit(v) for v in values])
         found.append(F.transform(F.filter(listed, lambda v: F.contains(text, v)), _entity(text, label)))
+    if recognise is not None:
+        found.append(F.transform(recognise(text), lambda e: F.struct(F.instr(text, e["value"]).alias("pos"), e["label"].alias("label"), e["value"].alias("value"))))
     return F.array_sort(F.flatten(F.array(*found)))
 
 

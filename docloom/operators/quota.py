@@ -56,12 +56,14 @@ def fold(events: DataFrame, limits: Limits = CHAT_TOKENS) -> DataFrame:
 
     events: event_id, user_id, ts, kind (reserve or adjust), amount.  A reservation
     that would pass a limit is refused and uses nothing; an adjustment always
-    counts and may pass the limit or give back.  Events come to a task as a stream
+    counts and may pass the limit or give back.  An optional column ``settle`` is
+    what an admitted reservation turns out to be more or less (a chat that the gate
+    refuses gives all of it back).  Events come to a task as a stream
     sorted by user and time, of which it holds one user's two buckets.
     """
     rows = events.select(
         F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), T.day_key(F.col("ts")).alias("day"), T.month_key(F.col("ts")).alias("month"),
-        (F.col("kind") == "adjust").alias("adjust"), F.col("amount").cast("long").alias("amount"), "ts",
+        (F.col("kind") == "adjust").alias("adjust"), F.col("amount").cast("long").alias("amount"), (F.coalesce("settle", F.lit(0)) if "settle" in events.columns else F.lit(0)).cast("long").alias("settle"), "ts",
     )
     rows = rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").drop("ts")
 
@@ -69,12 +71,12 @@ def fold(events: DataFrame, limits: Limits = CHAT_TOKENS) -> DataFrame:
         user, day, month, day_used, month_used = None, "", "", 0, 0
         for b in batches:
             admitted, left_day, left_month = [], [], []
-            for u, d, m, adjust, amount in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+            for u, d, m, adjust, amount, settle in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6))):
                 day_used, month_used = day_used if (u, d) == (user, day) else 0, month_used if (u, m) == (user, month) else 0
                 user, day, month = u, d, m
                 ok = adjust or (day_used + amount <= limits.daily and month_used + amount <= limits.monthly)
                 if ok:
-                    day_used, month_used = day_used + amount, month_used + amount
+                    day_used, month_used = day_used + amount + settle, month_used + amount + settle
                 admitted.append(ok)
                 left_day.append(day_used)
                 left_month.append(month_used)

@@ -19,7 +19,9 @@ def union_lists(lists: dict[str, DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # Spark 4.1 takes a union of lists that are each dealt by query_id as dealt so, too, though it has as many partitions
+    # as all of them, and fails to join it; the lists are short, so they are dealt anew by other keys
+    return out.repartition("query_id", "doc_id")
 
 
 def first_wins(results: DataFrame, docs: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 ``fetch(query)`` returns the hits of a query as dicts; the default reads answers
 recorded as JSON files (``<query_id>.json``, a list of hits) from a folder that
-every executor can open.  A query whose call fails has no hits.
+every executor can open.  A query whose call fails has one row without a position,
+which names the error.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "query_id bigint, position int, tid bigint, fragment boolean, docsource string, publishdate string"
+SCHEMA = "query_id bigint, position int, tid bigint, fragment boolean, docsource string, publishdate string, error string"
 
 
 class _Query(InputPartition):
@@ -31,10 +32,11 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         try:
             hits = self.fetch(self.folder, partition.query_id)
-        except Exception:
-            hits = []
+        except Exception as e:  # the other queries go on; the row says why this one has nothing
+            yield partition.query_id, None, None, False, None, None, f"{type(e).__name__}: {e}"
+            return
         for i, h in enumerate(hits):
-            yield partition.query_id, i, h.get("tid"), h.get("fragment") is True, h.get("docsource"), h.get("publishdate")
+            yield partition.query_id, i, h.get("tid"), h.get("fragment") is True, h.get("docsource"), h.get("publishdate"), None
 
 
 def recorded(folder: str, query_id: int) -> list[dict]:

@@ -36,7 +36,8 @@ def test_external_search(spark, tmp_path):
     (tmp_path / "3.json").write_text(json.dumps([{"tid": 7, "fragment": True, "docsource": "c"}, {"tid": 8, "fragment": "yes"}]))
     name = search_api.register(spark)
     rows = spark.read.format(name).option("path", str(tmp_path)).option("queries", "[3, 4]").load().orderBy("position").collect()
-    assert [(r.query_id, r.position, r.tid, r.fragment) for r in rows] == [(3, 0, 7, True), (3, 1, 8, False)]
+    assert [(r.query_id, r.position, r.tid, r.fragment) for r in rows] == [(4, None, None, False), (3, 0, 7, True), (3, 1, 8, False)]
+    assert rows[0].error.startswith("FileNotFoundError") and rows[1].error is None
 
 
 def test_trace(spark):
