@@ -110,9 +110,10 @@ def json_rows(spark: SparkSession, items: list[dict], schema: str) -> DataFrame:
 
 def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 1, **options: str) -> DataFrame:
     """A database's table, read in ``parts`` by ranges of a whole-number ``key``."""
-    reader = spark.read.format("jdbc").options(url=url, **options)
+    source = lambda: spark.read.format("jdbc").options(url=url, **options)
+    reader = source()
     if key and parts > 1:
-        low, high = reader.option("query", f"select min({key}) as LOW_KEY, max({key}) as HIGH_KEY from {table}").load().first()
+        low, high = source().option("query", f"select min({key}) as LOW_KEY, max({key}) as HIGH_KEY from {table}").load().first()
         if low is not None and low < high:
             reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
     return reader.option("dbtable", table).load()
