@@ -205,6 +205,7 @@ class Encoder:
         self._split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self._pieces = _Pieces(Transducer(ranks, max_states), max_pieces)
         self.table = {i: t for t, i in ranks.items()}
+        self.first_unused = max(self.table) + 1
 
     def packed(self, text: str) -> bytes:
         pieces = self._pieces

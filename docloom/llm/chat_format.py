@@ -50,13 +50,9 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text)
 
 
-def first_reserved(table: dict[int, bytes]) -> int:
-    return max(table) + 1
-
-
 def turn_ids(role: str, text: str, encoder: byte_bpe.Encoder) -> tuple[np.ndarray, int, int]:
     """(ids, first token of the text, end of the text) of one turn."""
-    mark = first_reserved(encoder.table)
+    mark = encoder.first_unused
     name, said = encoder.ids(escape(role, role=True)), encoder.ids(escape(text))
     ids = np.concatenate([[mark], name, [mark + 1], said, [mark + 2]]).astype(np.int32)
     return ids, len(name) + 2, len(name) + 2 + len(said)
@@ -104,7 +100,7 @@ def read_back(turns: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         encoder = byte_bpe.encoder(path, pattern)
-        mark = first_reserved(encoder.table)
+        mark = encoder.first_unused
         token = encoder.table | {mark + i: m.encode() for i, m in enumerate(MARKS)}
         text_of = lambda ids: b"".join(map(token.__getitem__, ids.tolist())).decode()
         open_, done = None, []
