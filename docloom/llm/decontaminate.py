@@ -2,9 +2,10 @@
 
 A document is contaminated by an item when a window of WINDOW consecutive words
 of the document equals one of the item except for at most TOLERANCE words (A-Z
-lower-cased).  An item shorter than the window is matched whole, without
-substitution, by a mask of its own length; an item of fewer than LEAST_WORDS words
-says nothing about where its words come from and matches nothing.  Windows are found by hashing the words at the positions that fixed
+lower-cased).  A shorter item is matched whole, with a tolerance in proportion to its
+length (``tolerance_of``: none under 7 words, one from 7); an item of fewer than
+``least_words`` words (default LEAST_WORDS) says nothing about where its words come
+from and matches nothing.  Windows are found by hashing the words at the positions that fixed
 masks select: MASKS are lossless, that is any TOLERANCE substituted words in a
 window leave one mask, at one of its offsets in the window, untouched.  Hashes of
 the items and of the documents are joined, and every hit is verified on the words
@@ -18,7 +19,8 @@ are never shuffled.
 
 Defined cases: null and empty texts and items have no words and match nothing;
 items with the same words are one item, named by the smallest id; repeated rows
-match one by one, alike.  Words are compared by 64-bit hashes.
+match one by one, alike; other columns of the tables are not looked at.  Words are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -71,18 +73,31 @@ def seed_hashes(hashes: np.ndarray, word_off: np.ndarray, mask: str) -> tuple[np
     return first, kernel.mix(h if len(first) == n else h[first])
 
 
-def index_items(ids: list[int], texts: list[str]) -> Items:
+def tolerance_of(n_words: int | np.ndarray) -> int | np.ndarray:
+    """Substituted words that an item of n words, or its window, may have."""
+    return TOLERANCE * np.minimum(n_words, WINDOW) // WINDOW
+
+
+def short_mask(n_words: int) -> str:
+    """A mask without gaps that some offset in n words leaves untouched: one substitution leaves the first or the last half whole."""
+    return "1" * (n_words // (tolerance_of(n_words) + 1))
+
+
+def index_items(ids: list[int], texts: list[str], least_words: int = LEAST_WORDS) -> Items:
     words_of = [w for _, _, w in kernel.word_slices(pa.array(texts, pa.string()), lower=True)]
     hashes = np.concatenate([w.hashes() for w in words_of])
     counts = np.concatenate([w.counts() for w in words_of])
     word_off = np.concatenate([[0], np.cumsum(counts)])
-    short = [n for n in np.unique(counts).tolist() if LEAST_WORDS <= n < WINDOW]
-    masks = (*MASKS, *("1" * n for n in short))
+    short: dict[str, list[int]] = {}
+    for n in np.unique(counts).tolist():
+        if max(1, least_words) <= n < WINDOW:
+            short.setdefault(short_mask(n), []).append(n)
+    masks = (*MASKS, *short)
     parts = []
     for mask in masks:
         at, h = seed_hashes(hashes, word_off, mask)
         n = counts[np.searchsorted(word_off, at, side="right") - 1]
-        own = n >= WINDOW if mask in MASKS else n == len(mask)
+        own = n >= WINDOW if mask in MASKS else np.isin(n, short[mask])
         parts.append((at[own], h[own]))
     at, seeds = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     order = np.argsort(seeds, kind="stable")
@@ -91,7 +106,7 @@ def index_items(ids: list[int], texts: list[str]) -> Items:
     return Items(np.array(ids, np.int64), word_off, hashes, seeds[order], at[order], present, masks)
 
 
-def _item_blocks(items: DataFrame, most_words: int) -> Iterator[Items]:
+def _item_blocks(items: DataFrame, most_words: int, least_words: int) -> Iterator[Items]:
     """Items of different words, in blocks; the driver holds one block at a time."""
     rows = (
         items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -103,13 +118,13 @@ def _item_blocks(items: DataFrame, most_words: int) -> Iterator[Items]:
     for r in rows.toLocalIterator():
         size = len(r["text"].split())
         if ids and n + size > most_words:
-            yield index_items(ids, texts)
+            yield index_items(ids, texts, least_words)
             ids, texts, n = [], [], 0
         ids.append(-1 if r["item_id"] is None else r["item_id"])
         texts.append(r["text"])
         n += size
     if ids:
-        yield index_items(ids, texts)
+        yield index_items(ids, texts, least_words)
 
 
 @dataclass(frozen=True)
@@ -122,7 +137,7 @@ class Matches:
     at: np.ndarray
 
 
-def find(words: kernel.Words, items: Items, window: int = WINDOW, tolerance: int = TOLERANCE) -> Matches:
+def find(words: kernel.Words, items: Items, window: int = WINDOW) -> Matches:
     hashes = words.hashes()
     hit_word, hit_seed = [], []
     for mask in items.masks:
@@ -155,7 +170,7 @@ def find(words: kernel.Words, items: Items, window: int = WINDOW, tolerance: int
     total = np.concatenate([[0], np.cumsum(equal)])
     n_item = np.diff(items.word_off)[item]
     span = np.minimum(window, n_item)
-    allowed = np.where(n_item >= window, tolerance, 0)
+    allowed = tolerance_of(n_item)
     last = np.repeat(np.cumsum(size), size)
     place = np.arange(len(owner))
     fits = place + span[owner] <= last
@@ -178,12 +193,12 @@ def find(words: kernel.Words, items: Items, window: int = WINDOW, tolerance: int
     return Matches(row[order], item[order], matched[order], first[order] - words.word_off[row[order]])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, item_id, matched_words, item_words, first_word: one row for each contaminated pair."""
     made = StructType([StructField(c, LongType()) for c in ("doc_id", "item_id", "matched_words", "item_words", "first_word")])
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], made)
-    for items in _item_blocks(benchmark, block_words):
+    for items in _item_blocks(benchmark, block_words, least_words):
 
         def run(batches, items=items):
             for batch in batches:
@@ -199,10 +214,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WOR
     return found
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def flagged(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with ``contaminated``."""
     out = docs.withColumn("contaminated", F.lit(False))
-    for items in _item_blocks(benchmark, block_words):
+    for items in _item_blocks(benchmark, block_words, least_words):
 
         def fn(texts: pa.Array, items=items) -> list[pa.Array]:
             marks = np.zeros(len(texts), bool)

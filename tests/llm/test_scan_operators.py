@@ -138,7 +138,7 @@ def test_quality_edge_cases(spark):
 
 def overlap(doc, item):
     window = min(13, len(item))
-    allowed = 2 if len(item) >= 13 else 0
+    allowed = 2 * window // 13
     best = None
     if len(item) < decontaminate.LEAST_WORDS:
         return None
@@ -187,6 +187,25 @@ def test_masks_are_lossless_and_blocks_agree(spark):
         assert {x.doc_id for x in flags.where("contaminated").collect()} == {d for d, _ in expected}
 
 
+def test_short_items_are_found_with_a_substitution(spark):
+    r = random.Random(2)
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in range(3, 13)]
+    docs = []
+    for n, w in items:
+        for wrong in (0, 1, 2):
+            for _ in range(6):
+                part = list(w)
+                for k in r.sample(range(n), wrong):
+                    part[k] = "z"
+                docs.append((len(docs), [f"p{k}" for k in range(r.randrange(5))] + part + ["q"] * r.randrange(3)))
+    expected = {(d, n) for d, w in docs for n, item in items if overlap(w, item)}
+    assert {n for _, n in expected} == set(range(5, 13))
+    as_rows = lambda rows, names: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], names)
+    docs_, items_ = as_rows(docs, "doc_id long, text string"), as_rows(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs_.withColumn("item_id", F.lit("clash")), items_).collect()} == expected
+    assert {x.item_id for x in decontaminate.overlaps(docs_, items_, least_words=3).collect()} == set(range(3, 13))
+
+
 def test_decontamination_edge_cases(spark):
     bench = empty(spark, "item_id long, text string")
     assert decontaminate.overlaps(awkward(spark), bench).count() == 0
