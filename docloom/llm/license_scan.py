@@ -17,7 +17,9 @@ the scan goes on behind it, so repeated notices are found one by one.
 No shuffle: each text is scanned whole, where it is read.
 
 Defined cases: null and empty texts hold nothing; repeated rows give repeated
-findings.
+findings; a text of any length is scanned whole, as one slice if it is longer than
+one; of overlapping notices of one template the first counts, and notices of several
+templates are several findings; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -286,7 +286,7 @@ MINIMA = 256
 #: Agreement of sketches from which a pair is compared by its shingles; 6 standard errors below SIMILAR.
 LOOSE = 0.65
 #: Members of a group, and shingles of them, that one task compares; see _links for more.
-BLOCK = 4096
+BLOCK = 1024
 BLOCK_SHINGLES = 1 << 22
 _ROWS = 512  # members that are compared with their smallest at a time
 
