@@ -491,16 +491,19 @@ def _grouped(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     banded = lambda first, size: texts.select(F.explode(F.slice("bands", first, size)).alias("anchor"), "copy", F.lit(0).alias("n"))
     links = cut(_links(banded(1, FIRST_BANDS), sketches, _sketches_near))
     # a band whose texts are one component already has nothing to add
-    joined = components(links).select(F.col("node").alias("copy"), "root")
+    joined = cut(components(links)).select(F.col("node").alias("copy"), "root")
+    release(docs.sparkSession)
     others = banded(FIRST_BANDS + 1, BANDS - FIRST_BANDS)
-    named = others.join(cut(joined), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    named = others.join(joined, "copy", "left").withColumn("root", F.coalesce("root", "copy"))
     mixed = named.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("anchor")
     more = cut(_links(others.join(mixed, "anchor", "left_semi"), sketches, _sketches_near))
     loose = cut(components(links.unionByName(more)))
+    release(docs.sparkSession)
     clusters = loose.select(F.col("root").alias("anchor"), F.col("node").alias("copy")).unionByName(loose.select(F.col("root").alias("anchor"), F.col("root").alias("copy"))).distinct()
     clusters = cut(clusters.join(texts.select("copy", "n"), "copy").select("anchor", "copy", "n"))
     discard(texts)
-    shown = rows.join(clusters.select("copy"), "copy", "left_semi").groupBy("copy").agg(F.min(F.struct("key", "doc_id")).alias("at")).select("copy", F.col("at.key").alias("__key"), F.col("at.doc_id").alias("__id"))
+    # copies are counted before any join, so that a large group of them is one row for each task
+    shown = cut(rows.groupBy("copy").agg(F.min(F.struct("key", "doc_id")).alias("at"))).join(clusters.select("copy"), "copy", "left_semi").select("copy", F.col("at.key").alias("__key"), F.col("at.doc_id").alias("__id"))
     read = docs.select(*_row_key(docs), F.col("text").cast("string").alias("data"))
     read = read.join(shown, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("copy", "data").dropDuplicates(["copy"])
     read = stored(read)
@@ -535,7 +538,8 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     rows, found = _grouped(docs, similar)
     each = rows.groupBy("doc_id", "key", "copy").agg(F.count("*").alias("rows"))
-    kept = each.join(found, "copy").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")).alias("at"))
+    first = cut(each.groupBy("copy").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")).alias("at")))
+    kept = first.join(found, "copy").groupBy("group").agg(F.min("at").alias("at"))
     kept = cut(kept.select(F.col("at.doc_id").alias("__id"), F.col("at.key").alias("__key"), F.col("at.rows").alias("__rows")))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
     out = docs.join(kept.where("__rows = 1"), same, "left_semi")
