@@ -111,7 +111,7 @@ def search_lists(docs: DataFrame, queries: DataFrame, k: int, allowed: dict[str,
     empty = F.when(F.col("term") == "", whole)
     totals = postings.agg(F.sum(empty).alias("n"), (F.sum(empty * F.col("dl")) / F.sum(empty)).alias("avgdl"))
     df = postings.groupBy("term").agg(F.sum((whole > 0).cast("long")).alias("df"))
-    found = postings if None in allowed.values() else postings.where("lists <> 0")  # documents of no list need no score
+    found = postings if any(c is None for c in allowed.values()) else postings.where("lists <> 0")  # documents of no list need no score
     scored = found.join(df, "term").join(wanted, "term").join(F.broadcast(totals)).groupBy("query_id", "doc_id").agg(F.sum(_part()).alias("score"), F.max("lists").alias("lists"))  # totals is one row
     out = {}
     for i, (name, condition) in enumerate(zip(allowed, conditions)):
