@@ -234,59 +234,106 @@ def batch(ids: np.ndarray, shifted: np.ndarray, first: np.ndarray, low: np.ndarr
     return Windows(shifted[np.clip(keys, 0, len(ids) - 1)], there, ids[place], scored, place)
 
 
-def forward(w: dict[str, np.ndarray], t: Tables, x: Windows, scores: bool = True) -> tuple[np.ndarray | None, tuple]:
-    """log p of every target (if ``scores``), and what the backward pass needs."""
-    e = t.embedding[x.read]
-    own = e[:, CONTEXT:]
-    q, k, v = own @ w["query"], e @ w["key"], e @ w["value"]  # [n, places, WIDTH]
+def _flat(m: np.ndarray) -> np.ndarray:
+    return m.reshape(-1, m.shape[-1])
+
+
+def _sums(m: np.ndarray) -> np.ndarray:
+    """Sums over the last axis; faster than ``sum`` on rows this short."""
+    return np.einsum("...j->...", m)
+
+
+_SCALE = np.float32(1 / np.sqrt(WIDTH))
+
+
+def _weighed(w: dict[str, np.ndarray], q: np.ndarray, k: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """exp of the attention scores of ``q`` (scaled) for ``k``: 0 for ids to come and for those that do not exist."""
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(1 / np.sqrt(WIDTH))
     a += np.where(_CAUSAL, w["near"][np.maximum(_DISTANCE, 0)], np.float32(-1e4))
-    cut = np.flatnonzero(~x.there.all(axis=1))
-    a[cut] += np.where(x.there[cut], np.float32(0), np.float32(-1e4))[:, None]
+    cut = np.flatnonzero(~there.all(axis=1))
+    a[cut] += np.where(there[cut], np.float32(0), np.float32(-1e4))[:, None]
     np.minimum(a, np.float32(60), out=a)  # a scored id always sees the id before it, so no row is empty
-    np.exp(a, out=a)
-    total = a.sum(axis=2, keepdims=True)
+    return np.exp(a, out=a)
+
+
+def forward(w: dict[str, np.ndarray], t: Tables, x: Windows, scores: bool = True) -> tuple[np.ndarray | None, tuple]:
+    """log p of every target (if ``scores``), and what the backward pass needs."""
+    e = t.embedding.take(x.read, axis=0)
+    own = np.ascontiguousarray(e[:, CONTEXT:])
+    q, k, v = ((_flat(m) @ w[name]).reshape(m.shape) for m, name in ((own, "query"), (e, "key"), (e, "value")))  # [n, places, WIDTH]
+    q *= _SCALE
+    a = _weighed(w, q, k, x.there)
+    total = _sums(a)[..., None]
     seen = a @ v
     seen /= total
-    h = own + seen @ w["mixed"]
-    s = h.reshape(-1, WIDTH) @ w["out"]
+    h = (_flat(seen) @ w["mixed"]).reshape(own.shape)
+    h += own
+    s = _flat(h) @ w["out"]
     s += w["bias"]
     np.clip(s, -8, 8, out=s)
-    s = s.reshape(*h.shape[:2], -1)
-    last = x.read[:, CONTEXT:]
-    tilted = np.exp(s)
-    tilted *= t.class_next[last]
-    z = tilted.sum(axis=2)
-    c = t.of_class[x.target]
-    if not scores:
-        return None, (e, own, q, k, v, a, total, seen, h, tilted, z, c)
-    log_p = t.log_next[last, x.target] + np.take_along_axis(s, c[..., None], 2)[..., 0] - np.log(z)
+    last = x.read[:, CONTEXT:].ravel()
+    c = t.of_class[x.target].ravel()
+    own_s = s[np.arange(len(c)), c] if scores else None
+    tilted = np.exp(s, out=s)
+    tilted *= t.class_next.take(last, axis=0)
+    z = _sums(tilted)
+    log_p = (t.log_next[last, x.target.ravel()] + own_s - np.log(z)).reshape(x.target.shape) if scores else None
     return log_p, (e, own, q, k, v, a, total, seen, h, tilted, z, c)
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """``forward`` for fixed weights: what an id gives as query, key and value is made once, and windows only look it up.
+
+    A product of many rows rounds a row by its place among them.  So the products here
+    are made window by window, and a window's score is the same in every batch.
+    """
+
+    w: dict[str, np.ndarray]
+    t: Tables
+    query: np.ndarray
+    key: np.ndarray
+    value: np.ndarray  # as mixed into the id's own embedding
+
+    @classmethod
+    def of(cls, w: dict[str, np.ndarray], t: Tables) -> Scorer:
+        return cls(w, t, t.embedding @ w["query"] * _SCALE, t.embedding @ w["key"], t.embedding @ w["value"] @ w["mixed"])
+
+    def log_p(self, x: Windows) -> np.ndarray:
+        """log p of every target."""
+        t, last = self.t, x.read[:, CONTEXT:]
+        a = _weighed(self.w, self.query.take(last, axis=0), self.key.take(x.read, axis=0), x.there)
+        h = a @ self.value.take(x.read, axis=0)
+        h /= _sums(a)[..., None]
+        h += t.embedding.take(last, axis=0)
+        s = h @ self.w["out"]
+        s += self.w["bias"]
+        np.clip(s, -8, 8, out=s)
+        own = np.take_along_axis(s, t.of_class[x.target][..., None], 2)[..., 0]
+        np.exp(s, out=s)
+        z = np.einsum("ijk,ijk->ij", s, t.class_next.take(last, axis=0))
+        return t.log_next[last, x.target] + own - np.log(z)
+
+
 def slopes(w: dict[str, np.ndarray], x: Windows, kept: tuple) -> dict[str, np.ndarray]:
     """Gradient of the mean log p of the scored targets; ``kept`` is used up."""
-    e, own, q, k, v, a, total, seen, h, tilted, z, c = kept
+    e, own, q, k, v, a, total, seen, h, d, z, c = kept
     a /= total
-    each = x.scored / np.float32(max(int(x.scored.sum()), 1))
-    d = tilted
-    d *= (-each / z)[..., None]
-    np.put_along_axis(d, c[..., None], np.take_along_axis(d, c[..., None], 2) + each[..., None], 2)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"out": flat(h).T @ flat(d), "bias": flat(d).sum(axis=0)}
-    dh = (flat(d) @ w["out"].T).reshape(h.shape)
-    g["mixed"] = flat(seen).T @ flat(dh)
-    dseen = dh @ w["mixed"].T
+    each = (x.scored / np.float32(max(int(x.scored.sum()), 1))).ravel()
+    d *= (-each / z)[:, None]
+    d[np.arange(len(c)), c] += each
+    g = {"out": _flat(h).T @ d, "bias": np.ones(len(d), d.dtype) @ d}
+    dh = d @ w["out"].T
+    g["mixed"] = _flat(seen).T @ dh
+    dseen = (dh @ w["mixed"].T).reshape(h.shape)
     da = dseen @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dseen
-    g["value"] = flat(e).T @ flat(dv)
+    g["value"] = _flat(e).T @ _flat(dv)
     da -= np.einsum("nij,nij->ni", a, da)[..., None]
     da *= a
     g["near"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=da.sum(axis=0).ravel(), minlength=_SPAN)
-    da *= np.float32(1 / np.sqrt(WIDTH))
-    g["query"] = flat(own).T @ flat(da @ k)
-    g["key"] = flat(e).T @ flat(da.transpose(0, 2, 1) @ q)
+    g["query"] = (_flat(own).T @ _flat(da @ k)) * _SCALE
+    g["key"] = _flat(e).T @ _flat(da.transpose(0, 2, 1) @ q)  # q is scaled already
     return g
 
 
@@ -688,6 +735,7 @@ def model_scores(tokens: DataFrame, w: dict[str, np.ndarray], top: Frequent, pat
     def run(batches):
         own = subwords(path, ranks)
         t, memory = shared.value
+        scorer = Scorer.of(w, t)
         for b in batches:
             scores = []
             counts, _ = _values(b.column(8))
@@ -701,7 +749,7 @@ def model_scores(tokens: DataFrame, w: dict[str, np.ndarray], top: Frequent, pat
                 for i in range(0, len(first), 256):
                     s = slice(i, i + 256)
                     x = batch(ids, shifted, first[s], low[s], high[s])
-                    log_p[x.place[x.scored]] = forward(w, t, x)[0][x.scored]
+                    log_p[x.place[x.scored]] = scorer.log_p(x)[x.scored]
                 unit_at = np.flatnonzero(own.begins[ids])
                 unit_from = np.searchsorted(unit_at, row_from)
                 at = found_at[rows : rows + len(row_from) + 1]

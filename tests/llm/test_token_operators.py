@@ -190,6 +190,30 @@ def test_model_is_a_distribution_and_causal():
     assert np.allclose(a[before], b[before])
 
 
+def test_a_window_scores_alike_in_every_batch():
+    rng = np.random.default_rng(4)
+    t, *_ = tiny()
+    ids = rng.integers(0, 80, 20_000)
+    ends = np.sort(rng.choice(np.arange(1, 20_000), 60, replace=False))
+    rows = np.r_[0, ends], np.r_[ends, 20_000]
+    places = attention_lm.window_places(*rows)
+    shifted = attention_lm._shifted(ids, rows[0], 79)
+    w = attention_lm.unpack(attention_lm.pack(attention_lm.start_weights()) + 0.2 * rng.standard_normal(len(attention_lm.pack(attention_lm.start_weights()))))
+    scorer = attention_lm.Scorer.of(w, t)
+
+    def scores(size):
+        out = np.zeros(len(ids))
+        for i in range(0, len(places[0]), size):
+            x = attention_lm.batch(ids, shifted, *(p[i : i + size] for p in places))
+            out[x.place[x.scored]] = scorer.log_p(x)[x.scored]
+        return out
+
+    whole = scores(10**6)
+    assert all((scores(size) == whole).all() for size in (1, 37, 256))
+    x = attention_lm.batch(ids, shifted, *places)
+    assert np.allclose(attention_lm.forward(w, t, x)[0], scorer.log_p(x), atol=1e-4)
+
+
 def test_a_scored_id_reads_seventeen_ids_back():
     t, ids, rows, shifted = tiny()
     w = attention_lm.start_weights()
