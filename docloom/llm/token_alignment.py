@@ -12,10 +12,11 @@ before which, nothing can merge with it: A's pattern begins a match there, and n
 piece of B has a space after another character (checked when the model is read).  So
 tokens, boundaries and groups of a text are those of its stretches in order, most of
 them single words, and each different stretch is encoded and aligned once for a
-task's memo.  A text is never held as tokens, and one longer than a slice of ``PART``
+worker's memo.  A text is never held as tokens, and one longer than a slice of ``PART``
 bytes is worked through part by part.
 
-Counts of linked pairs are summed in tasks, then by Spark.  Of all (text, pair) rows
+The texts are encoded once, into a table of each text's figures and pairs.  Counts of
+pairs are summed in tasks, then by Spark.  Of all (text, pair) rows
 less than 1 in ``HOT`` can have a count of a HOT-th of them: these frequent pairs, at
 most HOT, are given to the tasks that score; the others are rare, so no key of theirs
 is hot, and are joined.  Documents with equal tokens ask for them once.
@@ -44,9 +45,11 @@ PART = 1 << 20
 HOT = 1 << 20
 #: Stretches in a task's memo, and the longest that is kept there, in bytes.
 MEMO, LONGEST = 200_000, 256
-#: Pairs that a task sums before it writes them out.
+#: Different pairs that a task sums before it writes them out.
 SUMMED = 1 << 20
-_SHIFT = 1 << 32
+_SHIFT = 1 << 21  # more than B has ids
+#: Words that are encoded as one text, and the largest group whose links are met one by one.
+JOINED, SMALL = 100, 4096
 
 # Which bytes a cut before a space may follow and precede; see _cuts.
 _GRAPH = np.zeros(256, bool)
@@ -78,7 +81,7 @@ def _byte_of() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers and the bytes of their ids."""
+    """Both tokenizers, the bytes of their ids and their lengths, and ids as text before a comma, bar, semicolon or line break."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -89,11 +92,18 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = _byte_of()
-        self.bytes_a = {i: bytes(byte_of[c] for c in entry) for entry, i in self.a.get_vocab(with_added_tokens=False).items()}
+        entries = self.a.get_vocab(with_added_tokens=False)
+        self.bytes_a = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            self.bytes_a[i] = bytes(byte_of[c] for c in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of B has a space after another character, so texts can't be aligned by stretches")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if max(len(self.bytes_a), len(pieces)) >= _SHIFT:
+            raise ValueError("a vocabulary is larger than a pair can tell")
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.said = [b"%d%c" % (i, c) for i in range(max(len(self.bytes_a), len(pieces))) for c in b",|;\n"]
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         return [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
@@ -144,47 +154,71 @@ class Stretches:
         return found
 
     def _align(self, words: list[str]) -> None:
+        """Words that end in no white space are encoded as texts of JOINED words, for the space before each is a cut; if such a text is not spelled, word by word."""
         t = self.tokenizers
-        figures, texts, pairs, weights = np.zeros((len(words), 5), np.int64), [], [], []
-        for i, (word, a, b) in enumerate(zip(words, *t.encode(words))):
-            parts_a, parts_b = [t.bytes_a[x] for x in a], [t.bytes_b[x] for x in b]
-            spelled = b" " + word.encode()
-            if not word or b"".join(parts_a) != spelled or b"".join(parts_b) != spelled:
-                texts.append(b"")
-                pairs.append(np.zeros(0, np.int64))
-                weights.append(np.zeros(0, np.int64))
-                continue
-            if len(a) == 1 or len(b) == 1:  # one group, in which all meet
-                begin_a = begin_b = np.zeros(1, np.int64)
-            else:
-                first, last = overlaps(*(np.cumsum([len(x) for x in parts]) for parts in (parts_a, parts_b)))
-                begin_a = boundaries(first, last)
-                begin_b = first[begin_a]
-            end_a, end_b = np.append(begin_a[1:], len(a)), np.append(begin_b[1:], len(b))
-            linked, times = _links(np.array(a, np.int64), np.array(b, np.int64), begin_a, end_a, begin_b, end_b)
-            figures[i] = len(a), len(b), len(begin_a), int(((end_a - begin_a) * (end_b - begin_b)).sum()), 1
-            texts.append(";".join(f"{','.join(map(str, a[p:q]))}|{','.join(map(str, b[r:s]))}" for p, q, r, s in zip(begin_a, end_a, begin_b, end_b)).encode())
-            pairs.append(linked)
-            weights.append(times)
-        self.number |= {w: len(self.text) + i for i, w in enumerate(words)}
-        self.text += texts
+        sure = [all(c.isalpha() or "!" <= c <= "~" for c in (w[0], w[-1])) for w in words]
+        plain = [w for w, x in zip(words, sure) if x]
+        units = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)] + [[w] for w, x in zip(words, sure) if not x]
+        good, bad, a, b = [], [], [], []
+        while units:
+            again = []
+            for unit, in_a, in_b in zip(units, *t.encode([" ".join(u) for u in units])):
+                spelled = " ".join(["", *unit]).encode()
+                if b"".join(map(t.bytes_a.__getitem__, in_a)) == spelled == b"".join(map(t.bytes_b.__getitem__, in_b)):
+                    good += unit
+                    a += in_a
+                    b += in_b
+                elif len(unit) > 1:
+                    again += [[w] for w in unit]
+                else:
+                    bad += unit
+            units = again
+        self.number |= {w: len(self.text) + i for i, w in enumerate(good + bad)}
+        figures, sizes = np.zeros((len(words), 5), np.int64), np.zeros(len(words), np.int64)
+        if good:
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            ends_a, ends_b = np.cumsum(t.lengths_a[a]), np.cumsum(t.lengths_b[b])
+            first, last = overlaps(ends_a, ends_b)
+            begin_a = boundaries(first, last)
+            begin_b = first[begin_a]
+            n_a, n_b = np.diff(begin_a, append=len(a)), np.diff(begin_b, append=len(b))
+            word = np.searchsorted(np.cumsum([len(w.encode()) + 1 for w in good]), ends_a[begin_a])  # of each group
+            for i, figure in enumerate((n_a, n_b, np.ones(len(word), np.int64), n_a * n_b)):
+                np.add.at(figures[:, i], word, figure)
+            figures[: len(good), 4] = 1
+            self.text += self._said(a, b, begin_a, begin_b, n_a, n_b, word)
+            of, pairs, weights = _links(a, b, begin_a, begin_b, n_a, n_b, word)
+            sizes = np.bincount(of, minlength=len(words))
+            self.pairs, self.weights = np.concatenate([self.pairs, pairs]), np.concatenate([self.weights, weights])
+        self.text += [b""] * len(bad)
         self.figures = np.concatenate([self.figures, figures])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(p) for p in pairs])])
-        self.pairs, self.weights = np.concatenate([self.pairs, *pairs]), np.concatenate([self.weights, *weights])
-
-
-def _links(a, b, begin_a, end_a, begin_b, end_b) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs A * 2**32 + B, links of each) over all groups; ids that repeat in a group are multiplied, not met one by one."""
-    keys, times = [], []
-    for p, q, r, s in zip(begin_a, end_a, begin_b, end_b):
-        if q - p == 1 and s - r == 1:
-            keys.append(a[p:q] * _SHIFT + b[r])
-            times.append(np.ones(1, np.int64))
-            continue
-        (x, nx), (y, ny) = (np.unique(ids, return_counts=True) for ids in (a[p:q], b[r:s]))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+
+    def _said(self, a, b, begin_a, begin_b, n_a, n_b, word) -> list[bytes]:
+        """The groups of each word as text."""
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[begin_a + n_a - 1] = 1
+        mark_b[begin_b + n_b - 1] = np.where(np.diff(word, append=word[-1] + 1) > 0, 3, 2)
+        said = np.empty(len(a) + len(b), np.int64)
+        said[np.arange(len(a)) + np.repeat(begin_b, n_a)] = a * 4 + mark_a
+        said[np.arange(len(b)) + np.repeat(begin_a + n_a, n_b)] = b * 4 + mark_b
+        return b"".join(map(self.tokenizers.said.__getitem__, said.tolist())).split(b"\n")[:-1]
+
+
+def _links(a, b, begin_a, begin_b, n_a, n_b, word) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, pair, links): all links of each group; in large groups ids that repeat are multiplied, not met one by one."""
+    times = n_a * n_b
+    small = np.flatnonzero(times <= SMALL)
+    group = np.repeat(small, times[small])
+    at = _ranges(np.zeros(len(small), np.int64), times[small])
+    keys = [a[begin_a[group] + at // n_b[group]] * _SHIFT + b[begin_b[group] + at % n_b[group]]]
+    of, links = [word[group]], [np.ones(len(group), np.int64)]
+    for g in np.flatnonzero(times > SMALL):
+        (x, nx), (y, ny) = (np.unique(ids[p : p + n], return_counts=True) for ids, p, n in ((a, begin_a[g], n_a[g]), (b, begin_b[g], n_b[g])))
         keys.append((x[:, None] * _SHIFT + y).ravel())
-        times.append((nx[:, None] * ny).ravel())
-    return _summed(np.concatenate(keys), np.concatenate(times)) if len(keys) > 1 else (keys[0], times[0])
+        links.append((nx[:, None] * ny).ravel())
+        of.append(np.full(len(keys[-1]), word[g]))
+    return _grouped(*map(np.concatenate, (of, keys, links)))
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +233,10 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _grouped(of: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for keys of rows: (row, key, sum), ordered by row and key."""
-    order = np.lexsort((keys, of))
+    if of.max(initial=0) < _SHIFT and keys.max(initial=0) < _SHIFT * _SHIFT:
+        order = np.argsort(of * (_SHIFT * _SHIFT) + keys, kind="stable")
+    else:
+        order = np.lexsort((keys, of))
     of, keys, values = of[order], keys[order], values[order]
     new = np.ones(len(keys), bool)
     new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
@@ -214,27 +251,27 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 class _Slice:
-    """A slice of rows, aligned: figures by row, links as (row, pair, weight), and the groups' texts if wanted."""
+    """A slice of rows, aligned: figures and digests by row, links as (row, pair, weight)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, memo: Stretches, texts: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, memo: Stretches):
         n = len(offsets) - 1
         self.figures = np.zeros((n, 4), np.int64)
         self.valid = np.diff(offsets) > 0
-        digests = [hashlib.sha256() if texts else None for _ in range(n)]
+        digests = [hashlib.sha256() for _ in range(n)]
         begun = np.zeros(n, bool)
         links = []
         for a, b in self._parts(data, offsets):
             rows = np.searchsorted(offsets, [a, b - 1], side="right") - 1
             row, numbers = self._numbers(data[a:b], offsets[rows[0] : rows[1] + 1] - a, rows[0], memo)
             figures = memo.figures[numbers]
-            np.logical_and.at(self.valid, row, figures[:, 4] > 0)
-            np.add.at(self.figures, row, figures[:, :4])
-            if texts:
-                cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))
-                for i, j in zip(cut[:-1], cut[1:]):
-                    r = row[i]
-                    digests[r].update((b";" if begun[r] else b"") + b";".join([memo.text[x] for x in numbers[i:j].tolist()]))
-                    begun[r] = True
+            cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            here = row[cut]
+            self.valid[here] &= np.logical_and.reduceat(figures[:, 4] > 0, cut)
+            self.figures[here] += np.add.reduceat(figures[:, :4], cut)
+            said = [memo.text[x] for x in numbers.tolist()]
+            for r, i, j in zip(here.tolist(), cut.tolist(), [*cut[1:].tolist(), len(row)]):
+                digests[r].update((b";" if begun[r] else b"") + b";".join(said[i:j]))
+                begun[r] = True
             own, number, times = _grouped(row, numbers, np.ones(len(row), np.int64))
             lo, hi = memo.at[number], memo.at[number + 1]
             at = _ranges(lo, hi)
@@ -246,7 +283,7 @@ class _Slice:
         good = self.valid[self.row]
         self.row, self.pair, self.weight = self.row[good], self.pair[good], self.weight[good]
         self.figures[~self.valid] = 0
-        self.digests = [d.hexdigest() if texts and ok else "" for d, ok in zip(digests, self.valid)]
+        self.digests = [d.hexdigest() if ok else "" for d, ok in zip(digests, self.valid)]
 
     @staticmethod
     def _parts(data: np.ndarray, offsets: np.ndarray):
@@ -293,12 +330,6 @@ class _Slice:
         return row, memo.of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
 
 
-def _slices(column: pa.Array, memo: Stretches, texts: bool):
-    data, offsets = text_buffer(column)
-    for a, b in row_slices(offsets, PART):
-        yield a, b, _Slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], memo, texts)
-
-
 _memos: dict[tuple[str, str], Stretches] = {}
 
 
@@ -308,62 +339,72 @@ def _memo(path_a: str, path_b: str) -> Stretches:
     return _memos[path_a, path_b]
 
 
-PAIRS = StructType([StructField("pair", LongType()), StructField("n", LongType())])
+FIGURES = ("n_a", "n_b", "n_groups", "n_links")
+_ALIGNED = [StructField("doc_id", LongType()), *(StructField(n, LongType()) for n in FIGURES), StructField("groups_sha256", StringType())]
+_LINKS = [StructField("pairs", ArrayType(LongType())), StructField("links", ArrayType(LongType()))]
+ALIGNED = StructType(_ALIGNED + _LINKS)
+COUNTS = StructType([StructField("pair", LongType()), StructField("n", LongType())])
+SCORED = StructType([*_ALIGNED, StructField("n_best", LongType()), StructField("count_sum", LongType()), *_LINKS])
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """pair (A * 2**32 + B), n: the documents (doc_id, text) that hold the pair linked."""
+def _lists(row: np.ndarray, n: int, *columns: np.ndarray) -> list[pa.Array]:
+    """The values of each of n rows as a list."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns]
 
-    def run(batches):
-        memo, held, size = _memo(path_a, path_b), [], 0
 
-        def cut():
-            keys, n = _summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            return keys, n
+def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """doc_id, figures, groups_sha256, and the different linked pairs (A * 2**21 + B) with their links; docs: doc_id, text."""
 
+    def run(batches):
+        memo = _memo(path_a, path_b)
         for batch in batches:
-            for _, _, part in _slices(batch.column(0), memo, False):
-                held.append(_summed(part.pair, np.ones(len(part.pair), np.int64)))
-                size += len(held[-1][0])
-                if size > 2 * SUMMED:
-                    held[:] = [cut()]
-                    size = len(held[0][0])
-                    if size > SUMMED:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=PAIRS.fieldNames())
-                        held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cut()], names=PAIRS.fieldNames())
+            data, offsets = text_buffer(batch.column(1))
+            for a, b in row_slices(offsets, PART):
+                part = _Slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], memo)
+                figures = [pa.array(np.ascontiguousarray(c)) for c in part.figures.T]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *figures, pa.array(part.digests, pa.string()), *_lists(part.row, b - a, part.pair, part.weight)], names=ALIGNED.fieldNames())
 
-    return map_batches(docs.select("text"), run, PAIRS).groupBy("pair").agg(F.sum("n").alias("n"))
+    return map_batches(docs.select("doc_id", "text"), run, ALIGNED)
 
 
-_LONGS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-SCORED = StructType(
-    [StructField("doc_id", LongType()), *(StructField(n, LongType()) for n in _LONGS), StructField("groups_sha256", StringType())]
-    + [StructField("rare", ArrayType(LongType())), StructField("weights", ArrayType(LongType()))]
-)
+def pair_counts(found: DataFrame) -> DataFrame:
+    """pair, n: the rows of ``aligned`` that hold the pair."""
+
+    def run(batches):
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            own = batch.column(0).flatten().to_numpy()
+            for a in range(0, len(own), SUMMED):
+                more = _summed(own[a : a + SUMMED], np.ones(len(own[a : a + SUMMED]), np.int64))
+                keys, n = _summed(np.concatenate([keys, more[0]]), np.concatenate([n, more[1]]))
+                if len(keys) > SUMMED:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=COUNTS.fieldNames())
+                    keys, n = keys[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=COUNTS.fieldNames())
+
+    return map_batches(found.select("pairs"), run, COUNTS).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def _scored(docs: DataFrame, path_a: str, path_b: str, frequent: tuple[np.ndarray, np.ndarray], best: np.ndarray) -> DataFrame:
-    """Figures of each document; n_best and count_sum over its frequent pairs, the others in ``rare``."""
-    given = docs.sparkSession.sparkContext.broadcast((*frequent, best))  # at most HOT pairs and a number for each id of A
+def _scored(found: DataFrame, frequent: tuple[np.ndarray, np.ndarray], best: np.ndarray) -> DataFrame:
+    """n_best and count_sum of each row of ``aligned`` over its frequent pairs; the others stay in pairs and links."""
+    given = found.sparkSession.sparkContext.broadcast((*frequent, best))  # at most HOT pairs and a number for each id of A
 
     def run(batches):
-        memo, (keys, counts, most) = _memo(path_a, path_b), given.value
+        keys, counts, most = given.value
         for batch in batches:
-            for a, b, part in _slices(batch.column(1), memo, True):
-                at = np.minimum(np.searchsorted(keys, part.pair), max(len(keys) - 1, 0))
-                known = keys[at] == part.pair if len(keys) else np.zeros(len(part.pair), bool)
-                row, pair, weight = part.row[known], part.pair[known], part.weight[known]
-                count = counts[at[known]]
-                sums = np.zeros((2, b - a), np.int64)
-                np.add.at(sums[0], row, np.where(count == most[pair // _SHIFT], weight, 0))
-                np.add.at(sums[1], row, weight * count)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(part.row[~known], minlength=b - a))]).astype(np.int32)
-                rare = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[~known])) for x in (part.pair, part.weight)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(c)) for c in (*part.figures.T, *sums)), pa.array(part.digests, pa.string()), *rare], names=SCORED.fieldNames())
+            n = batch.num_rows
+            pairs, links = (batch.column(i).flatten().to_numpy() for i in (6, 7))
+            row = np.repeat(np.arange(n), batch.column(6).value_lengths().to_numpy())
+            at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
+            known = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
+            count = counts[at[known]]
+            sums = np.zeros((2, n), np.int64)
+            np.add.at(sums[0], row[known], np.where(count == most[pairs[known] // _SHIFT], links[known], 0))
+            np.add.at(sums[1], row[known], links[known] * count)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *(pa.array(s) for s in sums), *_lists(row[~known], n, pairs[~known], links[~known])], names=SCORED.fieldNames())
 
-    return map_batches(docs.select("doc_id", "text"), run, SCORED)
+    return map_batches(found.select(ALIGNED.fieldNames()), run, SCORED)
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, hot: int = HOT) -> DataFrame:
@@ -373,7 +414,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, hot: int = HOT) -> DataFram
     for ``sentencepiece``; both where every executor can read them.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = stored(pair_counts(docs, path_a, path_b))
+    found = stored(aligned(docs, path_a, path_b))
+    counts = stored(pair_counts(found))
     total = counts.agg(F.sum("n")).first()[0] or 0
     frequent = F.col("n") * hot >= F.lit(total)  # at most ``hot`` pairs
     known = counts.where(frequent).sort("pair").toArrow()
@@ -383,12 +425,12 @@ def align(docs: DataFrame, path_a: str, path_b: str, hot: int = HOT) -> DataFram
     ids, most = (table.column(i).to_numpy() for i in range(2))
     best = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
     best[ids] = most
-    scored = stored(_scored(docs, path_a, path_b, tuple(known.column(i).to_numpy() for i in range(2)), best))
-    columns = ["doc_id", *_LONGS, "groups_sha256"]
+    scored = stored(_scored(found, tuple(known.column(i).to_numpy() for i in range(2)), best))
+    columns = ["doc_id", *FIGURES, "n_best", "count_sum", "groups_sha256"]
     # a text with rare pairs is rare itself, so neither its digest nor its pairs are hot keys
-    open_ = scored.where(F.size("rare") > 0)
-    asked = open_.dropDuplicates(["groups_sha256"]).select("groups_sha256", F.explode(F.arrays_zip("rare", "weights")).alias("x")).select("groups_sha256", F.col("x.rare").alias("pair"), F.col("x.weights").alias("weight"))
+    open_ = scored.where(F.size("pairs") > 0)
+    asked = open_.dropDuplicates(["groups_sha256"]).select("groups_sha256", F.explode(F.arrays_zip("pairs", "links")).alias("x")).select("groups_sha256", F.col("x.pairs").alias("pair"), F.col("x.links").alias("links"))
     rare = counts.where(~frequent).withColumn("a", first).join(F.broadcast(tops), "a").select("pair", "n", (F.col("n") == F.col("best")).alias("top"))
-    sums = asked.join(rare, "pair").groupBy("groups_sha256").agg(F.sum(F.when(F.col("top"), F.col("weight")).otherwise(0)).alias("more_best"), F.sum(F.col("weight") * F.col("n")).alias("more_sum"))
-    done = open_.drop("rare", "weights").join(sums, "groups_sha256").withColumns({"n_best": F.col("n_best") + F.col("more_best"), "count_sum": F.col("count_sum") + F.col("more_sum")})
-    return scored.where(F.size("rare") == 0).select(columns).unionByName(done.select(columns))
+    sums = asked.join(rare, "pair").groupBy("groups_sha256").agg(F.sum(F.when(F.col("top"), F.col("links")).otherwise(0)).alias("more_best"), F.sum(F.col("links") * F.col("n")).alias("more_sum"))
+    done = open_.select(columns).join(sums, "groups_sha256").withColumns({"n_best": F.col("n_best") + F.col("more_best"), "count_sum": F.col("count_sum") + F.col("more_sum")})
+    return scored.where(F.size("pairs") == 0).select(columns).unionByName(done.select(columns))

@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docloom.llm import token_alignment
+from docloom.llm import kernel, token_alignment
 
 from .helpers import AWKWARD, documents, empty
 
@@ -118,7 +118,9 @@ def test_long_text_goes_by_parts(spark, whole, monkeypatch):
     monkeypatch.setattr(token_alignment, "PART", 5000)
     expected = {k[0]: k for k in brute(rows, whole)}
     column = pa.array([t for _, t in rows])
-    for a, b, part in token_alignment._slices(column, memo, True):
+    data, offsets = kernel.text_buffer(column)
+    for a, b in kernel.row_slices(offsets, 5000):
+        part = token_alignment._Slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], memo)
         for i in range(a, b):
             own = part.row == i - a
             assert (*part.figures[i - a], part.digests[i - a]) == (*expected[rows[i][0]][1:5], expected[rows[i][0]][7])
