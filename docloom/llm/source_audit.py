@@ -219,6 +219,6 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
     all_pairs = one.join(other, "lang").where("source < item")  # the pairs are the result
     pairs = all_pairs.join(sums, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0).cast("long")))
     pairs = pairs.unionByName(pairs.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")).withColumn("part", F.lit("pair"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    ranked = pairs.unionByName(seen.where("part = 'term'")).withColumn("rank", rank)
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top)).select("lang", "source", "part", "item", "value", "rank")
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    terms = seen.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= top)  # Spark keeps each task's best before it sends any
+    return pairs.withColumn("rank", rank).unionByName(terms).select("lang", "source", "part", "item", "value", "rank")
