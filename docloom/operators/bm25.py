@@ -3,11 +3,12 @@
 score(d, q) = sum over the query's terms of idf(t) tf / (tf + k1 (1 - b + b dl / avgdl)),
 idf(t) = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-Only postings of query terms are ever made: texts are reduced to (doc, term, tf)
-where they are read, terms that no query has are dropped before the shuffle, and
-term frequencies are summed on the map side.  Documents without any query term
-score 0 and fill up the top k by smallest id; since at most k of them can be
-needed, the k smallest allowed ids are enough and no query meets all documents.
+Only postings of query terms are exchanged: the terms of up to BROADCAST_TERMS
+(query, term) pairs are given to the tasks that read the texts, which drop all other
+terms and sum term frequencies before anything is sent; with more, the terms of
+all texts are summed by document and met by a shuffled join.  Documents without any
+query term score 0 and fill up the top k by smallest id; since at most k of them can
+be needed, the k smallest allowed ids are enough and no query meets all documents.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 
 K1, B = 1.5, 0.75
+#: (query, term) pairs that are given to every task; more are joined by shuffles.
+BROADCAST_TERMS = 100_000
 DIGITS = 6  # scores are ranked at this precision, then by id, so that ties do not depend on the order of a sum
 
 
@@ -95,24 +98,30 @@ def search_lists(docs: DataFrame, queries: DataFrame, k: int, allowed: dict[str,
     scored documents, since statistics are those of all documents.
     """
     wanted = _wanted(queries)
-    # every document also has one posting of the empty term, so that one pass over the texts gives the totals, too
+    small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    given = F.broadcast if small else (lambda df: df)
+    # every document also has one posting of the empty term, so that one pass over the texts gives the totals, too;
+    # these have no id, so that a task sends one for all its documents
     vocabulary = wanted.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
     conditions = [F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for c in allowed.values()]
     lists = sum((c.cast("long") * (1 << i) for i, c in enumerate(conditions)), F.lit(0).cast("long"))  # a bit for each list that the document is for
     tokens = docs.select("doc_id", lists.alias("lists"), T.index_terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
-    postings = (
-        tokens.select("doc_id", "lists", "dl", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max("lists").alias("lists"))
-    )
+    said = tokens.select("doc_id", "lists", "dl", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).withColumn("doc_id", F.when(F.col("term") != "", F.col("doc_id")))
+    summed = lambda df, tf: df.groupBy("term", "doc_id").agg(tf.alias("tf"), F.max("dl").alias("dl"), F.max("lists").alias("lists"), F.sum("all").alias("all"))
+    said = said.withColumn("all", F.col("dl"))
+    if small:
+        postings = summed(said.join(F.broadcast(vocabulary), "term", "left_semi"), F.count("*"))  # checked by count
+    else:
+        postings = summed(said, F.count("*")).join(vocabulary, "term", "left_semi")
     # One exchange serves all uses, and one scoring all lists: each use reads all columns, and conditions are
     # on aggregates, so that neither pruning nor push-down makes the uses differ.
-    whole = F.col("tf") + F.col("dl") * 0 + F.col("lists") * 0
+    whole = F.col("tf") + F.col("dl") * 0 + F.col("lists") * 0 + F.col("all") * 0
     empty = F.when(F.col("term") == "", whole)
-    totals = postings.agg(F.sum(empty).alias("n"), (F.sum(empty * F.col("dl")) / F.sum(empty)).alias("avgdl"))
+    totals = postings.agg(F.sum(empty).alias("n"), (F.sum(F.when(F.col("term") == "", F.col("all"))) / F.sum(empty)).alias("avgdl"))
     df = postings.groupBy("term").agg(F.sum((whole > 0).cast("long")).alias("df"))
-    found = postings if any(c is None for c in allowed.values()) else postings.where("lists <> 0")  # documents of no list need no score
-    scored = found.join(df, "term").join(wanted, "term").join(F.broadcast(totals)).groupBy("query_id", "doc_id").agg(F.sum(_part()).alias("score"), F.max("lists").alias("lists"))  # totals is one row
+    found = postings.withColumn("tf", whole)
+    found = found if any(c is None for c in allowed.values()) else found.where("lists <> 0")  # documents of no list need no score
+    scored = found.join(given(df), "term").join(given(wanted), "term").join(F.broadcast(totals)).groupBy("query_id", "doc_id").agg(F.sum(_part()).alias("score"), F.max("lists").alias("lists"))  # totals is one row
     out = {}
     for i, (name, condition) in enumerate(zip(allowed, conditions)):
         first = docs.where(condition).select("doc_id").orderBy("doc_id").limit(k)

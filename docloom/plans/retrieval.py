@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import bm25, chat_flow, dense, retrieval
-from docloom.sources.tables import load
+from docloom.operators import block_max, bm25, chat_flow, dense, retrieval
+from docloom.operators.segments import Segments
+from docloom.sources.tables import load, scratch
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -70,6 +71,36 @@ def bm25_keys_topk(spark, sf_dir):
     return found.withColumn("user_store", F.lit(bm25.all_given(wanted)))
 
 
+def bm25_blockmax_topk(spark, sf_dir):
+    """The search of bm25_topk by score bounds, over an index of one segment."""
+    index = Segments(spark, scratch(spark, "segments"))
+    index.add(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return block_max.search(index, _queries(spark, sf_dir), 10)
+
+
+def _changed_index(spark, sf_dir) -> Segments:
+    """Documents come in two segments; every seventh goes; of these every other one comes again; all is compacted and every eleventh goes."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    index = Segments(spark, scratch(spark, "segments"))
+    for part in (F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 != 0):
+        index.add(docs.where(part))
+    index.delete(docs.where("doc_id % 7 = 0"))
+    index.add(docs.where("doc_id % 14 = 0"))
+    index.compact()
+    index.delete(docs.where("doc_id % 11 = 0"))
+    return index
+
+
+def bm25_segments_topk(spark, sf_dir):
+    """Search by score bounds after additions, deletions and a compaction."""
+    return block_max.search(_changed_index(spark, sf_dir), _queries(spark, sf_dir), 10)
+
+
+def bm25_segments_stats(spark, sf_dir):
+    """Term statistics of the same index, as sums over its segments."""
+    return bm25.term_stats(_changed_index(spark, sf_dir).index())
+
+
 def exact_dedup_first_wins(spark, sf_dir):
     return retrieval.first_occurrence(load(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source")
 
@@ -181,7 +212,7 @@ def chat_answer(spark, sf_dir):
     return out.select("query_id", "gate", "decision", "needs_retry", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.length("prompt").cast("long").alias("prompt_chars"))
 
 
-QUERIES = {f.__name__: f for f in (chat_answer, bm25_topk, bm25_filtered_topk, bm25_index_topk, bm25_keys_topk, bm25_term_stats, bm25_doc_len, metadata_posting_sets, exact_dedup_first_wins, dense_topk, dense_filtered_topk, template_top1, route_queries, retrieval_debug, hybrid_union_dedup, hybrid_rerank_top3)}
+QUERIES = {f.__name__: f for f in (chat_answer, bm25_topk, bm25_filtered_topk, bm25_index_topk, bm25_keys_topk, bm25_blockmax_topk, bm25_segments_topk, bm25_segments_stats, bm25_term_stats, bm25_doc_len, metadata_posting_sets, exact_dedup_first_wins, dense_topk, dense_filtered_topk, template_top1, route_queries, retrieval_debug, hybrid_union_dedup, hybrid_rerank_top3)}
 
 _ANSWER_SQL = _RERANK_SQL[: _RERANK_SQL.rindex("select query_id, cast(final_rank")] + f"""select b.item_id as query_id, 'pass' as gate, coalesce(z.decision, 'FALLBACK') as decision, coalesce(z.decision = 'RETRY', false) as needs_retry,
   coalesce(z.chunk_ids, '') as chunk_ids, z.prompt_chars
@@ -194,12 +225,23 @@ from benchmark b join (
     select *, case when max(rerank_score) over (partition by query_id) >= 0.78 then 'PASS' when max(rerank_score) over (partition by query_id) >= 0.5 then 'RETRY' else 'FALLBACK' end as decision
     from r where final_rank <= 3)) group by query_id, decision) z on z.query_id = b.item_id"""
 
+
+def _live_sql(sql: str) -> str:
+    """``sql`` over the documents that _changed_index leaves."""
+    return "with live as (select * from documents where (doc_id % 7 <> 0 or doc_id % 14 = 0) and doc_id % 11 <> 0), " + sql.removeprefix("with ").replace("from documents", "from live").replace("join documents", "join live")
+
+
+_TERM_STATS_SQL = f"with {_TOKENS} select term, count(*) as df, round(ln(1.0 + ((select count(*) from documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from post group by term"
+
 ORACLE_SQL = {
     "bm25_topk": _bm25_sql(10, "true"),
     "bm25_filtered_topk": _bm25_sql(3, "d.source = 'src3' and d.lang = 'en'"),
     "bm25_index_topk": _bm25_sql(10, "true"),
     "bm25_keys_topk": f"select *, false as user_store from ({_bm25_sql(3, "d.source = 'src3' and d.lang = 'en'")})",
-    "bm25_term_stats": f"with {_TOKENS} select term, count(*) as df, round(ln(1.0 + ((select count(*) from documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from post group by term",
+    "bm25_term_stats": _TERM_STATS_SQL,
+    "bm25_blockmax_topk": _bm25_sql(10, "true"),
+    "bm25_segments_topk": _live_sql(_bm25_sql(10, "true")),
+    "bm25_segments_stats": _live_sql(_TERM_STATS_SQL),
     "bm25_doc_len": f"with {_TOKENS} select d.doc_id, cast(coalesce(sum(p.tf), 0) as bigint) as dl from documents d left join post p using (doc_id) group by d.doc_id",
     "metadata_posting_sets": "select source as value, count(*) as n_docs, min(doc_id) as first_doc, max(doc_id) as last_doc from documents where source is not null and source <> '' group by source",
     "exact_dedup_first_wins": "select doc_id, source from (select doc_id, source, row_number() over (partition by coalesce(text, '') order by doc_id) as n from documents) where n = 1",

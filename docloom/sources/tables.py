@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +10,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from docloom.functions import text as T
 from docloom.functions.ship import map_batches
+from docloom.functions.stored import new_folder
 
 
 #: A table between these sizes may be one row group, which one task reads; its rows are dealt to all cores.
@@ -26,12 +24,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism) if SMALL < size < LARGE else df
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see, beside the checkpoints; on one machine without any, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='docloom-')}/{name}-{uuid.uuid4().hex}"
+scratch = new_folder
 
 
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
