@@ -44,9 +44,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l
     """query_id, rank, vec_id, distance for ``queries`` (query_id, embedding) over ``vectors`` (vec_id, embedding).
 
     Filter ``vectors`` before the call: the condition then reaches the scan.
-    Rows without a vector are no neighbours.  Queries are packed into blocks of
-    BLOCK by the executors; a block meets a slice of vectors by an equi-join on
-    the slice's number, so neither side goes through the driver.
+    Rows without a vector are no neighbours; vectors of different lengths are an
+    error.  Queries are packed into blocks of BLOCK by the executors, and each
+    meets each slice of vectors; ``cells`` gives the same result with fewer
+    comparisons.
     """
     out = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("distance", DoubleType())])
     given = lambda df, key: df.where("embedding is not null").select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -63,6 +64,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l
         for batch in batches:
             for i in range(batch.num_rows):
                 own, rows, ids, wanted = (batch.column(c)[i].values.to_numpy() for c in range(4))
+                if len(rows) * len(ids) != len(wanted) * len(own):
+                    raise ValueError("vectors of different lengths can't be compared")
                 d = np.round(distances(rows.reshape(len(own), -1), wanted.reshape(len(ids), -1), metric), DIGITS)
                 best = _best(d, own, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best.ravel()]), pa.array(np.take_along_axis(d, best, 1).ravel())], names=out.fieldNames())
@@ -80,6 +83,8 @@ def _packed(vectors: DataFrame) -> DataFrame:
         for b in batches:
             for a in range(0, b.num_rows, BLOCK):
                 part = b.slice(a, BLOCK)
+                if len(np.unique(part.column(1).value_lengths().to_numpy(zero_copy_only=False))) > 1:
+                    raise ValueError("vectors of different lengths can't be compared")
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (part.column(0), part.column(1).flatten())]
                 yield pa.RecordBatch.from_arrays(lists, names=made.fieldNames())
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import block_max, bm25, chat_flow, dense, retrieval
+from docloom.operators import block_max, bm25, cells, chat_flow, dense, retrieval
 from docloom.operators.segments import Segments
 from docloom.sources.tables import load, scratch
 
@@ -120,6 +120,11 @@ def dense_topk(spark, sf_dir):
     return dense.search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10)
 
 
+def dense_cells_topk(spark, sf_dir):
+    """The search of dense_topk by bounds of cells."""
+    return cells.top(cells.find(cells.build(_vectors(spark, sf_dir)), _vector_queries(spark, sf_dir), 10), 10)
+
+
 def dense_filtered_topk(spark, sf_dir):
     return dense.search(_vectors(spark, sf_dir).where("label = 3"), _vector_queries(spark, sf_dir), 10)
 
@@ -212,7 +217,7 @@ def chat_answer(spark, sf_dir):
     return out.select("query_id", "gate", "decision", "needs_retry", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.length("prompt").cast("long").alias("prompt_chars"))
 
 
-QUERIES = {f.__name__: f for f in (chat_answer, bm25_topk, bm25_filtered_topk, bm25_index_topk, bm25_keys_topk, bm25_blockmax_topk, bm25_segments_topk, bm25_segments_stats, bm25_term_stats, bm25_doc_len, metadata_posting_sets, exact_dedup_first_wins, dense_topk, dense_filtered_topk, template_top1, route_queries, retrieval_debug, hybrid_union_dedup, hybrid_rerank_top3)}
+QUERIES = {f.__name__: f for f in (chat_answer, bm25_topk, bm25_filtered_topk, bm25_index_topk, bm25_keys_topk, bm25_blockmax_topk, bm25_segments_topk, bm25_segments_stats, bm25_term_stats, bm25_doc_len, metadata_posting_sets, exact_dedup_first_wins, dense_topk, dense_cells_topk, dense_filtered_topk, template_top1, route_queries, retrieval_debug, hybrid_union_dedup, hybrid_rerank_top3)}
 
 _ANSWER_SQL = _RERANK_SQL[: _RERANK_SQL.rindex("select query_id, cast(final_rank")] + f"""select b.item_id as query_id, 'pass' as gate, coalesce(z.decision, 'FALLBACK') as decision, coalesce(z.decision = 'RETRY', false) as needs_retry,
   coalesce(z.chunk_ids, '') as chunk_ids, z.prompt_chars
@@ -246,6 +251,7 @@ ORACLE_SQL = {
     "metadata_posting_sets": "select source as value, count(*) as n_docs, min(doc_id) as first_doc, max(doc_id) as last_doc from documents where source is not null and source <> '' group by source",
     "exact_dedup_first_wins": "select doc_id, source from (select doc_id, source, row_number() over (partition by coalesce(text, '') order by doc_id) as n from documents) where n = 1",
     "dense_topk": _l2("true", 10),
+    "dense_cells_topk": _l2("true", 10),
     "dense_filtered_topk": _l2("e.label = 3", 10),
     "template_top1": _l2("e.label = 0", 1),
     "route_queries": _ROUTE_SQL,
