@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
-from docloom.operators import privacy, structure
+from docloom.operators import headings, privacy, structure
 from docloom.sources import tables
 from docloom.sources.tables import load
 
@@ -71,6 +71,14 @@ def hierarchy_fixed(spark, sf_dir):
     return structure.with_hierarchy(_layout(spark, sf_dir), structure.heading_rules(TOC))
 
 
+def hierarchy_by_document(spark, sf_dir):
+    """Each document has a table of contents of its own: the first four words of four letters or more are its book, chapter, section and sub section."""
+    docs = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    word = lambda i: F.get(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"), F.lit(1)), F.lit(i))
+    blocks = docs.select("doc_id", F.lit(0).alias("ord"), word(0).alias("name"), F.array(word(1)).alias("chapters"), F.array(word(2)).alias("sections"), F.array(word(3)).alias("subs"))
+    return headings.with_hierarchy(docs, headings.rules_of(blocks))
+
+
 def template_headers(spark, sf_dir):
     marked = F.regexp_replace("text", "(?m)^(?=The)", "## ")
     return load(spark, sf_dir, "documents").select("doc_id", structure.template_headers(marked).alias("text"))
@@ -90,7 +98,7 @@ def chunk_totals(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        html_clean, pii_detect, pii_mask, pii_restore, toc_page_ranges, page_methods, chunk_previews, synopsis_removed, footnotes_removed, hierarchy_fixed, template_headers, chunk_documents, chunk_totals,
+        html_clean, pii_detect, pii_mask, pii_restore, toc_page_ranges, page_methods, chunk_previews, synopsis_removed, footnotes_removed, hierarchy_fixed, hierarchy_by_document, template_headers, chunk_documents, chunk_totals,
     )
 }
 
@@ -149,6 +157,17 @@ o as (select doc_id, i, case when s = '' then '' when level is null and length(s
 select doc_id, string_agg(x, chr(10) order by i) as text from o group by doc_id"""
 
 
+_BY_DOCUMENT_SQL = f"""with d as (select doc_id, text, regexp_extract_all(text, '[A-Za-z]{{4,}}') as w from documents where text is not null),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d),
+t as (select *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as s from l),
+r as (select doc_id, level, w[level] as raw, case when level in (2, 3) then w[1] end as one, case when level = 3 then w[2] end as two, '(?i){structure.BEFORE_HEADING}' || w[level] || '{structure.AFTER_HEADING}' as pattern from d, range(1, 5) as x(level) where w[level] is not null),
+f as (select t.doc_id, t.i, arg_min(struct_pack(level := r.level, raw := raw, one := one, two := two, body := regexp_extract(s, pattern, 1)), r.level) as x from t join r on r.doc_id = t.doc_id where s <> '' and regexp_matches(s, pattern) group by t.doc_id, t.i),
+n as (select t.*, x.level as level, x.raw as raw, case when x.level = 1 then x.raw else x.one end as need1, case when x.level = 2 then x.raw else x.two end as need2, regexp_replace(regexp_replace(x.body, '^[ .:;,\\-—–_=|*~\\t\\n\\r]+', ''), '^\\s+|\\s+$', '', 'g') as body from t left join f using (doc_id, i)),
+w as (select *, need1 is not null and level <> 1 and row_number() over (partition by doc_id, need1 order by i) = 1 as add1, need2 is not null and level = 3 and row_number() over (partition by doc_id, need2 order by i) = 1 as add2 from n),
+o as (select doc_id, i, case when s = '' then '' when level is null and length(s) < 4 and regexp_matches(s, '^\\d+$') then null when level is null then line
+  else (case when add1 then '# @@H1@@ ' || need1 || chr(10) else '' end) || (case when add2 then '## @@H2@@ ' || need2 || chr(10) else '' end) || repeat('#', level) || ' @@H' || level || '@@ ' || raw || (case when body <> '' then chr(10) || body else '' end) end as x from w)
+select doc_id, coalesce(string_agg(x, chr(10) order by i), '') as text from o group by doc_id"""
+
 #: A line with one page tag needs no look-ahead, and no line has two here.
 _FOOTNOTE_SQL = structure.FOOTNOTE.replace("(?:(?!@@PAGE).)*?", ".*?")
 
@@ -169,6 +188,7 @@ select doc_id as doc, cast(ord as bigint) as ord, cast(start_page as bigint) as
     "chunk_previews": "select doc_id, left(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 150) as preview from documents",
     "synopsis_removed": _SYNOPSIS_SQL,
     "hierarchy_fixed": _hierarchy_sql(),
+    "hierarchy_by_document": _BY_DOCUMENT_SQL,
     "template_headers": """with l as (select doc_id, unnest(string_split(regexp_replace(text, '(?m)^The', '## The', 'g'), chr(10))) as line, generate_subscripts(string_split(regexp_replace(text, '(?m)^The', '## The', 'g'), chr(10)), 1) as i from documents),
 h as (select *, starts_with(line, '##') as head, sum(starts_with(line, '##')::int) over (partition by doc_id order by i) as n, trim(substr(line, 3), ' ' || chr(9) || chr(13)) as title from l)
 select doc_id, string_agg(case when not head then line when n = 1 then '## ' || title || chr(10) || title else title end, chr(10) order by i) as text from h group by doc_id""",
