@@ -34,8 +34,20 @@ def parse(raw: Column) -> Column:
 
 
 def rounded(score: Column) -> Column:
-    """Four digits, a half to the even one."""
-    return F.bround(score, 4)
+    """Four digits, of the number that a double holds: only an exact half, as 0.5 / 4096 is none, goes to the even digit.
+
+    ``round`` and ``bround`` see the double's shortest decimal text, in which many
+    numbers are halves that are none.  Here 20000 x is made exactly, as the sum
+    of two products, and held against the odd number between the two candidates.
+    """
+    size = F.abs(score.cast("double"))
+    split = size * F.lit(134217729.0)  # 2 ** 27 + 1: the upper half of the digits
+    upper = split - (split - size)
+    below = F.floor(size * 10000.0)
+    over = (upper * 20000.0 - (2 * below + 1).cast("double")) + (size - upper) * 20000.0
+    up = F.when(over != 0, (over > 0).cast("int")).otherwise((below % 2).cast("int"))
+    # beyond this all digits after the point are zeros or the steps of doubles are wider than a digit
+    return F.when(size < 1e9, F.signum(score.cast("double")) * (below + up).cast("double") / 10000.0).otherwise(score.cast("double"))
 
 
 def valid_chunks(chunks: Column, t: Thresholds = Thresholds()) -> Column:

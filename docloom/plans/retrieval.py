@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import block_max, bm25, cells, chat_flow, dense, retrieval
+from docloom.operators import bitmaps, block_max, bm25, cells, chat_flow, dense, retrieval
 from docloom.operators.segments import Segments
 from docloom.sources.tables import load, scratch
 
@@ -101,6 +103,21 @@ def bm25_segments_stats(spark, sf_dir):
     return bm25.term_stats(_changed_index(spark, sf_dir).index())
 
 
+KEY_SETS = {"source": {"source": "src3"}, "lang": {"lang": "en"}, "both": {"source": "src3", "lang": "en"}, "none": {"source": None, "lang": None}, "unknown": {"source": "src3", "lang": "xx"}}
+
+
+def bitmap_members(spark, sf_dir):
+    """Documents of subsets of keys, from posting sets as bitmaps."""
+    sets = bitmaps.posting_sets(load(spark, sf_dir, "documents"), ["source", "lang"])
+    found = [bitmaps.members(bitmaps.intersection(sets, keys)).select(F.lit(name).alias("keys"), "doc_id") for name, keys in KEY_SETS.items()]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def bitmap_pair_counts(spark, sf_dir):
+    """How many documents each source has in each language, without a look at the documents again."""
+    return bitmaps.pair_counts(bitmaps.posting_sets(load(spark, sf_dir, "documents"), ["source", "lang"]), "source", "lang")
+
+
 def exact_dedup_first_wins(spark, sf_dir):
     return retrieval.first_occurrence(load(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source")
 
@@ -217,7 +234,7 @@ def chat_answer(spark, sf_dir):
     return out.select("query_id", "gate", "decision", "needs_retry", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.length("prompt").cast("long").alias("prompt_chars"))
 
 
-QUERIES = {f.__name__: f for f in (chat_answer, bm25_topk, bm25_filtered_topk, bm25_index_topk, bm25_keys_topk, bm25_blockmax_topk, bm25_segments_topk, bm25_segments_stats, bm25_term_stats, bm25_doc_len, metadata_posting_sets, exact_dedup_first_wins, dense_topk, dense_cells_topk, dense_filtered_topk, template_top1, route_queries, retrieval_debug, hybrid_union_dedup, hybrid_rerank_top3)}
+QUERIES = {f.__name__: f for f in (chat_answer, bm25_topk, bm25_filtered_topk, bm25_index_topk, bm25_keys_topk, bm25_blockmax_topk, bm25_segments_topk, bm25_segments_stats, bitmap_members, bitmap_pair_counts, bm25_term_stats, bm25_doc_len, metadata_posting_sets, exact_dedup_first_wins, dense_topk, dense_cells_topk, dense_filtered_topk, template_top1, route_queries, retrieval_debug, hybrid_union_dedup, hybrid_rerank_top3)}
 
 _ANSWER_SQL = _RERANK_SQL[: _RERANK_SQL.rindex("select query_id, cast(final_rank")] + f"""select b.item_id as query_id, 'pass' as gate, coalesce(z.decision, 'FALLBACK') as decision, coalesce(z.decision = 'RETRY', false) as needs_retry,
   coalesce(z.chunk_ids, '') as chunk_ids, z.prompt_chars
@@ -244,6 +261,9 @@ ORACLE_SQL = {
     "bm25_index_topk": _bm25_sql(10, "true"),
     "bm25_keys_topk": f"select *, false as user_store from ({_bm25_sql(3, "d.source = 'src3' and d.lang = 'en'")})",
     "bm25_term_stats": _TERM_STATS_SQL,
+    "bitmap_members": """select 'source' as keys, doc_id from documents where source = 'src3' union all select 'lang', doc_id from documents where lang = 'en'
+union all select 'both', doc_id from documents where source = 'src3' and lang = 'en' union all select 'none', doc_id from documents""",
+    "bitmap_pair_counts": "select source as first, lang as second, count(*) as n_docs from documents where source <> '' and lang <> '' group by source, lang",
     "bm25_blockmax_topk": _bm25_sql(10, "true"),
     "bm25_segments_topk": _live_sql(_bm25_sql(10, "true")),
     "bm25_segments_stats": _live_sql(_TERM_STATS_SQL),

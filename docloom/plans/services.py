@@ -27,6 +27,12 @@ def judge_violations(spark, sf_dir):
     return rows.select("doc_id", F.array_join(judge.violations(F.col("v")), "; ").alias("violations"))
 
 
+def scores_rounded_at_halves(spark, sf_dir):
+    """Scores such as 0.00015, which are halves as decimal text and a little more or less as doubles."""
+    half = (2 * F.col("n_chars") + 1) / F.lit(20000.0)
+    return load(spark, sf_dir, "documents").select("doc_id", judge.rounded(half).alias("score"))
+
+
 def scores_rounded(spark, sf_dir):
     """Scores at four digits, halves to the even digit."""
     return load(spark, sf_dir, "documents").select("doc_id", judge.rounded(F.col("n_chars") % 64 / 32.0).alias("score"))
@@ -196,7 +202,7 @@ def kb_extraction(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        judge_violations, scores_rounded, signup_rejections, layout_items, markdown_tables, gate_answers, default_kb, response_rows, toc_wrapped, session_titles, logged_messages, audit_gated,
+        judge_violations, scores_rounded, scores_rounded_at_halves, signup_rejections, layout_items, markdown_tables, gate_answers, default_kb, response_rows, toc_wrapped, session_titles, logged_messages, audit_gated,
         parsed_pages, kb_paths, vector_table, json_files, saved_index_topk, external_fallback, chat_flow_full, chat_quota_flow, kb_extraction,
     )
 }
@@ -236,6 +242,7 @@ ORACLE_SQL = {
     "judge_violations": """select doc_id, array_to_string(list_filter([case when doc_id % 3 = 0 then 'query is blank' end, case when doc_id % 5 = 0 then 'no chunk results' end, case when doc_id % 7 / 5.0 > 1 then 'confidence outside 0 to 1' end,
   case when doc_id % 4 = 0 and doc_id % 8 <> 0 then 'retry reason is missing' end, case when doc_id % 5 <> 0 and doc_id % 2 = 0 then 'chunk id is blank' end, case when doc_id % 5 <> 0 and doc_id % 13 = 0 then 'reason is blank' end,
   case when doc_id % 5 <> 0 and doc_id % 11 / 8.0 > 1 then 'score outside 0 to 1' end], lambda x: x is not null), '; ') as violations from labels""",
+    "scores_rounded_at_halves": "select doc_id, cast(printf('%.4f', (2 * n_chars + 1) / 20000.0::double) as double) as score from documents",
     "scores_rounded": "select doc_id, round_even(n_chars % 64 / 32.0::double, 4)::double as score from documents",
     "signup_rejections": """with s as (select c_custkey, case when c_custkey % 7 = 0 then 'Al' else c_name end as name, case when c_custkey % 5 = 0 then 'broken' else 'u' || c_custkey || '@x.org' end as email, c_custkey % 9 as n from customer)
 select c_custkey, array_to_string(list_filter([case when n < 6 then 'password is too short' end, case when length(name) < 3 then 'name is too short' end, case when email = 'broken' then 'email is malformed' end,

@@ -29,6 +29,14 @@ def test_decide(spark):
     assert judge.evaluate(empty).first().decision == "FALLBACK"
 
 
+def test_scores_are_rounded_as_doubles(spark):
+    r = random.Random(6)
+    values = [(2 * n + 1) / 20000 for n in range(10_000)] + [r.random() for _ in range(5000)] + [r.uniform(-3, 3) for _ in range(2000)] + [0.0, 1.0, 0.03125, 0.09375, 1 / 3, 1e-9, 12345.67895, -0.00015]
+    rows = spark.createDataFrame([(float(v),) for v in values], "x double").select("x", judge.rounded(F.col("x")).alias("y")).collect()
+    assert all(row.y == round(row.x, 4) for row in rows) and len(rows) == len(values)
+    assert spark.createDataFrame([(None,), (float("nan"),)], "x double").select(judge.rounded(F.col("x")).alias("y")).where("y is null or isnan(y)").count() == 2
+
+
 def test_violations(spark):
     raw = '{"query": " ", "confidence": 1.5, "overall_decision": "RETRY", "chunk_results": [{"chunk_id": "", "score": 2, "reason": " "}]}'
     found = spark.createDataFrame([(raw,)], "raw string").select(judge.violations(judge.parse(F.col("raw")))).first()[0]
