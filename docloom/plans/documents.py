@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as T
+from docloom.functions.tokens import Vocabulary
 from docloom.operators import headings, privacy, structure
 from docloom.sources import tables
 from docloom.sources.tables import load
@@ -88,17 +91,30 @@ def chunk_documents(spark, sf_dir):
     return structure.chunks(structure.with_hierarchy(_layout(spark, sf_dir), structure.heading_rules(TOC)))
 
 
-def chunk_totals(spark, sf_dir):
+def _totals(chunks, size: str):
     """What the chunks of a document hold together: words in order, and that none is over the limit."""
     one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "content"))), lambda c: c["content"]), " ")
-    found = chunk_documents(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.bool_and(F.col("n_words") <= structure.MAX_WORDS).alias("bounded"), one.alias("text"))
+    found = chunks.groupBy("doc_id").agg(F.bool_and(F.col(size) <= structure.MAX_WORDS).alias("bounded"), one.alias("text"))
     return found.select("doc_id", "bounded", F.sha2(T.strip(F.regexp_replace("text", r"(?U)\s+", " ")), 256).alias("words_sha256"))
 
 
+def chunk_totals(spark, sf_dir):
+    return _totals(chunk_documents(spark, sf_dir), "n_words")
+
+
+def chunk_token_totals(spark, sf_dir):
+    """The same of chunks by tokens: the longest pieces of a public vocabulary, whatever follows a piece in a word."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = Vocabulary({p.removesuffix("</w>") for p in json.load(f)["model"]["vocab"]})
+    return _totals(structure.chunks(structure.with_hierarchy(_layout(spark, sf_dir), structure.heading_rules(TOC)), vocabulary=vocabulary), "n_tokens")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        html_clean, pii_detect, pii_mask, pii_restore, toc_page_ranges, page_methods, chunk_previews, synopsis_removed, footnotes_removed, hierarchy_fixed, hierarchy_by_document, template_headers, chunk_documents, chunk_totals,
+        html_clean, pii_detect, pii_mask, pii_restore, toc_page_ranges, page_methods, chunk_previews, synopsis_removed, footnotes_removed, hierarchy_fixed, hierarchy_by_document, template_headers, chunk_documents, chunk_totals, chunk_token_totals,
     )
 }
 
@@ -171,12 +187,15 @@ select doc_id, coalesce(string_agg(x, chr(10) order by i), '') as text from o gr
 #: A line with one page tag needs no look-ahead, and no line has two here.
 _FOOTNOTE_SQL = structure.FOOTNOTE.replace("(?:(?!@@PAGE).)*?", ".*?")
 
+_TOTALS_SQL = f"""with h as ({_hierarchy_sql()}),
+b as (select doc_id, i, line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from h) where not regexp_matches(line, '^#{{1,6}}\\s'))
+select doc_id, true as bounded, sha256(trim(regexp_replace(regexp_replace(string_agg(line, ' ' order by i), '\\s*@@(?:PAGE_|H)\\d+@@\\s*', ' ', 'g'), '\\s+', ' ', 'g'))) as words_sha256 from b group by doc_id"""
+
 ORACLE_SQL = {
     "pii_mask": _MASK_SQL,
     "footnotes_removed": f"with {_LAYOUT_SQL} select doc_id, regexp_replace(regexp_replace(text, '(?i){_FOOTNOTE_SQL}', '', 'g'), '^\\s+|\\s+$', '', 'g') as text from t",
-    "chunk_totals": f"""with h as ({_hierarchy_sql()}),
-b as (select doc_id, i, line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from h) where not regexp_matches(line, '^#{{1,6}}\\s'))
-select doc_id, true as bounded, sha256(trim(regexp_replace(regexp_replace(string_agg(line, ' ' order by i), '\\s*@@(?:PAGE_|H)\\d+@@\\s*', ' ', 'g'), '\\s+', ' ', 'g'))) as words_sha256 from b group by doc_id""",
+    "chunk_totals": _TOTALS_SQL,
+    "chunk_token_totals": _TOTALS_SQL,
     "html_clean": f"select page_id, {_html_sql()} as text from pages",
     "pii_detect": f"select doc_id, label, value, cast(pos as bigint) as pos from ({_DETECT})",
     "pii_restore": "select doc_id, text as restored from documents",
