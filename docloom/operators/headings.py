@@ -76,16 +76,20 @@ def _keys(line: Column, lengths: Column) -> Column:
 
 
 def matched_lines(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """doc_id, line_no, line and, where a rule matches, level, title, above, body; of docs with a text."""
+    """doc_id, line_no, level, title, above, body of the lines that a rule matches.
+
+    A document's anchors come to its row, so that only keys which are anchors, with
+    their lines, leave the task that reads the text.
+    """
     known = _anchored(rules.select("doc_id", "ord", "level", "title", "above"))
-    lengths = known.groupBy("doc_id").agg(F.collect_set(F.when(F.col("begins"), F.length("anchor"))).alias("lengths"))
-    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    met = lines.join(lengths, "doc_id").withColumn("s", T.strip(F.col("line"))).where("s <> ''")
-    keyed = met.select("doc_id", "line_no", "s", F.explode(_keys(F.col("s"), F.col("lengths"))).alias("key")).select("doc_id", "line_no", "s", "key.*")
+    anchors = known.groupBy("doc_id").agg(F.collect_set(F.struct("begins", "anchor")).alias("anchors"))  # of one table of contents
+    lines = docs.where("text is not null").select("doc_id", "text").join(anchors, "doc_id").select("doc_id", "anchors", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lengths = F.array_distinct(F.transform(F.filter("anchors", lambda a: a["begins"]), lambda a: F.length(a["anchor"])))
+    lines = lines.select("doc_id", "line_no", "anchors", lengths.alias("lengths"), T.strip(F.col("line")).alias("s")).where("s <> ''")
+    keyed = lines.select("doc_id", "line_no", "s", F.explode(F.array_intersect(_keys(F.col("s"), F.col("lengths")), "anchors")).alias("key")).select("doc_id", "line_no", "s", "key.*")
     found = keyed.join(known.withColumn("pattern", pattern(F.col("title"))), ["doc_id", "begins", "anchor"]).where(F.expr("s rlike pattern"))
     body = T.strip(F.regexp_replace(F.expr("regexp_extract(s, pattern, 1)"), _RUN_IN, ""))
-    first = found.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("level", "title", "above", "s", "pattern"), F.struct("ord")).alias("rule")).select("doc_id", "line_no", "rule.*")
-    return lines.join(first.withColumn("body", body).drop("s", "pattern"), ["doc_id", "line_no"], "left")
+    return found.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("level", "title", "above", body.alias("body")), F.struct("ord")).alias("rule")).select("doc_id", "line_no", "rule.*")
 
 
 def with_hierarchy(docs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -95,10 +99,8 @@ def with_hierarchy(docs: DataFrame, rules: DataFrame) -> DataFrame:
     without rules loses its lone page numbers and is else unchanged, a null text
     stays null.
     """
-    lines = matched_lines(docs, rules)
     above = lambda depth: F.nullif(F.when(F.col("level") == depth, F.col("title")).otherwise(F.get("above", F.lit(depth - 1))), F.lit(""))
-    lines = lines.withColumns({"one": above(1), "two": above(2), "s": T.strip(F.col("line"))})
-    heads = lines.where("level is not null")
+    heads = matched_lines(docs, rules).withColumns({"one": above(1), "two": above(2)})
     place = lambda name: F.row_number().over(Window.partitionBy("doc_id", name).orderBy("line_no")) == 1
     heads = heads.withColumns({"first_one": F.col("one").isNotNull() & place("one"), "first_two": F.col("two").isNotNull() & place("two")})
     mark = lambda level, text: F.concat(F.repeat(F.lit("#"), level), F.lit(" @@H"), level.cast("string"), F.lit("@@ "), text)
@@ -108,9 +110,14 @@ def with_hierarchy(docs: DataFrame, rules: DataFrame) -> DataFrame:
         mark(F.col("level"), F.col("title")),
         F.when(F.col("body") != "", F.col("body")),
     )
-    page_number = (F.length("s") < 4) & F.col("s").rlike(r"^\d+$")
-    plain = F.when(F.col("s") == "", F.array(F.lit(""))).when(page_number, F.array().cast("array<string>")).otherwise(F.array("line"))
-    out = heads.select("doc_id", "line_no", F.array_compact(headed).alias("out")).unionByName(lines.where("level is null").select("doc_id", "line_no", plain.alias("out")))
-    texts = out.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "out"))).alias("lines"))  # a document's text is one row before and after
-    made = texts.select("doc_id", F.array_join(F.flatten(F.transform("lines", lambda x: x["out"])), "\n").alias("text"))
-    return made.unionByName(docs.where("text is null").select("doc_id", "text"))
+    found = heads.select("doc_id", "line_no", F.array_compact(headed).alias("out")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "out"))).alias("heads"))  # headings of one document
+
+    def written(line: Column, at: Column) -> Column:
+        s = T.strip(line)
+        page_number = (F.length(s) < 4) & s.rlike(r"^\d+$")
+        plain = F.when(s == "", F.array(F.lit(""))).when(page_number, F.array().cast("array<string>")).otherwise(F.array(line))
+        return F.coalesce(F.try_element_at("heads", at), plain)
+
+    # a document's text is one row before and after, and is made anew in its row
+    text = F.array_join(F.flatten(F.transform(F.split("text", "\n"), written)), "\n")
+    return docs.select("doc_id", "text").join(found, "doc_id", "left").select("doc_id", text.alias("text"))
