@@ -24,6 +24,8 @@ from docloom.operators.structure import _RUN_IN, AFTER_HEADING, BEFORE_HEADING
 
 #: Characters beyond ASCII that a pattern without case takes for letters, and these.
 FOLDED = ("ſKıİ", "skii")
+#: So many anchors are looked for in each line one by one; of more, a line's keys are looked up.
+FEW = 32
 RULE = "array<struct<level:int,title:string,above:array<string>>>"
 
 
@@ -86,7 +88,10 @@ def matched_lines(docs: DataFrame, rules: DataFrame) -> DataFrame:
     lines = docs.where("text is not null").select("doc_id", "text").join(anchors, "doc_id").select("doc_id", "anchors", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lengths = F.array_distinct(F.transform(F.filter("anchors", lambda a: a["begins"]), lambda a: F.length(a["anchor"])))
     lines = lines.select("doc_id", "line_no", "anchors", lengths.alias("lengths"), T.strip(F.col("line")).alias("s")).where("s <> ''")
-    keyed = lines.select("doc_id", "line_no", "s", F.explode(F.array_intersect(_keys(F.col("s"), F.col("lengths")), "anchors")).alias("key")).select("doc_id", "line_no", "s", "key.*")
+    folded = F.lower(F.translate("s", *FOLDED))
+    few = F.filter("anchors", lambda a: F.contains(folded, a["anchor"]))
+    hits = F.when(F.size("anchors") <= FEW, few).otherwise(F.array_intersect(_keys(F.col("s"), F.col("lengths")), "anchors"))
+    keyed = lines.select("doc_id", "line_no", "s", F.explode(hits).alias("key")).select("doc_id", "line_no", "s", "key.*")
     found = keyed.join(known.withColumn("pattern", pattern(F.col("title"))), ["doc_id", "begins", "anchor"]).where(F.expr("s rlike pattern"))
     body = T.strip(F.regexp_replace(F.expr("regexp_extract(s, pattern, 1)"), _RUN_IN, ""))
     return found.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("level", "title", "above", body.alias("body")), F.struct("ord")).alias("rule")).select("doc_id", "line_no", "rule.*")

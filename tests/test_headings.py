@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from docloom.operators import headings, structure
@@ -11,7 +13,9 @@ TITLES = ["OFFER", "CHAPTER I", "1. Definition", "Counter-offer", "Of the Court"
 PIECES = ["offer", "Offerings", "CHAPTER  I", "chapter ii", "1 . definition", "IVcivil law", "XMILD", "Counter - offer: it", "counter—offers", "of the  court.", "12", "7", "  12 ", "section (a) x", "a . b c", "É", "CAFÉ LAW -", "[x]   y", "K", "the K", "5 [1 . Definition", "word civil law", "iii. offer", "ofﬁce", "oﬀer", "Sectıon (a)", "plain body", "", "m.d.", "(( offer", "two words offer"]
 
 
-def test_like_literal_rules(spark):
+@pytest.mark.parametrize("few", [0, 32])
+def test_like_literal_rules(spark, monkeypatch, few):
+    monkeypatch.setattr(headings, "FEW", few)
     r = random.Random(8)
     texts, tables, expected = [], [], {}
     for doc in range(40):
@@ -22,7 +26,7 @@ def test_like_literal_rules(spark):
             for name, b in block.items():
                 tables.append((doc, at, name, b["chapter heading"], b["section"], b["sub section"]))
         rules = structure.heading_rules(blocks)
-        if doc < 12 and rules:
+        if doc < 8 and rules:
             expected[doc] = structure.with_hierarchy(spark.createDataFrame([(doc, text)], "doc_id long, text string"), rules).first().text
     docs = spark.createDataFrame(texts + [(100, None), (101, "7\nno rules\n\nx"), (102, "")], "doc_id long, text string").repartition(3)
     found = headings.rules_of(spark.createDataFrame(tables, BLOCKS))
