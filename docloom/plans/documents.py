@@ -88,7 +88,8 @@ def template_headers(spark, sf_dir):
 
 
 def chunk_documents(spark, sf_dir):
-    return structure.chunks(structure.with_hierarchy(_layout(spark, sf_dir), structure.heading_rules(TOC)))
+    made = structure.chunks(structure.with_hierarchy(_layout(spark, sf_dir), structure.heading_rules(TOC)))
+    return made.withColumn("pages", F.array_join("pages", ","))
 
 
 def _totals(chunks, size: str):
