@@ -15,9 +15,15 @@ tilts the bigram distribution:
 so it is normalised by a sum over classes alone.  The attention is what knows the
 language and style of a text beyond the last id.  Runs of three ids that repeat are a
 memory beside it: P(id | last two) is the discounted share of the run, and what the
-runs leave of the probability is the attention's.  A word's probability is the
-product over its ids, mixed with the word's frequency among all training words with
-a weight of WORD_SHARE.
+runs leave of the probability is the attention's.
+
+A unit is a word or the end.  With B the probability that the next id begins a unit,
+a word's probability after a text is the product over its ids, times B after it (it
+goes no further), over B before it; the end has no B after it.  So the units that can
+follow share a probability of 1, and so do their frequencies among the training units,
+with which that is mixed with a weight of WORD_SHARE.  A text's score is the product
+over its units: over all sequences of words it sums to 1 at most (less, by what goes
+to strings of ids that no word is encoded as).
 
 Scoring uses overlapping windows: each holds CONTEXT ids that were scored before
 and STRIDE ids that are scored in it, so every id is scored once with at least
@@ -118,16 +124,18 @@ def _whole(small: bytes) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Tables:
-    """What counts give: embeddings, classes, log P(id | last), P(class | last); and the counts that are not 0, by which it travels."""
+    """What counts give: embeddings, classes, log P(id | last), P(class | last), P(class, begins a unit | last); and the counts that are not 0, by which it travels."""
 
     embedding: np.ndarray
     of_class: np.ndarray
     log_next: np.ndarray
     class_next: np.ndarray
+    begins: np.ndarray
+    begin_next: np.ndarray
     cells: tuple[bytes, bytes]
 
     def __reduce__(self):
-        return _tables_of, (self.embedding, self.of_class, self.cells)
+        return _tables_of, (self.embedding, self.of_class, self.begins, self.cells)
 
 
 def _next(pairs: np.ndarray) -> np.ndarray:
@@ -138,19 +146,20 @@ def _next(pairs: np.ndarray) -> np.ndarray:
     return ((pairs + backing * unigram[None]) / (pairs.sum(axis=1, keepdims=True) + backing)).astype(np.float32)
 
 
-def _tables_of(embedding: np.ndarray, of_class: np.ndarray, cells: tuple[bytes, bytes]) -> Tables:
+def _tables_of(embedding: np.ndarray, of_class: np.ndarray, begins: np.ndarray, cells: tuple[bytes, bytes]) -> Tables:
     n = len(embedding)
     pairs = np.zeros(n * n)
     pairs[_whole(cells[0])] = _whole(cells[1])
     p = _next(pairs.reshape(n, n))
     member = np.zeros((n, CLASSES), np.float32)
     member[np.arange(n), of_class] = 1
-    return Tables(embedding, of_class, np.log(p), p @ member, cells)
+    return Tables(embedding, of_class, np.log(p), p @ member, begins, p[:, begins] @ member[begins], cells)
 
 
-def tables(pairs: np.ndarray) -> Tables:
-    """From pairs[last, next], the counts of neighbouring ids."""
+def tables(pairs: np.ndarray, begins: np.ndarray | None = None) -> Tables:
+    """From pairs[last, next], the counts of neighbouring ids, and which ids begin a unit (all, if None)."""
     n = len(pairs)
+    begins = np.ones(n, bool) if begins is None else begins
     rng = np.random.default_rng(5)
     follow = pairs.sum(axis=0)
     # leading directions of the counts on a log scale, from both sides, by subspace iteration
@@ -174,7 +183,7 @@ def tables(pairs: np.ndarray) -> Tables:
         for d in range(WIDTH):
             centre[:, d] = np.bincount(of_class, weights=weight * embedding[:, d], minlength=classes) / np.maximum(total, 1e-9)
     at = np.flatnonzero(pairs)
-    return _tables_of((embedding * 2).astype(np.float32), of_class, (_small(at), _small(pairs.ravel()[at].astype(np.int64))))
+    return _tables_of((embedding * 2).astype(np.float32), of_class, begins, (_small(at), _small(pairs.ravel()[at].astype(np.int64))))
 
 
 _SHAPES = {"query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mixed": (WIDTH, WIDTH), "near": (_SPAN,), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
@@ -301,6 +310,10 @@ class Scorer:
 
     def log_p(self, x: Windows) -> np.ndarray:
         """log p of every target."""
+        return self.scores(x)[0]
+
+    def scores(self, x: Windows) -> tuple[np.ndarray, np.ndarray]:
+        """log p of every target; and where it begins a unit, the probability that some id does (elsewhere 1)."""
         t, last = self.t, x.read[:, CONTEXT:]
         a = _weighed(self.w, self.query.take(last, axis=0), self.key.take(x.read, axis=0), x.there)
         h = a @ self.value.take(x.read, axis=0)
@@ -312,7 +325,10 @@ class Scorer:
         own = np.take_along_axis(s, t.of_class[x.target][..., None], 2)[..., 0]
         np.exp(s, out=s)
         z = np.einsum("ijk,ijk->ij", s, t.class_next.take(last, axis=0))
-        return t.log_next[last, x.target] + own - np.log(z)
+        begin = np.ones(z.size, np.float32)
+        at = np.flatnonzero(t.begins[x.target])
+        begin[at] = np.einsum("jk,jk->j", _flat(s)[at], t.begin_next.take(last.ravel()[at], axis=0)) / z.ravel()[at]
+        return t.log_next[last, x.target] + own - np.log(z), begin.reshape(z.shape)
 
 
 def slopes(w: dict[str, np.ndarray], x: Windows, kept: tuple) -> dict[str, np.ndarray]:
@@ -461,16 +477,17 @@ class Lookup:
 
 @dataclass(frozen=True)
 class Memory:
-    """Runs of three ids: codes and counts of the most frequent; for each two ids their count, and what the shares of all repeated runs leave."""
+    """Runs of three ids: codes and counts of the most frequent; for each two ids their count, what the shares of all repeated runs leave, and the shares of those that begin a unit."""
 
     code: Lookup
     count: np.ndarray
     totals: np.ndarray
     left: np.ndarray
+    begun: np.ndarray
 
     def __reduce__(self):
         two = np.flatnonzero(self.totals)
-        return _memory_of, (_small(self.code.keys), _small(self.count), len(self.left), _small(two), _small(self.totals[two]), self.left[two])
+        return _memory_of, (_small(self.code.keys), _small(self.count), len(self.left), _small(two), _small(self.totals[two]), self.left[two], self.begun[two])
 
     def counts(self, code: np.ndarray) -> np.ndarray:
         """Counts; 0 for a run that is not among the most frequent."""
@@ -484,12 +501,17 @@ class Memory:
         p[kept] += (count[kept] - DISCOUNT) / self.totals[two[kept]]
         return np.log(p)
 
+    def log_begin(self, code: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """log of the probability that an id begins a unit where runs ``code`` end, from that of the attention."""
+        two = code // round(len(self.left) ** 0.5)
+        return np.log(self.begun[two] + self.left[two] * begin.astype(np.float64))
+
 
-def _memory_of(code: bytes, count: bytes, size: int, two: bytes, total: bytes, kept: np.ndarray) -> Memory:
-    totals, left = np.zeros(size, np.uint32), np.ones(size, np.float32)
+def _memory_of(code: bytes, count: bytes, size: int, two: bytes, total: bytes, kept: np.ndarray, begin: np.ndarray) -> Memory:
+    totals, left, begun = np.zeros(size, np.uint32), np.ones(size, np.float32), np.zeros(size, np.float32)
     at = _whole(two)
-    totals[at], left[at] = _whole(total), kept
-    return Memory(Lookup(_whole(code)), _whole(count).astype(np.int32), totals, left)
+    totals[at], left[at], begun[at] = _whole(total), kept, begin
+    return Memory(Lookup(_whole(code)), _whole(count).astype(np.int32), totals, left, begun)
 
 
 def _id_slices(batches, column: int = 0, most: int = 1 << 19):
@@ -526,20 +548,22 @@ def run_counts(train: DataFrame, path: str, ranks: int) -> DataFrame:
     return train.select("ids").transform(map_batches, run, made).groupBy("code").agg(F.sum("count").alias("count"))
 
 
-def pairs_and_memory(runs: DataFrame, size: int, most: int = RUNS) -> tuple[np.ndarray, Memory]:
-    """pairs[last, next], and the memory with the most frequent runs; size**2 and ``most`` numbers reach the driver at most."""
+def pairs_and_memory(runs: DataFrame, begins: np.ndarray, most: int = RUNS) -> tuple[np.ndarray, Memory]:
+    """pairs[last, next], and the memory with the most frequent runs; size**2 (size: the ids) and ``most`` numbers reach the driver at most."""
+    size = len(begins)
     cells = runs.groupBy((F.col("code") % (size * size)).cast("int").alias("cell")).agg(F.sum("count").alias("count")).toArrow()
     pairs = np.zeros(size * size)
     pairs[cells["cell"].to_numpy()] = cells["count"].to_numpy()
     found = runs.where(F.col("count") >= max(2, _least_count(runs, most))).select("code", "count").toArrow()
     code, count = found["code"].to_numpy(), found["count"].to_numpy()
     order = np.argsort(code)
-    shares = F.sum(F.when(F.col("count") > 1, F.col("count") - DISCOUNT).otherwise(0.0))
-    twos = runs.groupBy(F.expr(f"cast(code div {size} as int)").alias("two")).agg(F.sum("count").alias("count"), shares.alias("kept")).toArrow()
+    left = F.when(F.col("count") > 1, DISCOUNT).otherwise(1.0)
+    begun = F.when((F.col("count") > 1) & (F.col("code") % size).isin(np.flatnonzero(begins).tolist()), F.col("count") - DISCOUNT).otherwise(0.0)
+    twos = runs.groupBy(F.expr(f"cast(code div {size} as int)").alias("two")).agg(F.sum("count").alias("count"), F.sum(left).alias("left"), F.sum(begun).alias("begun")).toArrow()
     at, total = twos["two"].to_numpy(), twos["count"].to_numpy()
     by_two = np.argsort(at)
-    left = np.clip(1 - twos["kept"].to_numpy() / total, 1e-6, 1.0).astype(np.float32)
-    return pairs.reshape(size, size), _memory_of(_small(code[order]), _small(count[order]), size * size, _small(at[by_two].astype(np.int64)), _small(total[by_two]), left[by_two])
+    left, begun = ((twos[c].to_numpy() / total).astype(np.float32)[by_two] for c in ("left", "begun"))
+    return pairs.reshape(size, size), _memory_of(_small(code[order]), _small(count[order]), size * size, _small(at[by_two].astype(np.int64)), _small(total[by_two]), left, begun)
 
 
 #: Weights are summed as multiples of 1/_UNIT; so many shards fit a 64-bit sum.
@@ -645,7 +669,7 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return 1
 
 
-#: Counts of frequent words are kept beside the ids on a log scale, in steps of 1/2048.
+#: Counts of frequent words are kept beside the ids on a log scale, in steps of 1/2048, rounded down: shares of all words sum to 1 at most.
 _STEP = 2048.0
 
 
@@ -715,7 +739,7 @@ def tokenized(source: DataFrame, top: Frequent, path: str, ranks: int) -> DataFr
                 known = count > 0
                 sums = lambda v: np.add.reduceat(v, row_at[:-1])
                 figures = [np.diff(row_at), sums(known.astype(np.int64)), sums(np.where(known, top.base(np.maximum(count, 0)), 0.0))]
-                scale = np.where(known, np.round(np.log(np.maximum(count, 1)) * _STEP) + 1, 0)
+                scale = np.where(known, np.floor(np.log(np.maximum(count, 1)) * _STEP) + 1, 0)
                 other = np.flatnonzero(~known)
                 other_at = np.searchsorted(other, row_at)
                 place = other - np.repeat(row_at[:-1], np.diff(other_at))
@@ -745,11 +769,12 @@ def model_scores(tokens: DataFrame, w: dict[str, np.ndarray], top: Frequent, pat
             for ids, row_from, row_to in _id_slices([b], 7):
                 shifted = _shifted(ids, row_from, own.end)
                 first, low, high = window_places(row_from, row_to)
-                log_p = np.zeros(len(ids))
+                log_p, begin = np.zeros(len(ids)), np.ones(len(ids), np.float32)
                 for i in range(0, len(first), 256):
                     s = slice(i, i + 256)
                     x = batch(ids, shifted, first[s], low[s], high[s])
-                    log_p[x.place[x.scored]] = scorer.log_p(x)[x.scored]
+                    place = x.place[x.scored]
+                    log_p[place], begin[place] = (v[x.scored] for v in scorer.scores(x))
                 unit_at = np.flatnonzero(own.begins[ids])
                 unit_from = np.searchsorted(unit_at, row_from)
                 at = found_at[rows : rows + len(row_from) + 1]
@@ -761,7 +786,10 @@ def model_scores(tokens: DataFrame, w: dict[str, np.ndarray], top: Frequent, pat
                 count = memory.counts(code)
                 count[row_from[of[run_]] + place[run_]] = n[run_]
                 log_p = memory.mixed(code, count, log_p)
-                of_unit = np.add.reduceat(log_p, unit_at)
+                before = memory.log_begin(code[unit_at], begin[unit_at])
+                after = np.append(before[1:], 0.0)
+                after[ids[unit_at] == own.end] = 0.0
+                of_unit = np.add.reduceat(log_p, unit_at) + after - before
                 scale = counts[done : done + len(unit_at)].astype(np.float64)
                 done += len(unit_at)
                 own_count = np.where(scale > 0, np.exp((scale - 1) / _STEP), 0.0)
@@ -781,8 +809,9 @@ def score(docs: DataFrame, path: str, ranks: int = RANKS) -> DataFrame:
     tokens = stored(tokenized(source, top, path, ranks))
     train = tokens.where(~F.col("held_out"))
     runs = stored(run_counts(train, path, ranks))
-    pairs, memory = pairs_and_memory(runs, subwords(path, ranks).size)
-    t = tables(pairs)
+    begins = subwords(path, ranks).begins
+    pairs, memory = pairs_and_memory(runs, begins)
+    t = tables(pairs, begins)
     shared = docs.sparkSession.sparkContext.broadcast((t, memory))
     w = fit_attention(train, t, path, ranks, int(pairs.sum()), shared)
     release(docs.sparkSession)

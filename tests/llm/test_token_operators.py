@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -228,6 +229,46 @@ def test_a_scored_id_reads_seventeen_ids_back():
     assert (attention_lm.RANKS, attention_lm.CLASSES) == (2048, 64)
 
 
+def test_words_of_a_small_alphabet_share_one(spark):
+    """Ids are single bytes, so a word is one string of ids, and all texts of up to 3 words of up to 3 letters are nearly all that the model knows."""
+    every = ["".join(w) for n in (1, 2, 3) for w in itertools.product("ab", repeat=n)]
+    texts = [" ".join(t) for n in range(4) for t in itertools.product(every, repeat=n)]
+    ids = iter(range(10**6))
+    train, held = ([i for i in itertools.islice(ids, 100_000) if (zlib.crc32(str(i).encode()) % 5 == 1) == h] for h in (False, True))
+    r = random.Random(4)
+    seen = [" ".join(r.choice(every[:5]) for _ in range(r.choice((0, 1, 1, 2)))) for _ in range(20_000)]
+    docs = spark.createDataFrame([*zip(train, seen), *zip(held, texts)], "doc_id long, text string")
+    got = attention_lm.score(docs, RANKS, 0).where("held_out").collect()
+    total = math.fsum(10**g.score for g in got)
+    assert len(got) == len(texts) and 0.95 < total < 1.0001
+
+
+def test_prefixes_of_the_one_word_keep_nothing(spark):
+    word = "thathereationing"
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 != 1][:2000]
+    texts = [word[:n] for n in range(len(word) + 1)]
+    docs = spark.createDataFrame([*zip(train, itertools.repeat(word)), *zip(held, texts)], "doc_id long, text string")
+    got = {g.doc_id: 10**g.score for g in attention_lm.score(docs, RANKS).where("held_out").collect()}
+    assert math.fsum(got.values()) < 1.0001 and got[held[len(word)]] > 0.5
+
+
+def test_begins_are_the_sum_of_their_ids():
+    _, ids, rows, shifted = tiny()
+    rng = np.random.default_rng(2)
+    begins = np.arange(80) % 3 == 2
+    t = attention_lm.tables(rng.poisson(2, (80, 80)).astype(float), begins)
+    w = attention_lm.start_weights()
+    w["out"] *= 20
+    x = attention_lm.batch(ids, shifted, *attention_lm.window_places(*rows))
+    scorer = attention_lm.Scorer.of(w, t)
+    total = np.zeros(x.target.shape)
+    for i in np.flatnonzero(begins):
+        total += np.exp(scorer.log_p(attention_lm.Windows(x.read, x.there, np.full_like(x.target, i), x.scored, x.place)))
+    own = begins[x.target]
+    assert np.allclose(scorer.scores(x)[1][own], total[own], atol=1e-5) and (scorer.scores(x)[1][~own] == 1).all()
+
+
 def test_gradient_and_training():
     t, ids, rows, shifted = tiny()
     w = {k: v.astype(np.float64) for k, v in attention_lm.start_weights().items()}
