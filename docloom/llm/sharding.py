@@ -1,7 +1,8 @@
 """Sharding by a hypergeometric communication matrix.
 
 Rows are put into shards of exact sizes (counts at most one apart) as a uniform
-shuffle would put them: the rows are dealt to groups by a hash of their key; the
+shuffle would put them: the rows are dealt to groups by a hash of all their columns
+and, of rows that are equal in all, of a number (``numbered``); the
 matrix says how many rows of each group go to each shard, drawn so that row sums
 are the groups' sizes and column sums the shards' (a multivariate hypergeometric
 draw for one group after the other); each group is permuted locally and cut by
@@ -11,13 +12,14 @@ The second permutation is a random order of the shard's rows, cut into ranges
 of equal width of a 64-bit hash, so a shard is never sorted by one task: rows are
 ranked inside a range and a range begins where the counts of those before it end.
 
-Permutations are orders by a hash of (seed, key), so a lost task that is run
+Permutations are orders by a hash of (seed, row, number), so a lost task that is run
 again gives the same rows; a new seed gives a new shuffle.  Only columns that the
 caller asks for are shuffled.
 
-Defined cases: an empty table gives no rows; rows that are equal in key are told
-apart by their other columns, and rows equal in all columns take the places of
-their group in any order; a null key is a key like any other.
+Defined cases: an empty table gives no rows; rows of one key, or equal in all
+columns, are dealt and permuted like any others, so many of them are no hot group and
+not neighbours; a null key is a key like any other.  Columns must be of types that
+Spark can group by.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SHARDS = 8
 SEED = 20_240_229
 #: Rows of a group or range, about: what one task sorts at a time.
 GROUP_ROWS = 50_000
+#: Most copies of one row that one task makes again from their number.
+COPIES = 10_000
 #: Largest population that numpy's exact sampler takes.
 _NUMPY_LIMIT = 1_000_000_000
 
@@ -76,9 +80,24 @@ def communication_matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray
     return matrix
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each of several rows that are equal in all columns: 0, 1, ... .
+
+    Equal rows are counted, which Spark does within tasks first, and made again from
+    their count, in blocks that are dealt anew so that no task makes all of them.
+    """
+    every = [F.col(f"`{c}`") for c in df.columns]
+    counted = df.groupBy(*every).agg(F.count("*").alias("__copies"))
+    blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.lit(COPIES).cast("long"))))
+    blocks = blocks.repartition(F.xxhash64(*every, "__block"))
+    last = F.least(F.col("__copies"), F.col("__block") + COPIES) - 1
+    return blocks.select(*every, F.explode(F.sequence("__block", last)).alias(name))
+
+
 def shuffle_into_shards(df: DataFrame, key: str, shards: int = SHARDS, seed: int = SEED, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (0, 1, ... in each shard).
 
+    key: the column that is hashed first, before all others.
     All columns of ``df`` are carried through two shuffles: select those that
     are needed.  Columns named shard or slot are replaced.
     """
@@ -86,19 +105,20 @@ def shuffle_into_shards(df: DataFrame, key: str, shards: int = SHARDS, seed: int
     df = df.drop("shard", "slot")
     sizes = df.groupBy().count().first()[0]
     n_groups = max(1, -(-sizes // group_rows))
-    hashed = df.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n_groups)).cast("int")).withColumn("__order", F.xxhash64(F.lit(seed + 1), F.col(key)))
+    whole = [F.col(f"`{c}`") for c in [key, *(c for c in df.columns if c != key), "__copy"]]
+    hashed = numbered(df, "__copy").withColumns({"__group": F.pmod(F.xxhash64(F.lit(seed), *whole), F.lit(n_groups)).cast("int"), "__order": F.xxhash64(F.lit(seed + 1), *whole)})
     counts = {r["__group"]: r["count"] for r in hashed.groupBy("__group").count().collect()}
     # one row for each 50,000 rows of the table; a table like any other, Spark broadcasts it only while it is small
     cuts = communication_matrix([counts.get(g, 0) for g in range(n_groups)], shards, seed).cumsum(axis=1)
     dealt = spark.createDataFrame([(g, [int(x) for x in c]) for g, c in enumerate(cuts)], "__group int, __cuts array<bigint>")
 
     others = [F.col(f"`{c}`") for c in df.columns]
-    place = F.row_number().over(Window.partitionBy("__group").orderBy("__order", *others))
+    place = F.row_number().over(Window.partitionBy("__group").orderBy("__order", *whole))
     shard = F.size(F.filter("__cuts", lambda c: c < F.col("__place"))).cast("int")
     sent = hashed.withColumn("__place", place).join(dealt, "__group").withColumn("shard", shard)
 
     per_shard = max(1, -(-sizes // (shards * group_rows)))
-    again = F.xxhash64(F.lit(seed + 2), F.col(key))
+    again = F.xxhash64(F.lit(seed + 2), *whole)
     width = F.shiftrightunsigned(again, 33)  # 31 bits
     ranged = sent.select(*others, "shard", again.alias("__again"), F.floor(width * per_shard / F.lit(1 << 31)).cast("int").alias("__range"), width.alias("__width"))
     ranged = cut(ranged)

@@ -375,3 +375,19 @@ def test_sharding_edge_cases(spark):
     assert sorted(one) == sorted(two)  # whatever the partitions
     places = {r.id: r.shard for r in one}
     assert len({places[i] for i in range(40)}) == 8
+
+
+def test_rows_of_one_id_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)  # so that copies are made in several blocks
+    rows = [(i, "same" if i % 2 else f"text {j}") for i in range(20) for j in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shuffle_into_shards(docs, "doc_id", 8, group_rows=100).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    exact(got, 8)
+    placed = {(r.shard, r.slot): r.doc_id for r in got}
+    near = sum(placed[s, k] == placed.get((s, k + 1)) for s, k in placed)
+    assert 20 <= near <= 85  # 992 neighbours; 49 of one id by chance, 7 the deviation
+    spread = Counter((r.shard, r.doc_id) for r in got)
+    assert 300 < sum((spread[s, i] - 6.25) ** 2 for s in range(8) for i in range(20)) < 1300  # about 5.4 for each of 160
+    again = sharding.shuffle_into_shards(docs.repartition(5), "doc_id", 8, group_rows=100).collect()
+    assert sorted(got) == sorted(again)
