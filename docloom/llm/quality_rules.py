@@ -3,9 +3,14 @@
 Figures (the base rules) are counted over the whole text.  The method's verdict
 labels every line that has a word as content or boilerplate: a conditional
 random field with binary line features is fitted by maximum likelihood on a
-bounded sample of labelled documents (each line takes its document's quality as
-its label), and Viterbi decoding finds the best labelling of every text.  The
-share of words in content lines decides.
+bounded sample of labelled documents, and Viterbi decoding finds the best labelling
+of every text.  The share of words in content lines decides.
+
+Only documents have labels, so the lines' are latent (``line_labels``): they are
+estimated by the field itself, first without transitions, under the constraint that
+a good document has MIN_CONTENT_SHARE of its words in content lines and a poor one
+less.  So a menu in a good document is boilerplate and a sentence in a poor one is
+content, and the field learns how labels follow each other inside a document.
 
 Defined cases: a null or empty text has no word and fails the base rules;
 without any labelled row every line is content; repeated rows are judged one by
@@ -32,6 +37,10 @@ MAX_REPEAT_PERCENT = 30
 #: Most labelled documents that the field is fitted on (those whose hashed id is smallest).
 SAMPLE_DOCUMENTS = 4000
 MIN_CONTENT_SHARE = 0.5
+#: Most lines of a chain that the field is fitted on; a longer labelled text is several chains there, and one when it is decoded.
+CHAIN_LINES = 512
+#: Rounds of estimating the lines' labels and fitting the field on them.
+ROUNDS = 2
 
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MADE = StructType(
@@ -209,38 +218,58 @@ def viterbi(field: LineField, lines: Lines) -> np.ndarray:
     return label
 
 
+def _through(x: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """x @ step, for products this narrow."""
+    return x[:, :1] * step[0] + x[:, 1:] * step[1]
+
+
+def _expected(score: np.ndarray, transition: np.ndarray, steps: list, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward, scaled at every line: (marginal probability of each label of every line, expected number of transitions).
+
+    inner: lines that have one before them in their row.
+    """
+    own = np.exp(score - score.max(axis=1, keepdims=True)) if len(score) else score
+    step = np.exp(transition - transition.max())
+    ahead, behind = own.copy(), np.ones_like(score)
+    for t, _, at in steps:
+        here = own[at] * _through(ahead[at - 1], step) if t else own[at]
+        ahead[at] = here / (here[:, :1] + here[:, 1:])
+    for t, _, at in reversed(steps):
+        if t:
+            here = _through(own[at] * behind[at], step.T)
+            behind[at - 1] = here / (here[:, :1] + here[:, 1:])
+    joint = ahead[inner - 1][:, :, None] * step * (own[inner] * behind[inner])[:, None, :]
+    pairs = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    both = ahead * behind
+    return both / both.sum(axis=1, keepdims=True), pairs
+
+
+def _inner(lines: Lines) -> np.ndarray:
+    return np.flatnonzero(lines.row[1:] == lines.row[:-1]) + 1
+
+
+def marginals(field: LineField, lines: Lines) -> np.ndarray:
+    """Probability that a line is content, given all lines of its row."""
+    return _expected(_scores(field.emission, lines.active), field.transition, list(_Ragged(lines.row).steps()), _inner(lines))[0][:, 1]
+
+
 def fit(lines: Lines, gold: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4) -> LineField:
     """Maximum likelihood by forward-backward and Adam; gold holds a label for each line."""
     emission, transition = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    chains = _Ragged(lines.row)
-    steps = list(chains.steps())
+    steps = list(_Ragged(lines.row).steps())
     n = max(len(gold), 1)
     target = np.zeros((len(gold), 2))
     target[np.arange(len(gold)), gold] = 1
-    inner = np.r_[False, lines.row[1:] == lines.row[:-1]][: len(gold)]
-    pairs = np.zeros((2, 2))
-    np.add.at(pairs, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
+    inner = _inner(lines)
+    pairs = np.bincount(2 * gold[inner - 1] + gold[inner], minlength=4).reshape(2, 2)
     moments = [np.zeros((N_FEATURES, 2)), np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), np.zeros((2, 2))]
-    norm = lambda x: x - np.logaddexp(x[:, :1], x[:, 1:])
     for k in range(1, rounds + 1):
-        score = _scores(emission, lines.active)
-        ahead, behind = np.zeros_like(score), np.zeros_like(score)
-        for t, _, at in steps:
-            ahead[at] = norm(score[at] if t == 0 else score[at] + np.logaddexp.reduce(ahead[at - 1][:, :, None] + transition[None], axis=1))
-        expected = np.zeros((2, 2))
-        for t, _, at in reversed(steps):
-            if t == 0:
-                continue
-            tail = score[at] + behind[at]
-            behind[at - 1] = norm(np.logaddexp.reduce(transition[None] + tail[:, None, :], axis=2))
-            joint = ahead[at - 1][:, :, None] + transition[None] + tail[:, None, :]
-            joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
-            expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        marginal = np.exp(norm(ahead + behind))
+        marginal, expected = _expected(_scores(emission, lines.active), transition, steps, inner)
         gap = target - marginal
-        slope = np.zeros((N_FEATURES + 1, 2))
-        for c in range(lines.active.shape[1]):
-            np.add.at(slope, lines.active[:, c], gap)
+        slope = np.zeros((N_FEATURES + 1, 2))  # the last: no feature
+        for column in (lines.active % (N_FEATURES + 1)).T:
+            for label in (0, 1):
+                slope[:, label] += np.bincount(column, weights=gap[:, label], minlength=N_FEATURES + 1)
         for w, g, m, v in ((emission, slope[:-1] / n - decay * emission, *moments[:2]), (transition, (pairs - expected) / n - decay * transition, *moments[2:])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -248,6 +277,37 @@ def fit(lines: Lines, gold: np.ndarray, rounds: int = 60, rate: float = 0.3, dec
     return LineField(emission, transition)
 
 
+def line_labels(lines: Lines, good: np.ndarray, content: np.ndarray, share: float = MIN_CONTENT_SHARE) -> np.ndarray:
+    """The likelier label of every line that its document's label admits.
+
+    good: whether the line's document is; content: probability that the line is.  Of
+    a good document the likeliest lines are content up to ``share`` of its words at
+    least, of a poor one less than that are; lines that are equally likely go in order.
+    """
+    order = np.lexsort((-content, lines.row))
+    n_words = lines.n_words[order]
+    begin = np.searchsorted(lines.row, lines.row)  # first line of each line's row, in either order
+    running = np.cumsum(n_words)
+    until = running - (running - n_words)[begin]
+    limit = share * np.bincount(lines.row, weights=lines.n_words)[lines.row]
+    likely = content[order] > 0.5
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.where(good[order], likely | (until - n_words < limit), likely & (until < limit))
+    return out
+
+
+def fit_latent(lines: Lines, good: np.ndarray, rounds: int = ROUNDS) -> LineField:
+    """The field, from lines whose documents alone are labelled; good: whether each line's document is."""
+    apart = Lines(np.arange(len(lines.row)), lines.active, lines.n_words)
+    content = marginals(fit(apart, good.astype(np.int64)), apart)
+    place = np.arange(len(lines.row)) - np.searchsorted(lines.row, lines.row)
+    chains = Lines(np.cumsum(place % CHAIN_LINES == 0), lines.active, lines.n_words)
+    for _ in range(rounds):
+        field = fit(chains, line_labels(lines, good, content))
+        content = marginals(field, chains)
+    return field
+
+
 def fit_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> LineField | None:
     """The field, from at most ``sample`` labelled documents; None without any.
 
@@ -261,17 +321,19 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUM
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    made = StructType([StructField("doc_id", LongType()), StructField("quality", LongType()), StructField("features", BinaryType())])
+    made = StructType([StructField("doc_id", LongType()), StructField("quality", LongType()), StructField("features", BinaryType()), StructField("words", BinaryType())])
 
     def run(batches):
         for batch in batches:
             ids, quality = (batch.column(i).cast(pa.int64()) for i in (0, 1))
             blobs: list[bytes] = []
+            sizes: list[bytes] = []
             for _, _, words in kernel.word_slices(batch.column(2)):
                 _, lines = figures_and_lines(words)
                 cut = np.searchsorted(lines.row, np.arange(words.rows + 1))
                 blobs += [lines.active[a:b].astype(np.int16).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([ids, quality, pa.array(blobs, pa.binary())], names=made.fieldNames())
+                sizes += [lines.n_words[a:b].astype(np.int64).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([ids, quality, pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())], names=made.fieldNames())
 
     rows = found.select("doc_id", "quality", "text").transform(map_batches, run, made).orderBy("doc_id").collect()
     width = len(_CUTS) + len(_FLAGS)
@@ -279,11 +341,9 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUM
     if not sum(map(len, parts)):
         return None
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    gold = np.repeat([int(r["quality"] > 0) for r in rows], [len(p) for p in parts])
-    active = np.concatenate(parts).astype(np.int64)
-    return fit(Lines(row, active, np.ones(len(row))), gold)
-
-
+    good = np.repeat([r["quality"] > 0 for r in rows], [len(p) for p in parts])
+    n_words = np.concatenate([np.frombuffer(r["words"], np.int64) for r in rows])
+    return fit_latent(Lines(row, np.concatenate(parts).astype(np.int64), n_words), good)
 
 
 def judge(field: LineField | None, min_share: float = MIN_CONTENT_SHARE):

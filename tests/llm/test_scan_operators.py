@@ -1,5 +1,6 @@
 """License scan, quality rules, decontamination, importance resampling: operators that read each text once."""
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -121,6 +122,66 @@ def test_viterbi_is_the_best_labelling():
         assert np.isclose(total(got[a:b].tolist()), max(map(total, every)))
 
 
+def test_marginals_are_those_of_all_labellings():
+    r = np.random.default_rng(1)
+    field = quality_rules.LineField(2 * r.normal(size=(quality_rules.N_FEATURES, 2)), 2 * r.normal(size=(2, 2)))
+    active = r.integers(-1, quality_rules.N_FEATURES, (9, 4))
+    lines = quality_rules.Lines(np.array([0] * 5 + [2] * 4), active, np.ones(9))
+    score = quality_rules._scores(field.emission, active)
+    for a, b in ((0, 5), (5, 9)):
+        total, content = 0.0, np.zeros(b - a)
+        for y in itertools.product((0, 1), repeat=b - a):
+            weight = math.exp(sum(score[a + i, y[i]] for i in range(b - a)) + sum(field.transition[y[i - 1], y[i]] for i in range(1, b - a)))
+            total, content = total + weight, content + weight * np.array(y)
+        assert np.allclose(quality_rules.marginals(field, lines)[a:b], content / total)
+
+
+def test_labels_of_lines_keep_their_documents_share():
+    r = np.random.default_rng(3)
+    row = np.sort(r.integers(0, 40, 400))
+    lines = quality_rules.Lines(row, np.zeros((400, 1), np.int64), r.integers(1, 30, 400))
+    good, content = (row % 2 == 0), np.round(r.random(400), 1)
+    got = quality_rules.line_labels(lines, good, content)
+    for d in range(40):
+        at = np.flatnonzero(row == d)
+        words, limit = 0, 0.5 * lines.n_words[at].sum()
+        for i in sorted(at, key=lambda i: (-content[i], i)):  # the likeliest first
+            n = int(lines.n_words[i])
+            assert got[i] == (content[i] > 0.5 or words < limit if good[i] else content[i] > 0.5 and words + n < limit)
+            words += n
+
+
+def test_planted_lines_are_labelled(spark):
+    """Menus stand in good documents and sentences in poor ones; only documents are labelled."""
+    r = random.Random(5)
+
+    def sentence():
+        return " ".join("".join(r.choice("aeioulnrst") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(9, 25))).capitalize() + "."
+
+    def menu():
+        return " | ".join("".join(r.choice("aeioulnrst") for _ in range(r.randrange(3, 9))).capitalize() for _ in range(r.randrange(3, 9)))
+
+    rows, planted = [], {}
+    for d in range(600):
+        good = d % 3 > 0
+        most, few = (sentence, menu) if good else (menu, sentence)
+        lines = [most] * (7 if good else 14) + [few] * r.randrange(3)
+        r.shuffle(lines)
+        planted[d] = [line is sentence for line in lines]
+        rows.append((d, "\n".join(line() for line in lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d % 3 > 0)) for d in range(300)], "doc_id long, quality int")
+    field = quality_rules.fit_on_labels(docs, labels)
+    texts = pa.array([t for _, t in rows[300:]])
+    held = [x for d in range(300, 600) for x in planted[d]]
+    found = np.concatenate([quality_rules.viterbi(field, quality_rules.figures_and_lines(w)[1]) for _, _, w in kernel.word_slices(texts)])
+    assert len(found) == len(held) and sum(bool(f) == h for f, h in zip(found, held)) > 0.97 * len(held)
+    got = {x.doc_id: x for x in quality_rules.apply_rules(docs, labels, keep=["doc_id"]).collect()}
+    mixed = [d for d in range(300, 600) if 0 < sum(planted[d]) < len(planted[d])]
+    assert sum(0 < got[d].content_share < 1 for d in mixed) > 0.9 * len(mixed) > 90
+    assert sum(got[d].kept == (d % 3 > 0) for d in range(300, 600)) > 290
+
+
 def test_quality_edge_cases(spark):
     none = empty(spark, "doc_id long, quality int")
     docs = awkward(spark, extra=True).withColumns({"kept": F.lit("clash"), "lang": F.lit("en")})
