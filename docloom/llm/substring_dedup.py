@@ -35,8 +35,10 @@ Arrow batch holds.
 
 Defined cases: null and empty texts have no words and keep everything; texts of
 fewer than K words lose nothing; rows with a null id are left as they are;
-identical rows get identical results; of different texts under one id only the
-one with the smallest digest is compared, the others stay as they are.
+identical rows get identical results; of different texts under one id each is
+searched and compared by itself, and the windows of all of them start at that id.
+Such texts are told apart by a *variant*: 0 for the one with the smallest digest,
+else the hash of the text.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def _joined(words: kernel.Words, i: int, keep: np.ndarray | None = None) -> byte
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, sha256 of all words, source (smallest id with these words), compared."""
+    """doc_id, text_hash, n_words, sha256 of all words, source (smallest id with these words), variant (see above)."""
     made = StructType([StructField("n_words", LongType()), StructField("sha256", StringType())])
 
     def fn(texts: pa.Array) -> list[pa.Array]:
@@ -84,7 +86,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     chosen = each.groupBy("doc_id").agg(F.min("sha256").alias("chosen"))
     return cut(
         each.join(source, "sha256").join(chosen, "doc_id", "left")
-        .withColumn("compared", F.coalesce(F.col("chosen") == F.col("sha256"), F.lit(False)))
+        .withColumn("variant", F.when(F.col("chosen") == F.col("sha256"), F.lit(0)).otherwise(F.col("text_hash")).cast("long"))
         .drop("chosen")
     )
 
@@ -105,10 +107,10 @@ def _seed_runs(words: kernel.Words, k: int, seed: int) -> tuple[np.ndarray, np.n
 
 
 def _candidates(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """doc_id, runs: the windows (first << 32 | count) whose seed occurs in two texts or more."""
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """text_hash, runs: the windows (first << 32 | count) of a text whose seed occurs in two texts or more."""
+    source = docs.where("doc_id is not null").select(F.xxhash64("text").alias("text_hash"), "text")
     seen = StructType([StructField("seed", LongType()), StructField("low", LongType()), StructField("high", LongType())])
-    placed = StructType([StructField("seed", LongType()), StructField("doc_id", LongType()), StructField("run", LongType())])
+    placed = StructType([StructField("seed", LongType()), StructField("text_hash", LongType()), StructField("run", LongType())])
 
     def texts_of_seeds(batches):
         for batch in batches:
@@ -133,7 +135,7 @@ def _candidates(docs: DataFrame, k: int, seed: int) -> DataFrame:
 
     shared = source.transform(map_batches, texts_of_seeds, seen).groupBy("seed").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("seed")
     places = source.transform(map_batches, places_of_seeds, placed)
-    return places.join(shared, "seed", "left_semi").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    return places.join(shared, "seed", "left_semi").groupBy("text_hash").agg(F.collect_set("run").alias("runs"))
 
 
 def _windows_of(runs: list[int], n: int) -> np.ndarray:
@@ -147,13 +149,13 @@ def _windows_of(runs: list[int], n: int) -> np.ndarray:
 
 
 def _paths(searched: DataFrame, k: int) -> DataFrame:
-    """doc_id, at, nodes: runs of consecutive candidate windows of a document; window at + i goes from node i to node i + 1."""
-    out = StructType([StructField("doc_id", LongType()), StructField("at", IntegerType()), StructField("nodes", ArrayType(LongType()))])
+    """doc_id, variant, at, nodes: runs of consecutive candidate windows of a document; window at + i goes from node i to node i + 1."""
+    out = StructType([StructField("doc_id", LongType()), StructField("variant", LongType()), StructField("at", IntegerType()), StructField("nodes", ArrayType(LongType()))])
 
     def run(batches):
         for batch in batches:
-            ids, runs = batch.column(0).to_numpy(), batch.column(2)
-            for a, _, words in kernel.word_slices(batch.column(1)):
+            ids, variants, runs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for a, _, words in kernel.word_slices(batch.column(2)):
                 hashes = words.hashes()
                 picked, row = [], []
                 for i in range(words.rows):
@@ -172,9 +174,9 @@ def _paths(searched: DataFrame, k: int) -> DataFrame:
                 nodes = kernel.signed(kernel.window_hashes(hashes, np.arange(len(hashes) - k + 2), k - 1)[place])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(nodes))
                 at = (first[begin] - words.word_off[row[begin]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + row[begin]]), pa.array(at), lists], names=out.fieldNames())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + row[begin]]), pa.array(variants[a + row[begin]]), pa.array(at), lists], names=out.fieldNames())
 
-    return searched.select("doc_id", "text", "runs").transform(map_batches, run, out)
+    return searched.select("doc_id", "variant", "text", "runs").transform(map_batches, run, out)
 
 
 _EDGE = [StructField("head", LongType()), StructField("tail", LongType())]
@@ -182,37 +184,42 @@ _EDGE = [StructField("head", LongType()), StructField("tail", LongType())]
 
 def _occurrences(paths: DataFrame, combine: bool) -> DataFrame:
     """Windows as edges with their places; combine: one row for each edge of some thousand runs, with its source there."""
-    fields = [StructField("source", LongType()), StructField("source_at", IntegerType()), StructField("last", LongType())] if combine else [StructField("doc_id", LongType()), StructField("at", IntegerType())]
+    names = ["source", "source_variant", "source_at"] if combine else ["doc_id", "variant", "at"]
+    fields = [StructField(n, t) for n, t in zip(names, (LongType(), LongType(), IntegerType()))] + [StructField("last", LongType())] * combine
     out = StructType(_EDGE + fields)
 
     def run(batches):
-        for ids, ats, lists in _list_slices(batches, 2):
+        for ids, variants, ats, lists in _list_slices(batches, 3):
             size = np.diff(_list_offsets(lists)) - 1
             nodes = _flat(lists)
             run_at = np.cumsum(size + 1) - (size + 1)
             place = np.repeat(run_at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             head, tail = nodes[place], nodes[place + 1]
-            doc = np.repeat(ids.to_numpy(), size)
+            doc, variant = np.repeat(ids.to_numpy(), size), np.repeat(variants.to_numpy(), size)
             at = (np.repeat(ats.to_numpy() - run_at, size) + place).astype(np.int32)
             if not combine:
-                columns = [head, tail, doc, at]
+                columns = [head, tail, doc, variant, at]
             else:
-                order = np.lexsort((at, doc, tail, head))
-                head, tail, doc, at = head[order], tail[order], doc[order], at[order]
+                order = np.lexsort((at, variant, doc, tail, head))
+                head, tail, doc, variant, at = (x[order] for x in (head, tail, doc, variant, at))
                 begin = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])
                 end = np.r_[begin[1:], len(head)] - 1
-                columns = [head[begin], tail[begin], doc[begin], at[begin], doc[end]]
+                columns = [head[begin], tail[begin], doc[begin], variant[begin], at[begin], doc[end]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=out.fieldNames())
 
     return paths.transform(map_batches, run, out)
 
 
 def _edges(paths: DataFrame) -> DataFrame:
-    """Repeated edges: head, tail, source, source_at."""
+    """Repeated edges: head, tail, source, source_variant, source_at.
+
+    The two ``min_by`` take one row, since they see the same rows in the same order;
+    if they did not, ``_verified`` would drop the span.
+    """
     return (
         _occurrences(paths, combine=True)
         .groupBy("head", "tail")
-        .agg(F.min("source").alias("source"), F.min_by("source_at", "source").alias("source_at"), F.max("last").alias("last"))
+        .agg(F.min("source").alias("source"), F.min_by("source_variant", "source").alias("source_variant"), F.min_by("source_at", "source").alias("source_at"), F.max("last").alias("last"))
         .where("source < last").drop("last")
     )
 
@@ -226,29 +233,31 @@ def _with_branching(edges: DataFrame) -> DataFrame:
 
 
 def _spans(paths: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """doc_id, at, n, source, source_at: spans of a document as arrays, in its order, where a source is earlier."""
-    out = StructType([StructField("doc_id", LongType())] + [StructField(c, ArrayType(t)) for c, t in (("at", IntegerType()), ("n", IntegerType()), ("source", LongType()), ("source_at", IntegerType()))])
+    """doc_id, variant, at, n, source, source_variant, source_at: spans of a document as arrays, in its order, where a source is earlier."""
+    kinds = {"at": IntegerType(), "n": IntegerType(), "source": LongType(), "source_variant": LongType(), "source_at": IntegerType()}
+    out = StructType([StructField(c, LongType()) for c in ("doc_id", "variant")] + [StructField(c, ArrayType(t)) for c, t in kinds.items()])
 
     def run(batches):
-        for ids, *lists in _list_slices(batches, 1):
-            at, source, there, plain = (_flat(x) for x in lists)
+        for ids, variants, *lists in _list_slices(batches, 2):
+            at, source, variant, there, plain = (_flat(x) for x in lists)
             row = np.repeat(np.arange(len(ids)), np.diff(_list_offsets(lists[0])))
             order = np.lexsort((at, row))
-            row, at, source, there, plain = (x[order] for x in (row, at, source, there, plain))
+            row, at, source, variant, there, plain = (x[order] for x in (row, at, source, variant, there, plain))
             fresh = np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1])][: len(row)]  # an identical row gives its places again
-            row, at, source, there, plain = (x[fresh] for x in (row, at, source, there, plain))
+            row, at, source, variant, there, plain = (x[fresh] for x in (row, at, source, variant, there, plain))
             on = np.zeros(len(row), bool)
-            on[1:] = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & (source[1:] == source[:-1]) & (there[1:] == there[:-1] + 1) & plain[1:]
+            on[1:] = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & (source[1:] == source[:-1]) & (variant[1:] == variant[:-1]) & (there[1:] == there[:-1] + 1) & plain[1:]
             begin = np.flatnonzero(~on)
             size = np.diff(np.r_[begin, len(row)]) + k - 1
             cuts = np.searchsorted(row[begin], np.arange(len(ids) + 1)).astype(np.int32)
-            made = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(v)) for v in (at[begin], size.astype(np.int32), source[begin], there[begin])]
-            yield pa.RecordBatch.from_arrays([ids, *made], names=out.fieldNames())
+            made = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(v)) for v in (at[begin], size.astype(np.int32), source[begin], variant[begin], there[begin])]
+            yield pa.RecordBatch.from_arrays([ids, variants, *made], names=out.fieldNames())
 
     places = _occurrences(paths, combine=False)
     found = places.join(_with_branching(edges), ["head", "tail"]).where("source < doc_id")
-    steps = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "source", "source_at", "plain")).alias("steps"))
-    return steps.select("doc_id", *[F.col(f"steps.{c}").alias(c) for c in ("at", "source", "source_at", "plain")]).transform(map_batches, run, out)
+    names = ("at", "source", "source_variant", "source_at", "plain")
+    steps = found.groupBy("doc_id", "variant").agg(F.collect_list(F.struct(*names)).alias("steps"))
+    return steps.select("doc_id", "variant", *[F.col(f"steps.{c}").alias(c) for c in names]).transform(map_batches, run, out)
 
 
 def _list_offsets(column: pa.Array) -> np.ndarray:
@@ -271,31 +280,33 @@ def _list_slices(batches, of: int):
 def _verified(docs: DataFrame, spans: DataFrame, chosen: DataFrame) -> DataFrame:
     """The stored ``spans`` (which are deleted) whose words are those at their source coordinates, with text_hash.
 
-    docs: doc_id and text of the rows that the spans are in.  Each place that is
+    docs: doc_id, variant and text of the rows that the spans are in.  Each place that is
     named, as a span or as a source, is read once.
     """
-    each = spans.select("doc_id", F.explode(F.arrays_zip("at", "n", "source", "source_at")).alias("s")).select("doc_id", "s.*")
+    names = ("at", "n", "source", "source_variant", "source_at")
+    each = spans.select("doc_id", "variant", F.explode(F.arrays_zip(*names)).alias("s")).select("doc_id", "variant", "s.*")
     each = stored(each)
     discard(spans)
-    places = each.select("doc_id", "at", "n").unionByName(each.select(F.col("source").alias("doc_id"), F.col("source_at").alias("at"), "n")).distinct()
-    places = places.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-    out = StructType([StructField("doc_id", LongType()), StructField("at", IntegerType()), StructField("n", IntegerType()), StructField("digest", BinaryType())])
+    there = each.select(F.col("source").alias("doc_id"), F.col("source_variant").alias("variant"), F.col("source_at").alias("at"), "n")
+    places = each.select("doc_id", "variant", "at", "n").unionByName(there).distinct()
+    places = places.groupBy("doc_id", "variant").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    out = StructType([StructField("doc_id", LongType()), StructField("variant", LongType()), StructField("at", IntegerType()), StructField("n", IntegerType()), StructField("digest", BinaryType())])
 
     def run(batches):
         for batch in batches:
-            ids, ats, sizes = batch.column(0).to_numpy(), batch.column(2), batch.column(3)
-            for a, b, words in kernel.word_slices(batch.column(1)):
+            ids, variants, ats, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3), batch.column(4)
+            for a, b, words in kernel.word_slices(batch.column(2)):
                 at, n = _flat(ats.slice(a, b - a)), _flat(sizes.slice(a, b - a))
                 each = np.diff(_list_offsets(ats.slice(a, b - a)))
                 first = at + np.repeat(words.word_off[:-1], each)
                 digests = [_digest(words, x, y) for x, y in zip(first.tolist(), (first + n).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], each)), pa.array(at), pa.array(n), pa.array(digests, pa.binary())], names=out.fieldNames())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], each)), pa.array(np.repeat(variants[a:b], each)), pa.array(at), pa.array(n), pa.array(digests, pa.binary())], names=out.fieldNames())
 
-    read = stored(docs.join(places, "doc_id").select("doc_id", "text", "at", "n").transform(map_batches, run, out).distinct())
-    there = read.select(F.col("doc_id").alias("source"), F.col("at").alias("source_at"), "n", F.col("digest").alias("there"))
-    true = each.join(read, ["doc_id", "at", "n"]).join(there, ["source", "source_at", "n"]).where("digest = there")
-    whole = true.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "source", "source_at"))).alias("s")).select("doc_id", *[F.col(f"s.{c}").alias(c) for c in ("at", "n", "source", "source_at")])
-    whole = stored(whole.join(chosen, "doc_id"))
+    read = stored(docs.join(places, ["doc_id", "variant"]).select("doc_id", "variant", "text", "at", "n").transform(map_batches, run, out).distinct())
+    there = read.withColumnsRenamed({"doc_id": "source", "variant": "source_variant", "at": "source_at", "digest": "there"})
+    true = each.join(read, ["doc_id", "variant", "at", "n"]).join(there, ["source", "source_variant", "source_at", "n"]).where("digest = there")
+    whole = true.groupBy("doc_id", "variant").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("s")).select("doc_id", "variant", *[F.col(f"s.{c}").alias(c) for c in names])
+    whole = stored(whole.join(chosen, ["doc_id", "variant"]).drop("variant"))
     discard(each, read)
     return whole
 
@@ -314,8 +325,8 @@ def repeated_spans(docs: DataFrame, k: int = K, seed: int = SEED) -> tuple[DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = _texts(docs)
     runs = stored(_candidates(docs, k, seed))
-    chosen = texts.where("doc_id is not null and compared and source = doc_id").select("doc_id", "text_hash")
-    searched = _keyed(docs).join(runs.join(chosen, "doc_id"), ["doc_id", "text_hash"])
+    chosen = texts.where("source = doc_id").select("doc_id", "text_hash", "variant").distinct()
+    searched = _keyed(docs).join(runs.join(chosen, "text_hash"), ["doc_id", "text_hash"])
     paths = stored(_paths(searched, k))
     discard(runs)
     release(docs.sparkSession)
@@ -324,7 +335,7 @@ def repeated_spans(docs: DataFrame, k: int = K, seed: int = SEED) -> tuple[DataF
     spans = stored(_spans(paths, edges, k))
     discard(paths, edges)
     release(docs.sparkSession)
-    texts_of = _keyed(docs).join(chosen, ["doc_id", "text_hash"]).select("doc_id", "text")
+    texts_of = _keyed(docs).join(chosen, ["doc_id", "text_hash"]).select("doc_id", "variant", "text")
     spans = _verified(texts_of, spans, chosen)
     release(docs.sparkSession)
     return texts, spans
@@ -378,7 +389,7 @@ def remove_repeats(docs: DataFrame, k: int = K, seed: int = SEED) -> DataFrame:
     """
     small = docs.select("doc_id", "text")
     texts, spans = repeated_spans(small, k, seed)
-    copies = texts.where(f"compared and source < doc_id and n_words >= {k}").select("doc_id", "text_hash", F.lit(True).alias("__copy"))
+    copies = texts.where(f"source < doc_id and n_words >= {k}").select("doc_id", "text_hash", F.lit(True).alias("__copy")).distinct()
     plan = spans.select("doc_id", "text_hash", F.col("at").alias("__at"), F.col("n").alias("__n"))
     names = [c for c in docs.columns if c not in ("text", "n_removed")]
     joined = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -219,6 +220,39 @@ def test_substrings_that_overlap_and_branch(spark):
     check_removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
 
 
+def removed_rows(rows, k=13):
+    """(id, words, removed, digest) of every row; windows of all texts of an id start at it."""
+    first = {}
+    for d, t in rows:
+        w = words(t)
+        for j in range(len(w) - k + 1):
+            s = tuple(w[j : j + k])
+            first[s] = min(d, first.get(s, d))
+    out = Counter()
+    for d, t in rows:
+        w = words(t)
+        gone = {x for j in range(len(w) - k + 1) if first[tuple(w[j : j + k])] < d for x in range(j, j + k)}
+        out[d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()] += 1
+    return out
+
+
+def test_several_texts_under_one_id(spark):
+    r = random.Random(11)
+    pieces = [[f"p{k}w{i}" for i in range(r.randrange(10, 40))] for k in range(12)]
+    rows = [(r.randrange(25), r.choice((" ", "  ", "\n")).join(r.choice(pieces) + [f"u{i}"] * r.randrange(3) + r.choice(pieces))) for i in range(150)]
+    rows += [(30, " ".join(pieces[0]))] * 50 + [(1, rows[0][1]), (40, rows[0][1]), (40, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = substring_dedup.removal_digests(docs).collect()
+    expected = removed_rows(rows)
+    assert Counter((g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in got) == expected
+    cut = substring_dedup.remove_repeats(docs).collect()
+    kept = Counter((g.doc_id, g.n_removed, hashlib.sha256(" ".join(words(g.text)).encode()).hexdigest()) for g in cut)
+    fewer = Counter()
+    for (d, _, n, sha), m in expected.items():
+        fewer[d, n, sha] += m
+    assert kept == fewer
+
+
 def test_spans_name_their_source(spark):
     shared = [f"s{i}" for i in range(60)]
     rows = [(1, " ".join(["a"] * 5 + shared + ["b"])), (2, " ".join(["c", "d"] + shared[10:50])), (3, " ".join(shared[:30] + ["x"] + shared[30:]))]
