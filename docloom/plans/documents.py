@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 from docloom.functions.tokens import Vocabulary
-from docloom.operators import headings, privacy, structure
+from docloom.operators import headings, names, privacy, structure
 from docloom.sources import tables
 from docloom.sources.tables import load
 
@@ -31,6 +31,28 @@ def pii_restore(spark, sf_dir):
     return privacy.mask_documents(load(spark, sf_dir, "documents")).select("doc_id", "restored")
 
 
+#: The word before the number of a mailbox.
+MAILBOX = r"([\p{L}]+)\.[0-9]+@"
+
+
+def _names(spark, sf_dir):
+    """Names that the tables hold: mailboxes of documents, the surer the more documents they stand in, and how benchmark passages begin."""
+    boxes = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(MAILBOX), F.lit(1))).alias("name"))
+    n = F.count_distinct("doc_id")
+    persons = boxes.groupBy("name").agg((n / (n + 1)).alias("score")).select("name", F.lit("PERSON").alias("label"), "score")
+    words = F.split("text", " ")
+    companies = load(spark, sf_dir, "benchmark").where(F.size(words) >= 3).select(F.array_join(F.slice(words, 1, 3), " ").alias("name"), F.lit("COMPANY").alias("label"), F.lit(0.9).alias("score"))
+    return persons.unionByName(companies)
+
+
+def names_by_document(spark, sf_dir):
+    """Names of all mailboxes and benchmark passages in every document: how many of each kind, their characters and places."""
+    found = names.detect(load(spark, sf_dir, "documents").select("doc_id", "text"), _names(spark, sf_dir))
+    of = lambda label: F.size(F.filter("found", lambda e: e["label"] == label)).cast("long")
+    total = lambda number: F.reduce("found", F.lit(0).cast("long"), lambda n, e: n + number(e))
+    return found.select("doc_id", of("PERSON").alias("n_persons"), of("COMPANY").alias("n_companies"), total(lambda e: F.length(e["value"])).alias("n_chars"), total(lambda e: e["pos"]).alias("places"))
+
+
 def toc_page_ranges(spark, sf_dir):
     """Bookmarks: a document's lines as entries, two in three of level 1, a page being 400 characters."""
     docs = load(spark, sf_dir, "documents").where("text is not null")
@@ -115,7 +137,7 @@ def chunk_token_totals(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        html_clean, pii_detect, pii_mask, pii_restore, toc_page_ranges, page_methods, chunk_previews, synopsis_removed, footnotes_removed, hierarchy_fixed, hierarchy_by_document, template_headers, chunk_documents, chunk_totals, chunk_token_totals,
+        html_clean, pii_detect, pii_mask, pii_restore, names_by_document, toc_page_ranges, page_methods, chunk_previews, synopsis_removed, footnotes_removed, hierarchy_fixed, hierarchy_by_document, template_headers, chunk_documents, chunk_totals, chunk_token_totals,
     )
 }
 
@@ -192,7 +214,24 @@ _TOTALS_SQL = f"""with h as ({_hierarchy_sql()}),
 b as (select doc_id, i, line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from h) where not regexp_matches(line, '^#{{1,6}}\\s'))
 select doc_id, true as bounded, sha256(trim(regexp_replace(regexp_replace(string_agg(line, ' ' order by i), '\\s*@@(?:PAGE_|H)\\d+@@\\s*', ' ', 'g'), '\\s+', ' ', 'g'))) as words_sha256 from b group by doc_id"""
 
+#: Words of a text with their places, candidates by the first word of a name, the longest at a place, then a fold that drops what begins inside the one before.
+_NAMES_SQL = """with m as (select distinct doc_id, unnest(regexp_extract_all(text, '([\\pL]+)\\.[0-9]+@', 1)) as name from documents),
+a as (select name, 'PERSON' as label, count(*) / (count(*) + 1.0) as score from m group by name
+  union all select array_to_string(string_split(text, ' ')[1:3], ' '), 'COMPANY', 0.9 from benchmark where len(string_split(text, ' ')) >= 3),
+k as (select name, first(label order by score desc, label) as label, regexp_extract(name, '^[\\pL\\pN]*') as key from a where score >= 0.6 and name <> '' group by name),
+t as (select doc_id, text, regexp_extract_all(text, '[\\pL\\pN]+|[^\\pL\\pN]+') as parts from documents),
+p as (select doc_id, text, unnest(parts) as part, generate_subscripts(parts, 1) as i from t),
+w as (select doc_id, text, part, 1 + coalesce(sum(length(part)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as pos from p),
+c as (select doc_id, pos, label, length(name) as n from w join k on part = key where substr(text, pos, length(name)) = name and not regexp_matches(substr(text, pos + length(name), 1), '[\\pL\\pN]')),
+l as (select doc_id, pos, arg_max(label, n) as label, max(n) as n from c group by doc_id, pos),
+g as (select doc_id, list([{'pos': pos, 'n': n, 'label': label}] order by pos) as hits from l group by doc_id),
+f as (select doc_id, list_reduce(hits, lambda kept, h: case when h[1].pos >= kept[-1].pos + kept[-1].n then list_concat(kept, h) else kept end) as hits from g)
+select d.doc_id, coalesce(len(list_filter(hits, lambda h: h.label = 'PERSON')), 0)::bigint as n_persons, coalesce(len(list_filter(hits, lambda h: h.label = 'COMPANY')), 0)::bigint as n_companies,
+  coalesce(list_sum(list_transform(hits, lambda h: h.n)), 0)::bigint as n_chars, coalesce(list_sum(list_transform(hits, lambda h: h.pos)), 0)::bigint as places from documents d left join f using (doc_id)"""
+
+
 ORACLE_SQL = {
+    "names_by_document": _NAMES_SQL,
     "pii_mask": _MASK_SQL,
     "footnotes_removed": f"with {_LAYOUT_SQL} select doc_id, regexp_replace(regexp_replace(text, '(?i){_FOOTNOTE_SQL}', '', 'g'), '^\\s+|\\s+$', '', 'g') as text from t",
     "chunk_totals": _TOTALS_SQL,
