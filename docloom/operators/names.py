@@ -82,12 +82,6 @@ def _entities(spans: list[tuple], once: bool) -> list[dict]:
     return out
 
 
-def first_word(name: str) -> str:
-    """The letters and digits that ``name`` begins with."""
-    run = _RUN.match(name)
-    return run[0] if run else ""
-
-
 def _strings(text: str, lengths: dict[str | None, list[int]]):
     """(begin, string) of all that could be a name; lengths: those of names by their first word, or of all under None."""
     everywhere = lengths.get(None)
