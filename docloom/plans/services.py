@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import app, bm25, chat_flow, guardrail, judge, quota, structure
 from docloom.plans import documents, retrieval
-from docloom.sources import tables
+from docloom.sources import tables, vector_sink
 from docloom.sources.tables import load
 
 # --- rules ---------------------------------------------------------------------
@@ -137,6 +137,17 @@ def vector_table(spark, sf_dir):
     return tables.restore_vectors(spark, path).select(F.col("kb_document_id").cast("long").alias("doc_id"), "collection", F.length("content").cast("long").alias("n_chars"))
 
 
+def vector_commits(spark, sf_dir):
+    """Documents and benchmark passages appended to the vector table by commits, the first repeated under its name; its rows as they are restored."""
+    path = tables.scratch(spark, "commits")
+    row = lambda key, collection: (collection.alias("collection"), key.cast("string").alias("kb_document_id"), F.lit(1).alias("chunk_no"), F.col("text").alias("content"))
+    docs = load(spark, sf_dir, "documents").select(*row(F.col("doc_id"), F.coalesce("lang", F.lit(""))))
+    items = load(spark, sf_dir, "benchmark").select(*row(-1 - F.col("item_id"), F.lit("benchmark")))
+    for rows, commit in ((docs, "documents"), (items, "benchmark"), (docs, "documents")):
+        vector_sink.append(rows, path, commit)
+    return vector_sink.restore(spark, path).select(F.col("kb_document_id").cast("long").alias("id"), "collection", F.length("content").cast("long").alias("n_chars"))
+
+
 def json_files(spark, sf_dir):
     """Benchmark items written as JSON and read again."""
     path = tables.scratch(spark, "json")
@@ -203,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         judge_violations, scores_rounded, scores_rounded_at_halves, signup_rejections, layout_items, markdown_tables, gate_answers, default_kb, response_rows, toc_wrapped, session_titles, logged_messages, audit_gated,
-        parsed_pages, kb_paths, vector_table, json_files, saved_index_topk, external_fallback, chat_flow_full, chat_quota_flow, kb_extraction,
+        parsed_pages, kb_paths, vector_table, vector_commits, json_files, saved_index_topk, external_fallback, chat_flow_full, chat_quota_flow, kb_extraction,
     )
 }
 
@@ -267,6 +278,7 @@ select page_id, cast(page_no as bigint) as page_no, case when length({_STRIPPED.
 union all select page_id, 1, 'failed', 0, 'UnicodeDecodeError' from pages where page_id % 9 = 0""",
     "kb_paths": "select doc_id, source || '/' || doc_id || '.pdf' as path from documents",
     "vector_table": "select doc_id, lang as collection, length(text) as n_chars from documents where text is not null and text <> ''",
+    "vector_commits": "select doc_id as id, coalesce(lang, '') as collection, length(text) as n_chars from documents where text <> '' union all select -1 - item_id, 'benchmark', length(text) from benchmark where text <> ''",
     "json_files": "select item_id, text from benchmark",
     "saved_index_topk": retrieval._bm25_sql(10, "true"),
     "external_fallback": _EXTERNAL_SQL,

@@ -125,10 +125,14 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def chunk_id():
+    """A chunk's id follows from its place and content, so a repeated append can be told."""
+    return F.sha2(F.concat_ws("\u0001", "kb_document_id", F.col("chunk_no").cast("string"), "content"), 256)
+
+
 def append_vectors(chunks: DataFrame, path: str) -> None:
-    """Appends to the vector table, one folder for each collection; ids follow from the content, so a repeated append can be told."""
-    chunk_id = F.sha2(F.concat_ws("\u0001", "kb_document_id", F.col("chunk_no").cast("string"), "content"), 256)
-    chunks.withColumn("id", chunk_id).write.mode("append").partitionBy("collection").parquet(path)
+    """Appends to the vector table, one folder for each collection."""
+    chunks.withColumn("id", chunk_id()).write.mode("append").partitionBy("collection").parquet(path)
 
 
 def restore_vectors(spark: SparkSession, path: str) -> DataFrame:
